@@ -30,8 +30,12 @@ def tf_vectors(docs: DataFrame) -> DataFrame:
 
     The text is placed by document once, before it is exploded; counting and the norm then need no shuffle.
     """
-    terms = (docs.select("grp", "doc", "text").repartition("grp", "doc")
-             .select("grp", "doc", F.explode(tokens(F.col("text"))).alias("term")))
+    return tf_of_terms(docs.select("grp", "doc", "text").repartition("grp", "doc")
+                       .select("grp", "doc", F.explode(tokens(F.col("text"))).alias("term")))
+
+
+def tf_of_terms(terms: DataFrame) -> DataFrame:
+    """The same from one row (grp, doc, term) per token, for documents that span many rows."""
     counted = terms.groupBy("grp", "doc", "term").agg(F.count(F.lit(1)).alias("tf"))
     return _normalise(counted.withColumn("w", F.col("tf").cast("double"))).select("grp", "doc", "term", "tf", "weight")
 

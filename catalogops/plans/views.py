@@ -109,3 +109,37 @@ def stamp(c: str, name: str | None = None):
 
 def stamp_sql(c: str, name: str | None = None) -> str:
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f') AS {name or c}"
+
+
+def cue_end(start, text):
+    return start + F.least(F.lit(9.5), F.length(text) / 60.0)
+
+
+def cues(t: Tables) -> DataFrame:
+    """Conversation turns as cues, one every ten seconds."""
+    start = F.col("turn") * 10.0
+    return t.conversations.select(F.col("conv_id").alias("track"), F.col("turn").alias("idx"), start.alias("start"),
+                                  cue_end(start, "text").alias("end"), "text")
+
+
+def lines(t: Tables) -> DataFrame:
+    """Document lines as cues: longer tracks than conversations, with promotional and empty lines."""
+    d = t.documents.select(F.col("doc_id").alias("track"), F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    start = F.col("idx") * 10.0
+    return d.select("track", F.col("idx").cast("long").alias("idx"), start.alias("start"), cue_end(start, "text").alias("end"), "text")
+
+
+def drifted(cues_df: DataFrame) -> DataFrame:
+    """Every fifth cue removed, the others late by 0.3 s and 0.1 %."""
+    late = F.lit(0.3) + F.lit(0.001) * F.col("start")
+    return (cues_df.filter("idx % 5 <> 4")
+            .select("track", "idx", (F.col("start") + late).alias("start"), (F.col("end") + late).alias("end"), "text"))
+
+
+SQL["v_cues"] = """SELECT conv_id AS track, turn AS idx, turn * 10.0::DOUBLE AS start, turn * 10.0::DOUBLE + least(9.5::DOUBLE, length(text) / 60.0::DOUBLE) AS "end", text FROM conversations"""
+SQL["v_lines"] = """SELECT track, idx, idx * 10.0::DOUBLE AS start, idx * 10.0::DOUBLE + least(9.5::DOUBLE, length(text) / 60.0::DOUBLE) AS "end", text FROM (
+  SELECT doc_id AS track, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS idx FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
+SQL["v_lines_b"] = """SELECT track, idx, start + (0.3::DOUBLE + 0.001::DOUBLE * start) AS start, "end" + (0.3::DOUBLE + 0.001::DOUBLE * start) AS "end", text FROM v_lines WHERE idx % 5 <> 4"""
+SQL["v_cues_b"] = SQL["v_lines_b"].replace("v_lines", "v_cues")
+NEEDS["v_lines_b"] = ("v_lines",)
+NEEDS["v_cues_b"] = ("v_cues",)

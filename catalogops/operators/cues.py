@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from catalogops.functions.text import ANY_TAG, OVERRIDE_TAG, comparable_tokens, lexical_word_count, strip, strip_markup
 from catalogops.operators import vectors as V
 from catalogops.operators.skew import int_slice, sliced_window, upper_median_rank, value_at_ranks
+from catalogops.session import cut_lineage
 
 # Line patterns of uploader signatures and advertising; a cue with such a line is dropped whole.
 PROMO_PATTERNS = (
@@ -231,7 +232,8 @@ def linear_drift(anchors: DataFrame) -> DataFrame:
     a = a.filter(F.col("n") >= MIN_ANCHORS)
     third = F.greatest(F.floor(F.col("n") / 3), F.lit(1))
     head, tail = F.col("rn") <= third, F.col("rn") > F.col("n") - third
-    parts = (a.withColumn("part", F.explode(F.array_compact(F.array(F.when(head, F.lit("head")), F.when(tail, F.lit("tail")))))))
+    parts = cut_lineage(a.withColumn("part", F.explode(F.array_compact(F.array(F.when(head, F.lit("head")), F.when(tail, F.lit("tail"))))))
+                        .select("track", "part", "at", "delta"))
     at = value_at_ranks(parts, ["track", "part"], "at", {"t": upper_median_rank()}, width=600.0)
     delta = value_at_ranks(parts, ["track", "part"], "delta", {"d": upper_median_rank()}, width=1.0)
     m = at.join(delta.select("track", "part", "d"), ["track", "part"])
@@ -266,7 +268,7 @@ def adoption_gate(tracks: DataFrame, cand: DataFrame, ref: DataFrame) -> DataFra
 
     `tracks` (track, video_seconds).
     """
-    anchors = text_anchors(cand, ref)
+    anchors = cut_lineage(text_anchors(cand, ref))
     seg = segment_medians(anchors).groupBy("track").agg(F.min(F.when(F.col("failed"), F.col("segment"))).alias("bad_segment"))
     ce = track_extent(cand).select("track", F.col("first_start").alias("c0"), F.col("last_end").alias("c1"), F.lit(True).alias("has_c"))
     re = track_extent(ref).select("track", F.col("first_start").alias("r0"), F.col("last_end").alias("r1"), F.lit(True).alias("has_r"))
@@ -332,19 +334,23 @@ def snap_shifts(cues: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def non_overlapping(cues: DataFrame) -> DataFrame:
-    """Starts at least a step after the previous start, ends after starts, previous ends cut at the next start."""
-    d = sliced_window(cues.withColumn("start", F.greatest("start", F.lit(0.0))), ["track"], ["idx"], int_slice("idx", 100_000), number="_i")
-    d = d.withColumn("_low", F.col("start") - STEP * F.col("_i"))
-    d = sliced_window(d, ["track"], ["idx"], int_slice("idx", 100_000), running_max={"_m": "_low"})
+    """Starts at least a step after the previous start, ends after starts, previous ends cut at the next start.
+
+    Three ordered passes; each result is materialised so that the plan does not double with every pass.
+    """
+    by = int_slice("idx", 100_000)
+    d = sliced_window(cut_lineage(cues.withColumn("start", F.greatest("start", F.lit(0.0)))), ["track"], ["idx"], by, number="_i")
+    d = cut_lineage(d.withColumn("_low", F.col("start") - STEP * F.col("_i")))
+    d = sliced_window(d, ["track"], ["idx"], by, running_max={"_m": "_low"})
     d = d.withColumn("start", F.when(F.col("_m") > F.col("_low"), F.col("_m") + STEP * F.col("_i")).otherwise(F.col("start")))
-    d = d.withColumn("end", F.when(F.col("end") <= F.col("start"), F.col("start") + STEP).otherwise(F.col("end")))
-    d = sliced_window(d, ["track"], ["idx"], int_slice("idx", 100_000), leads={"_next": "start"})
+    d = cut_lineage(d.withColumn("end", F.when(F.col("end") <= F.col("start"), F.col("start") + STEP).otherwise(F.col("end"))))
+    d = sliced_window(d, ["track"], ["idx"], by, leads={"_next": "start"})
     return d.withColumn("end", F.when(F.col("end") > F.col("_next"), F.col("_next")).otherwise(F.col("end"))).select(*cues.columns)
 
 
 def snap_to_words(cues: DataFrame, words: DataFrame) -> DataFrame:
     """Cues of tracks with at least one match, shifted to the spoken onset and put in order again."""
-    s = snap_shifts(cues, words).select("track", "idx", "shift")
+    s = cut_lineage(snap_shifts(cues, words).select("track", "idx", "shift"))
     moved = cues.join(s, ["track", "idx"], "left").withColumn("shift", F.coalesce("shift", F.lit(0.0)))
     moved = moved.join(s.select("track").distinct(), "track", "left_semi")
     moved = moved.withColumns({"start": F.col("start") + F.col("shift"), "end": F.col("end") + F.col("shift")})
@@ -358,30 +364,30 @@ def adopt_first_passing(candidates: DataFrame, cues: DataFrame, references: Data
     key in column track.  All candidates are evaluated together; timing that fails the gate gets one drift repair
     when the text is clearly right.
     """
-    ct = candidates.select("key", "track", "preference", "video_seconds").persist()
+    ct = cut_lineage(candidates.select("key", "track", "preference", "video_seconds"))
     names = ct.select("track", F.col("key").alias("_key"))
-    cleaned = clean_cues(cues).persist()
-    ref = (references.withColumnRenamed("track", "_key").join(names, "_key").select("track", "idx", "start", "end", "text")).persist()
+    cleaned = cut_lineage(clean_cues(cues))
+    ref = cut_lineage(references.withColumnRenamed("track", "_key").join(names, "_key").select("track", "idx", "start", "end", "text"))
     span = track_extent(cleaned).select("track", (F.col("last_end") - F.col("first_start")).alias("raw_span"))
     base = ct.join(span, "track", "left")
     early = F.when(F.col("raw_span").isNull(), "no_cues_after_cleaning").when(
         (F.col("video_seconds") > 0) & (F.col("raw_span") < MIN_SPAN * F.col("video_seconds")), "raw_span")
-    base = base.withColumn("early", early).persist()
+    base = cut_lineage(base.withColumn("early", early))
     live = base.filter("early is null").select("track", "video_seconds")
     todo = cleaned.join(live, "track", "left_semi")
-    gate = adoption_gate(live, todo, ref).persist()
+    gate = cut_lineage(adoption_gate(live, todo, ref))
     repair = gate.filter(F.col("failure").isNotNull() & (F.col("similarity") >= REPAIR_SIMILARITY)).select("track")
     broken = todo.join(repair, "track", "left_semi")
-    fixed = correct_drift(broken, linear_drift(text_anchors(broken, ref.join(repair, "track", "left_semi"))))
-    regate = adoption_gate(live.join(repair, "track", "left_semi"), fixed, ref).filter("failure is null").select("track").persist()
+    fixed = cut_lineage(correct_drift(broken, linear_drift(text_anchors(broken, ref.join(repair, "track", "left_semi")))))
+    regate = cut_lineage(adoption_gate(live.join(repair, "track", "left_semi"), fixed, ref).filter("failure is null").select("track"))
     good = gate.filter("failure is null").select("track")
-    current = (todo.join(good, "track", "left_semi").unionByName(fixed.join(regate, "track", "left_semi"))).persist()
-    passed = good.withColumn("refined", F.lit(False)).unionByName(regate.withColumn("refined", F.lit(True))).persist()
+    current = cut_lineage(todo.join(good, "track", "left_semi").unionByName(fixed.join(regate, "track", "left_semi")))
+    passed = good.withColumn("refined", F.lit(False)).unionByName(regate.withColumn("refined", F.lit(True)))
     if words is not None:
         spoken = words.withColumnRenamed("track", "_key").join(names, "_key").drop("_key")
-        snapped = snap_to_words(current, spoken).persist()
-        holds = (adoption_gate(live.join(snapped.select("track").distinct(), "track", "left_semi"), snapped, ref)
-                 .filter("failure is null").select("track").persist())
+        snapped = cut_lineage(snap_to_words(current, spoken))
+        holds = cut_lineage(adoption_gate(live.join(snapped.select("track").distinct(), "track", "left_semi"), snapped, ref)
+                            .filter("failure is null").select("track"))
         current = (current.join(holds, "track", "left_anti").unionByName(snapped.join(holds, "track", "left_semi")))
     severe = cue_issues(live.join(passed, "track", "left_semi"), current).select("track", F.size("severe_issues").alias("n_severe"))
     verdict = (F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("refined").isNull(), F.col("failure"))

@@ -143,3 +143,29 @@ SQL["v_lines_b"] = """SELECT track, idx, start + (0.3::DOUBLE + 0.001::DOUBLE *
 SQL["v_cues_b"] = SQL["v_lines_b"].replace("v_lines", "v_cues")
 NEEDS["v_lines_b"] = ("v_lines",)
 NEEDS["v_cues_b"] = ("v_cues",)
+
+
+def titles(t: Tables) -> DataFrame:
+    """Order lines as disc titles: the line number's bits are the segments, the length follows their count."""
+    bits = ", ".join(f"CASE WHEN number & {1 << i} <> 0 THEN '{i + 1}' END" for i in range(3))
+    return members(t).selectExpr(
+        "item_id AS disc", "ord AS title_id", "ord AS pos", "cast(1200 * bit_count(number) + l_quantity AS int) AS duration", "l_suppkey % 5 AS chapters",
+        "CASE l_returnflag WHEN 'R' THEN '0080' || number || '.mpls' WHEN 'N' THEN '00123.mpls' ELSE '12.m2ts' END AS playlist",
+        "l_suppkey % 4 AS segment_count", f"concat_ws(',', {bits}) AS segment_map", "'h' || (l_suppkey % 3) AS title_hash",
+        "CASE WHEN item_id % 2 = 0 THEN 'bluray' ELSE 'dvd' END AS source")
+
+
+SQL["v_titles"] = """SELECT item_id AS disc, ord AS title_id, ord AS pos, (1200 * bit_count(number) + l_quantity)::INT AS duration, l_suppkey % 5 AS chapters,
+  CASE l_returnflag WHEN 'R' THEN '0080' || number || '.mpls' WHEN 'N' THEN '00123.mpls' ELSE '12.m2ts' END AS playlist, l_suppkey % 4 AS segment_count,
+  concat_ws(',', CASE WHEN number & 1 <> 0 THEN '1' END, CASE WHEN number & 2 <> 0 THEN '2' END, CASE WHEN number & 4 <> 0 THEN '3' END) AS segment_map,
+  'h' || (l_suppkey % 3) AS title_hash, CASE WHEN item_id % 2 = 0 THEN 'bluray' ELSE 'dvd' END AS source FROM v_members"""
+NEEDS["v_titles"] = ("v_members",)
+
+
+def expected_episodes(t: Tables) -> DataFrame:
+    """Three to five expected runtimes per disc, from the order's customer and price."""
+    return t.orders.select(F.col("o_orderkey").alias("disc"), F.explode(F.sequence(F.lit(1), (F.col("o_orderkey") % 3 + 3).cast("int"))).alias("ord"),
+                           (F.col("o_custkey") % 25 + 10).cast("int").alias("base")).select("disc", "ord", (F.col("base") + F.col("ord") * 2).alias("runtime"))
+
+
+SQL["v_expected"] = """SELECT disc, ord, base + ord * 2 AS runtime FROM (SELECT o_orderkey AS disc, unnest(range(1, o_orderkey % 3 + 4)) AS ord, o_custkey % 25 + 10 AS base FROM orders)"""

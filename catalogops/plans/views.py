@@ -169,3 +169,50 @@ def expected_episodes(t: Tables) -> DataFrame:
 
 
 SQL["v_expected"] = """SELECT disc, ord, base + ord * 2 AS runtime FROM (SELECT o_orderkey AS disc, unnest(range(1, o_orderkey % 3 + 4)) AS ord, o_custkey % 25 + 10 AS base FROM orders)"""
+
+
+def envelopes(t: Tables) -> DataFrame:
+    """Orders as items with a version-1 JSON document written inside the row."""
+    k = "o_orderkey"
+    ep = f"""transform(sequence(1, cast({k} % 4 + 1 AS int)), i -> named_struct('key', if(i = 2, 'S01_002', format_string('s01_%03d', i)), 'title_id', i, 'season', 1,
+      'episode', CASE WHEN ({k} + i) % 5 = 0 THEN 0 ELSE i + if({k} % 7 = 0 AND i > 1, 1, 0) END, 'runtime_seconds', if(i = 1, 0, 900), 'match_confidence', (({k} * 7 + i * 13) % 100) / 100.0D,
+      'needs_review', ({k} + i) % 6 = 0))"""
+    ti = f"transform(sequence(1, cast({k} % 4 + 1 AS int)), i -> named_struct('id', i, 'name', 'T' || i, 'duration', 1000 + i))"
+
+    def assets(kind: str, keep: str, fail: str, path: str) -> str:
+        return (f"transform(filter(sequence(1, cast({k} % 4 + 1 AS int)), i -> {keep}), i -> named_struct('episode_key', format_string('s01_%03d', i), 'title_id', i, "
+                f"'path', {path}, 'status', if({fail}, 'failed', 'completed'), 'error_msg', if({fail}, 'bad {kind}', '')))")
+
+    review = f"if(({k} + i) % 6 = 0 OR {k} % 10 = 3, '/review/', '/library/') || {k} || '/' || i"
+    doc = (f"to_json(named_struct('version', if({k} % 50 = 0, 2, 1), 'metadata', named_struct('media_type', if({k} % 2 = 0, 'tv', 'movie')), 'titles', {ti}, 'episodes', {ep}, 'assets', named_struct("
+           f"'ripped', {assets('rip', 'true', 'false', f'''{k!s} || '-' || i''')}, 'encoded', {assets('encode', 'i < 4', f'({k} + i) % 9 = 0', f'''{k!s} || '-' || i || '.mkv' ''')}, "
+           f"'final', {assets('final', f'({k} + i) % 8 <> 0', 'false', review)})))")
+    return t.orders.selectExpr("o_orderkey AS item_id", f"CASE WHEN {k} % 50 = 1 THEN ' ' ELSE {doc} END AS rip_spec_data", f"{k} % 5 = 0 AS needs_review",
+                               "'/review' AS review_dir", "'/library/' AS library_dir", f"if({k} % 2 = 0, 'tv', 'movie') AS media_type")
+
+
+SQL["v_eps"] = """SELECT k AS item_id, i - 1 AS pos, CASE WHEN i = 2 THEN 'S01_002' ELSE printf('s01_%03d', i) END AS key, i AS title_id, CASE WHEN (k + i) % 5 = 0 THEN 0 ELSE i + CASE WHEN k % 7 = 0 AND i > 1 THEN 1 ELSE 0 END END AS episode,
+  ((k * 7 + i * 13) % 100) / 100.0::DOUBLE AS conf, (k + i) % 6 = 0 AS needs_review, CASE WHEN k % 2 = 0 THEN 'tv' ELSE 'movie' END AS media_type
+  FROM (SELECT o_orderkey AS k, unnest(range(1, o_orderkey % 4 + 2)) AS i FROM orders WHERE o_orderkey % 50 > 1)"""
+SQL["v_assets"] = """SELECT k AS item_id, 'ripped' AS kind, i, printf('s01_%03d', i) AS key, 'completed' AS status, k || '-' || i AS path FROM ki UNION ALL
+  SELECT k, 'encoded', i, printf('s01_%03d', i), CASE WHEN (k + i) % 9 = 0 THEN 'failed' ELSE 'completed' END, k || '-' || i || '.mkv' FROM ki WHERE i < 4 UNION ALL
+  SELECT k, 'final', i, printf('s01_%03d', i), 'completed', CASE WHEN (k + i) % 6 = 0 OR k % 10 = 3 THEN '/review/' ELSE '/library/' END || k || '/' || i FROM ki WHERE (k + i) % 8 <> 0"""
+SQL["ki"] = "SELECT o_orderkey AS k, unnest(range(1, o_orderkey % 4 + 2)) AS i FROM orders WHERE o_orderkey % 50 > 1"
+NEEDS["v_assets"] = ("ki",)
+
+
+def probes(t: Tables) -> DataFrame:
+    """Orders as probed files: a JSON probe with video, two audio streams and a subtitle, written inside the row."""
+    k = "o_orderkey"
+    dur = "o_totalprice / 50"
+    doc = f"""to_json(named_struct('format', named_struct('duration', if({k} % 19 = 0, 'N/A', cast({dur} AS string)), 'size', cast(cast(o_totalprice * 100 AS bigint) AS string)), 'streams', filter(array(
+      named_struct('index', 0, 'codec_name', if({k} % 2 = 0, 'h264', 'hevc'), 'codec_type', if({k} % 23 = 0, 'data', 'video'), 'start_time', cast(({k} % 5) / 10.0D AS string), 'duration', cast(null AS string), 'width', if({k} % 3 = 0, 3840, 1920), 'height', if({k} % 3 = 0, 2160, 1080),
+        'channels', 0, 'channel_layout', '', 'color_transfer', if({k} % 7 = 0, 'SMPTE2084', 'bt709'), 'tags', map('k', 'v'), 'disposition', map('default', 1), 'side_data_list', if({k} % 11 = 0, array(named_struct('side_data_type', 'Mastering display metadata')), null)),
+      named_struct('index', 1, 'codec_name', 'ac3', 'codec_type', 'audio', 'start_time', cast(({k} % 5) / 10.0D + ({k} % 13) / 50.0D AS string), 'duration', cast({dur} - {k} % 17 AS string), 'width', 0, 'height', 0, 'channels', 6, 'channel_layout', '5.1(side)', 'color_transfer', '',
+        'tags', map('language', if({k} % 4 = 0, 'fre', 'eng')), 'disposition', map('default', cast({k} % 3 = 0 AS int)), 'side_data_list', null),
+      named_struct('index', 2, 'codec_name', if({k} % 5 = 0, 'truehd', 'aac'), 'codec_type', 'audio', 'start_time', '0', 'duration', cast({dur} / if({k} % 9 = 0, 3, 1.25D) AS string), 'width', 0, 'height', 0, 'channels', if({k} % 6 = 0, 0, 2), 'channel_layout', '7.1', 'color_transfer', '',
+        'tags', map('LANGUAGE', 'English', 'title', if({k} % 8 = 0, 'Director Commentary', '')), 'disposition', map('default', cast({k} % 3 = 1 AS int), 'comment', cast({k} % 16 < 9 AND {k} % 8 = 0 OR {k} % 8 = 1 AS int)), 'side_data_list', null),
+      named_struct('index', 3, 'codec_name', 'subrip', 'codec_type', 'subtitle', 'start_time', '0', 'duration', cast(null AS string), 'width', 0, 'height', 0, 'channels', 0, 'channel_layout', '', 'color_transfer', '',
+        'tags', map('language', 'eng', 'title', CASE {k} % 3 WHEN 0 THEN 'English' WHEN 1 THEN 'English (Forced)' ELSE '' END), 'disposition', map('forced', cast({k} % 12 < 2 AS int)), 'side_data_list', null)),
+      s -> NOT (s.index = 2 AND {k} % 10 = 9) AND NOT (s.index = 3 AND {k} % 2 = 1))))"""
+    return t.orders.selectExpr("o_orderkey AS item_id", "'main' AS key", f"if({k} % 29 = 0, '', '/m/' || {k}) AS path", f"{doc} AS probe")

@@ -238,7 +238,7 @@ def anomalies(summary: DataFrame) -> DataFrame:
     only80, only90 = n("below_080") - n("below_070"), n("below_090") - n("below_080")
     early = b("placeholder_only") & ~gate
     prov = s("provenance")
-    rules: list[tuple[Column, str, str, Column]] = [
+    rules: list[tuple[Column, Column | str, str, Column]] = [
         (s("error_message") != "", "critical", "item_state", msg("item failed at ", s("failed_at_stage"), ": ", s("error_message"))),
         (b("needs_review"), "warning", "item_state", msg("item needs review: ", s("review_reasons"))),
         (n("log_errors") > 0, "critical", "logs", msg(n("log_errors"), " error(s) in item log")),
@@ -269,14 +269,12 @@ def anomalies(summary: DataFrame) -> DataFrame:
         (n("probe_errors") > 0, "warning", "media", msg(n("probe_errors"), " media probe(s) failed")),
         (n("av_failed") > 0, "critical", "av_sync", msg(n("av_failed"), " output(s) changed primary-audio timing relative to source")),
         (s("default_language") != "", "warning", "media", msg("non-English default audio language \"", s("default_language"), "\" despite English audio present")),
-        (n("clean_in_review") > 0, "warning", "organization", msg(n("clean_in_review"), " clean resolved episode(s) routed to review")),
+        (n("clean_in_review") > 0, F.when(s("clean_in_review_severity") == "critical", "critical").otherwise("warning"), "organization", msg(n("clean_in_review"), " clean resolved episode(s) routed to review")),
         (n("review_in_library") > 0, "critical", "organization", msg(n("review_in_library"), " review-required episode(s) routed to library")),
         (n("missing_final") > 0, "warning", "organization", msg(n("missing_final"), " episode(s) missing final routed asset")),
     ]
     found = F.array_compact(F.array(*[
-        F.when(cond, F.struct(F.lit(i).alias("rule"),
-                              (F.when(s("clean_in_review_severity") == "critical", "critical").otherwise(F.lit(sev)) if "clean resolved" in cat_hint else F.lit(sev)).alias("severity"),
+        F.when(cond, F.struct(F.lit(i).alias("rule"), (F.lit(sev) if isinstance(sev, str) else sev).alias("severity"),
                               F.lit(cat).alias("category"), text.alias("message")))
-        for i, (cond, sev, cat, text) in enumerate(rules)
-        for cat_hint in [("clean resolved" if i == len(rules) - 3 else "")]]))
+        for i, (cond, sev, cat, text) in enumerate(rules)]))
     return summary.select("item_id", F.inline(found))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from catalogops.operators import linkage as L
 from catalogops.operators import vectors as V
+from catalogops.plans import views as V2
 from catalogops.plans.registry import Tables, query
 from catalogops.policy import MatchPolicy
+from catalogops.session import cut_lineage
 
 # Documents are spread over 128 shelves, each of one of 8 seasons; the policy is lowered so that invented prose
 # yields acceptances.
@@ -213,10 +215,10 @@ def _claims(t: Tables, groups: int, policy: MatchPolicy):
     return r, f, L.build_claims(L.score_pairs(r, f), r, f, policy)
 
 
-def _resolved(t: Tables):
+def _resolved(t: Tables, shelves: int = SHELVES):
     """Claims, acceptances and open candidates of the shelves."""
-    r, f, c = _claims(t, SHELVES, EASY)
-    c = c.persist()
+    r, f, c = _claims(t, shelves, EASY)
+    c = cut_lineage(c)
     a = L.assign_one_to_one(c)
     return r, f, c, a, L.pending_candidates(c, a)
 
@@ -272,10 +274,10 @@ filled AS (SELECT c.grp, c.key, c.number, greatest(0, c.confidence - 0.08) AS co
   WHERE NOT c.suspect AND NOT (b.number <> c.number AND (b.score >= c.score + {m} OR b.confidence >= {k})))"""
 
 
-@query("single_hole_fill", claims_sql(SHELVES, EASY) + HOLE_SQL.format(m=EASY.clear_margin, k=EASY.clear_confidence)
+@query("single_hole_fill", claims_sql(256, EASY) + HOLE_SQL.format(m=EASY.clear_margin, k=EASY.clear_confidence)
        + " SELECT grp, key, number, round(confidence, 6) AS confidence FROM filled")
 def single_hole(t):
-    _, f, _, a, p = _resolved(t)
+    _, f, _, a, p = _resolved(t, 256)
     return show(L.single_hole_fill(a, p, f, EASY), ("grp", "key", "number"), ("confidence",))
 
 
@@ -288,14 +290,14 @@ def verdicts(p: DataFrame) -> DataFrame:
 @query("verdict_outcomes")
 def verdict_outcomes(t):
     _, _, _, _, p = _resolved(t)
-    p = p.persist()
+    p = cut_lineage(p)
     return L.verdict_outcomes(p, verdicts(p)).select("grp", "key", "number", "rank", "outcome")
 
 
 @query("verdict_summary")
 def verdict_summary(t):
     _, _, _, _, p = _resolved(t)
-    p = p.persist()
+    p = cut_lineage(p)
     return L.verdict_summary(L.verdict_outcomes(p, verdicts(p)))
 
 
@@ -361,10 +363,6 @@ def match_summary(t):
     return L.match_summary(d, f, EASY)
 
 
-def _discs(t: Tables) -> DataFrame:
-    return episodes(t).select("grp", (F.col("grp") % 4).alias("disc")).distinct()
-
-
 SCOPE_SQL = """WITH eps AS (SELECT doc_id % 512 AS grp, doc_id AS pos, n_chars AS duration,
   CASE WHEN doc_id % 97 = 5 THEN doc_id % 5 + 1 ELSE 0 END AS number FROM documents),
 season AS (SELECT g.grp, item_id // 8 + 1 AS number FROM benchmark JOIN (SELECT DISTINCT grp FROM eps) g ON g.grp % 8 = item_id % 8),
@@ -391,8 +389,32 @@ def block_candidates(t):
     return L.block_candidates(e, season(t, 512), e.select("grp", (F.col("grp") % 4).alias("disc")).distinct())
 
 
-@query("expand_scope")
+SCOPE_BODY = SCOPE_SQL.removeprefix("WITH ")
+SCOPE_CTES, SCOPE_PICK = SCOPE_BODY.split("\nSELECT grp, number, CASE", 1)
+
+
+@query("expand_scope", claims_sql(512, EASY) + ", " + SCOPE_CTES + ", sc AS (SELECT grp, number, CASE" + SCOPE_PICK + """),
+q AS (SELECT grp, count(*) AS n_scope FROM sc GROUP BY grp), nn AS (SELECT grp, count(*) AS n_season FROM season GROUP BY grp), nr AS (SELECT grp, count(*) AS n_rips FROM rips GROUP BY grp),
+na AS (SELECT grp, count(*) AS n_acc FROM accepted a WHERE EXISTS (SELECT 1 FROM sc WHERE sc.grp = a.grp AND sc.number = a.number) GROUP BY grp),
+ns AS (SELECT grp, count(*) AS n_sus FROM refs f WHERE suspect AND EXISTS (SELECT 1 FROM sc WHERE sc.grp = f.grp AND sc.number = f.doc) GROUP BY grp)
+SELECT grp, reason FROM (SELECT grp, CASE WHEN coalesce(n_acc, 0) < n_rips THEN 'initial_scope_left_unresolved_titles' WHEN coalesce(n_sus, 0) > 0 THEN 'initial_scope_contains_suspect_references' END AS reason
+  FROM q JOIN nn USING (grp) JOIN nr USING (grp) LEFT JOIN na USING (grp) LEFT JOIN ns USING (grp) WHERE n_scope < n_season) WHERE reason IS NOT NULL""")
 def expand_scope(t):
-    r, f, c, a, _ = _resolved(t)
-    sc = L.block_candidates(episodes(t), season(t, SHELVES), _discs(t))
-    return L.expand_scope(sc, season(t, SHELVES), r, a.join(sc, ["grp", "number"], "left_semi"), f)
+    r, f, c, a, _ = _resolved(t, 512)
+    e = episodes(t, 512)
+    sc = cut_lineage(L.block_candidates(e, season(t, 512), e.select("grp", (F.col("grp") % 4).alias("disc")).distinct()))
+    return L.expand_scope(sc, season(t, 512), r, a.join(sc, ["grp", "number"], "left_semi"), f)
+
+
+@query("opening_double_shift", """WITH eps AS (SELECT l_orderkey AS grp, l_orderkey % 2 + 1 AS disc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS pos, l_quantity AS duration FROM lineitem),
+e AS (SELECT *, pos + l_start - 1 AS number FROM (SELECT *, CASE WHEN grp % 3 = 0 THEN 2 ELSE 1 END AS l_start FROM eps)),
+m AS (SELECT grp, list(duration ORDER BY duration) FILTER (pos > 1) AS l, max(duration) FILTER (pos = 1) AS f, count(*) AS n FROM e GROUP BY grp),
+h AS (SELECT grp, n >= 3 AND f >= floor(l[len(l) // 2 + 1] * 1.8::DOUBLE) AND f <= floor(l[len(l) // 2 + 1] * 2.4::DOUBLE) AND grp % 2 = 0 AS shifted FROM m)
+SELECT e.grp, pos, CASE WHEN coalesce(shifted, false) THEN CASE WHEN pos = 1 THEN 1 WHEN l_start = 1 THEN number + 1 ELSE number END ELSE number END AS new_number,
+  CASE WHEN shifted AND pos = 1 THEN 2 END AS number_end, coalesce(shifted, false) AS shifted FROM e JOIN h USING (grp)""")
+def opening_double_shift(t):
+    start = F.when(F.col("item_id") % 3 == 0, 2).otherwise(1)
+    e = V2.members(t).select(F.col("item_id").alias("grp"), (F.col("item_id") % 2 + 1).alias("disc"), F.col("ord").alias("key"), F.col("ord").alias("pos"),
+                             (F.col("ord") + start - 1).alias("number"), F.col("l_quantity").alias("duration"))
+    s = t.orders.select(F.col("o_orderkey").alias("grp"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("number")).withColumn("name", F.lit("Episode"))
+    return L.opening_double_shift(e, s).select("grp", "pos", "new_number", "number_end", "shifted")

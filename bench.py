@@ -14,7 +14,7 @@ from catalogops import plans  # noqa: E402
 from catalogops.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "top_match_per_document", "score_pairs", "claims", "near_duplicate_documents", "assign_one_to_one",
+    "top_match_per_document", "score_pairs", "claims", "assign_one_to_one",
     "decision_groups", "stage_timings", "downsample_progress", "attribute_events", "blocked_waits", "tail_events",
     "ready_tasks", "stage_stats", "derive_stage", "expected_work",
     "clean_cues", "cue_qc_stats", "text_anchors", "interval_overlap", "segment_medians",

@@ -25,8 +25,8 @@ HOLE_PENALTY = 0.08
 
 def rip_vectors(rips: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rip weighted, rip raw, ref weighted, ref raw); idf comes from the references alone."""
-    rip_raw = V.tf_vectors(rips.withColumnRenamed("key", "doc"))
-    ref_raw = V.tf_vectors(refs.withColumnRenamed("number", "doc"))
+    rip_raw = cut_lineage(V.tf_vectors(rips.withColumnRenamed("key", "doc")))
+    ref_raw = cut_lineage(V.tf_vectors(refs.withColumnRenamed("number", "doc")))
     table = V.idf(ref_raw)
     return V.tfidf_vectors(rip_raw, table), rip_raw, V.tfidf_vectors(ref_raw, table), ref_raw
 
@@ -38,7 +38,7 @@ def score_pairs(rips: DataFrame, refs: DataFrame) -> DataFrame:
     the others, which keeps the very frequent terms out of the wide join.
     """
     rip_w, rip_raw, ref_w, ref_raw = rip_vectors(rips, refs)
-    weighted = V.cosine(rip_w, ref_w).withColumnRenamed("score", "weighted")
+    weighted = cut_lineage(V.cosine(rip_w, ref_w).withColumnRenamed("score", "weighted"))
     raw = V.rescore(weighted.filter(F.col("weighted") >= RAW_LIFT_MIN_WEIGHTED), rip_raw, ref_raw, "raw")
     lifted = F.when(F.col("raw") >= RAW_LIFT_MIN_RAW, F.greatest("weighted", "raw")).otherwise(F.col("weighted"))
     return (weighted.join(raw, ["grp", "a", "b"], "left")
@@ -104,7 +104,7 @@ def build_claims(pairs: DataFrame, rips: DataFrame, refs: DataFrame, policy: Mat
     Runner-ups look at all pairs, claimed or not; absent pairs count as 0.
     """
     p = policy.normalized()
-    pairs = pairs.join(rips.select("grp", "key", "pos"), ["grp", "key"])
+    pairs = cut_lineage(pairs.join(rips.select("grp", "key", "pos"), ["grp", "key"]))  # read four times below
     by_rip = _top_two(pairs, ["grp", "key"], [F.desc("score"), F.asc("number")], "f", "number")
     by_ref = _top_two(pairs, ["grp", "number"], [F.desc("score"), F.asc("pos")], "k", "key")
     base = pairs.filter(F.col("score") >= p.min_similarity)

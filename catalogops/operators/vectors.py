@@ -8,9 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalogops.session import cut_lineage
+
 # Fixed values of the text fingerprint.
 TOKEN_SPLIT = "[^a-z0-9]+"
 MIN_TOKEN = 3
+SAME_TEXT = 0.92
 # Sums of products depend on the order of addition in the last bits; scores are cut to this many places so
 # that exact copies tie exactly whatever the partitioning.
 PLACES = 9
@@ -77,15 +80,17 @@ def prefix_terms(vectors: DataFrame, term_rank: DataFrame, threshold: float) ->
     """The rare-first part of every vector that a partner scoring >= threshold must touch.
 
     With terms in one global order, the first shared term of such a pair lies where the remaining norm of
-    either vector still reaches the threshold, so joining these prefixes loses no pair.
+    either vector still reaches the threshold, so joining these prefixes loses no pair.  `rest` is
+    the squared norm from the term on.
     """
     tail = (Window.partitionBy("grp", "doc").orderBy(F.desc("df"), F.desc("term"))
             .rowsBetween(Window.unboundedPreceding, 0))
     bound = (threshold - 10.0 ** (1 - PLACES)) ** 2
+    sq = F.col("weight") * F.col("weight")
     return (vectors.join(term_rank.select("grp", "term", "df"), ["grp", "term"], "left")
             .withColumn("df", F.coalesce("df", F.lit(0)))
-            .withColumn("left_norm", F.sum(F.col("weight") * F.col("weight")).over(tail))
-            .filter(F.col("left_norm") >= bound).select("grp", "doc", "term"))
+            .withColumn("rest", F.sum(sq).over(tail)).filter(F.col("rest") >= bound)
+            .select("grp", "doc", "term", "rest"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -95,7 +100,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     return hashed.join(reps, ["grp", "h"]).select("grp", "doc", "rep")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = SAME_TEXT) -> DataFrame:
     """Pairs a < b of distinct texts with cosine >= threshold.
 
     Copies of one text are compared once, through their representative (see `representatives` for the
@@ -103,9 +108,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """
     reps = docs.groupBy("grp", F.sha2("text", 256).alias("h")).agg(F.min("doc").alias("doc"),
                                                                    F.min_by("text", "doc").alias("text"))
-    v = tf_vectors(reps)
+    v = cut_lineage(tf_vectors(reps))
     ranks = v.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
     p = prefix_terms(v, ranks, threshold)
-    cand = (p.withColumnRenamed("doc", "a").join(p.withColumnRenamed("doc", "b"), ["grp", "term"])
-            .filter("a < b").select("grp", "a", "b").distinct())
+    a = p.select("grp", "term", F.col("doc").alias("a"), F.col("rest").alias("ra"))
+    b = p.select("grp", "term", F.col("doc").alias("b"), F.col("rest").alias("rb"))
+    # Up to the first shared term nothing adds to the product, so from there on both vectors together must still
+    # reach the threshold; `rest` only shrinks along the order, so the first shared term is the weakest test.
+    enough = (threshold - 10.0 ** (1 - PLACES)) ** 2
+    cand = (a.join(b, ["grp", "term"]).filter((F.col("a") < F.col("b")) & (F.col("ra") * F.col("rb") >= enough))
+            .select("grp", "a", "b").distinct())
     return rescore(cand, v, v).filter(F.col("score") >= threshold)

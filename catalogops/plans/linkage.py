@@ -150,7 +150,7 @@ pending AS MATERIALIZED (SELECT * FROM (
     AND NOT EXISTS (SELECT 1 FROM accepted a WHERE a.grp = c.grp AND a.number = c.number)) WHERE rank <= 2)"""
 
 
-R6 = "round({0}, 6) AS {0}"
+R6 = "round({0}, 9) AS {0}"
 CLAIM_COLS = ("grp", "key", "number", "suspect", "runner_up_number", "rip_runner_up_key", "neighbor_number", "quality",
               "reasons", "needs_verify", "auto_accept")
 CLAIM_NUMS = ("score", "runner_up_score", "rip_runner_up_score", "neighbor_score", "rip_margin", "ref_margin",
@@ -159,7 +159,7 @@ CLAIM_SELECT = ", ".join(CLAIM_COLS) + ", " + ", ".join(R6.format(c) for c in CL
 
 
 def show(df: DataFrame, cols=CLAIM_COLS, nums=CLAIM_NUMS) -> DataFrame:
-    return df.select(*cols, *[F.round(c, 6).alias(c) for c in nums])
+    return df.select(*cols, *[F.round(c, 9).alias(c) for c in nums])
 
 
 @query("tf_vectors", f"""WITH d AS (SELECT 1 AS grp, doc_id AS doc, text FROM documents), {vec_sql('d', 'v')}
@@ -198,11 +198,11 @@ def top_match(t):
 
 @query("near_duplicate_documents", f"""WITH d AS (SELECT 1 AS grp, min(doc_id) AS doc, text FROM documents GROUP BY text),
 {vec_sql('d', 'v')}
-SELECT * FROM (SELECT a.doc AS a, b.doc AS b, round(round(sum(a.weight * b.weight), 9), 6) AS score
-  FROM v a JOIN v b ON a.term = b.term AND a.doc < b.doc GROUP BY ALL) WHERE score >= 0.9""")
+SELECT * FROM (SELECT a.doc AS a, b.doc AS b, round(sum(a.weight * b.weight), 9) AS score
+  FROM v a JOIN v b ON a.term = b.term AND a.doc < b.doc GROUP BY ALL) WHERE score >= 0.92""")
 def near_duplicates(t):
     d = rips(t).withColumnRenamed("key", "doc")
-    return V.near_duplicates(d, 0.9).select("a", "b", F.round("score", 6).alias("score"))
+    return V.near_duplicates(d).select("a", "b", "score")
 
 
 @query("exact_copies", "SELECT doc_id AS doc, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents")
@@ -224,11 +224,11 @@ def _resolved(t: Tables, shelves: int = SHELVES):
 
 
 @query("neighbour_score", f"""{claims_sql(0, MatchPolicy())}
-SELECT key, number, neighbor_number, round(neighbor_score, 6) AS neighbor_score FROM claims""")
+SELECT key, number, neighbor_number, round(neighbor_score, 9) AS neighbor_score FROM claims""")
 def neighbour_score(t):
     p = L.score_pairs(rips(t), refs(t))
     base = p.filter(F.col("score") >= MatchPolicy().min_similarity)
-    return L.neighbour_scores(base, p).select("key", "number", "neighbor_number", F.round("neighbor_score", 6).alias("neighbor_score"))
+    return L.neighbour_scores(base, p).select("key", "number", "neighbor_number", F.round("neighbor_score", 9).alias("neighbor_score"))
 
 
 @query("claims", f"{claims_sql(0, MatchPolicy())} SELECT {CLAIM_SELECT} FROM claims")
@@ -275,7 +275,7 @@ filled AS (SELECT c.grp, c.key, c.number, greatest(0, c.confidence - 0.08) AS co
 
 
 @query("single_hole_fill", claims_sql(256, EASY) + HOLE_SQL.format(m=EASY.clear_margin, k=EASY.clear_confidence)
-       + " SELECT grp, key, number, round(confidence, 6) AS confidence FROM filled")
+       + " SELECT grp, key, number, round(confidence, 9) AS confidence FROM filled")
 def single_hole(t):
     _, f, _, a, p = _resolved(t, 256)
     return show(L.single_hole_fill(a, p, f, EASY), ("grp", "key", "number"), ("confidence",))
@@ -340,7 +340,7 @@ def _applied(t: Tables):
   CASE status WHEN 'probable_extra' THEN 'Episode ID: probable extra; no candidate episode matched'
     WHEN 'unresolved' THEN 'Episode ID: unresolved'
     WHEN 'low_confidence' THEN printf('Episode ID: confidence %.3f below threshold %.2f', match_confidence, 0.04) ELSE '' END AS reasons,
-  round(match_score, 6) AS match_score, round(match_confidence, 6) AS match_confidence FROM applied""")
+  round(match_score, 9) AS match_score, round(match_confidence, 9) AS match_confidence FROM applied""")
 def apply_matches(t):
     d, _ = _applied(t)
     return show(d.withColumn("reasons", F.array_join("reasons", "|")), ("grp", "key", "number", "title", "status", "reasons"),

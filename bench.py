@@ -14,12 +14,10 @@ from catalogops import plans  # noqa: E402
 from catalogops.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "top_match_per_document", "score_pairs", "claims", "assign_one_to_one",
-    "decision_groups", "stage_timings", "downsample_progress", "attribute_events", "blocked_waits", "tail_events",
-    "ready_tasks", "stage_stats", "derive_stage", "expected_work",
-    "clean_cues", "cue_qc_stats", "text_anchors", "interval_overlap", "segment_medians",
-    "primary_title", "runtime_fit", "weighted_median", "majority_profile", "rank_references", "best_stream",
-    "anomalies", "prune_plan", "parse_log_lines",
+    "stage_timings", "decision_groups", "downsample_progress", "tail_events", "attribute_events", "count_string",
+    "stage_stats", "derive_stage", "ready_tasks", "expected_work", "item_overview",
+    "weighted_median", "majority_profile", "rank_references", "top_files", "best_stream", "episode_stats", "prune_plan", "parse_log_lines",
+    "clean_cues", "primary_title", "top_match_per_document",
 )
 
 
@@ -35,6 +33,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": Path(sf_dir).name.removeprefix("sf")}))
 
 

@@ -150,7 +150,7 @@ pending AS MATERIALIZED (SELECT * FROM (
     AND NOT EXISTS (SELECT 1 FROM accepted a WHERE a.grp = c.grp AND a.number = c.number)) WHERE rank <= 2)"""
 
 
-R6 = "round({0}, 9) AS {0}"
+R6, R9 = "round({0}, 6) AS {0}", "round({0}, 9) AS {0}"
 CLAIM_COLS = ("grp", "key", "number", "suspect", "runner_up_number", "rip_runner_up_key", "neighbor_number", "quality",
               "reasons", "needs_verify", "auto_accept")
 CLAIM_NUMS = ("score", "runner_up_score", "rip_runner_up_score", "neighbor_score", "rip_margin", "ref_margin",
@@ -158,8 +158,8 @@ CLAIM_NUMS = ("score", "runner_up_score", "rip_runner_up_score", "neighbor_score
 CLAIM_SELECT = ", ".join(CLAIM_COLS) + ", " + ", ".join(R6.format(c) for c in CLAIM_NUMS)
 
 
-def show(df: DataFrame, cols=CLAIM_COLS, nums=CLAIM_NUMS) -> DataFrame:
-    return df.select(*cols, *[F.round(c, 9).alias(c) for c in nums])
+def show(df: DataFrame, cols=CLAIM_COLS, nums=CLAIM_NUMS, places: int = 6) -> DataFrame:
+    return df.select(*cols, *[F.round(c, places).alias(c) for c in nums])
 
 
 @query("tf_vectors", f"""WITH d AS (SELECT 1 AS grp, doc_id AS doc, text FROM documents), {vec_sql('d', 'v')}
@@ -185,15 +185,15 @@ def tfidf_vectors(t):
 PAIR_NUMS = ("weighted", "raw", "score")
 
 
-@query("score_pairs", f"{pairs_sql()} SELECT key, number, {', '.join(R6.format(c) for c in PAIR_NUMS)} FROM pairs")
+@query("score_pairs", f"{pairs_sql()} SELECT key, number, {', '.join(R9.format(c) for c in PAIR_NUMS)} FROM pairs")
 def score_pairs(t):
-    return show(L.score_pairs(rips(t), refs(t)), ("key", "number"), PAIR_NUMS)
+    return show(L.score_pairs(rips(t), refs(t)), ("key", "number"), PAIR_NUMS, 9)
 
 
-@query("top_match_per_document", f"""{pairs_sql()} SELECT key, number, {', '.join(R6.format(c) for c in PAIR_NUMS)} FROM (
+@query("top_match_per_document", f"""{pairs_sql()} SELECT key, number, {', '.join(R9.format(c) for c in PAIR_NUMS)} FROM (
   SELECT *, row_number() OVER (PARTITION BY grp, key ORDER BY score DESC, number) AS rn FROM pairs) WHERE rn = 1""")
 def top_match(t):
-    return show(L.top_match(L.score_pairs(rips(t), refs(t))), ("key", "number"), PAIR_NUMS)
+    return show(L.top_match(L.score_pairs(rips(t), refs(t))), ("key", "number"), PAIR_NUMS, 9)
 
 
 @query("near_duplicate_documents", f"""WITH d AS (SELECT 1 AS grp, min(doc_id) AS doc, text FROM documents GROUP BY text),
@@ -275,7 +275,7 @@ filled AS (SELECT c.grp, c.key, c.number, greatest(0, c.confidence - 0.08) AS co
 
 
 @query("single_hole_fill", claims_sql(256, EASY) + HOLE_SQL.format(m=EASY.clear_margin, k=EASY.clear_confidence)
-       + " SELECT grp, key, number, round(confidence, 9) AS confidence FROM filled")
+       + " SELECT grp, key, number, round(confidence, 6) AS confidence FROM filled")
 def single_hole(t):
     _, f, _, a, p = _resolved(t, 256)
     return show(L.single_hole_fill(a, p, f, EASY), ("grp", "key", "number"), ("confidence",))
@@ -340,7 +340,7 @@ def _applied(t: Tables):
   CASE status WHEN 'probable_extra' THEN 'Episode ID: probable extra; no candidate episode matched'
     WHEN 'unresolved' THEN 'Episode ID: unresolved'
     WHEN 'low_confidence' THEN printf('Episode ID: confidence %.3f below threshold %.2f', match_confidence, 0.04) ELSE '' END AS reasons,
-  round(match_score, 9) AS match_score, round(match_confidence, 9) AS match_confidence FROM applied""")
+  round(match_score, 6) AS match_score, round(match_confidence, 6) AS match_confidence FROM applied""")
 def apply_matches(t):
     d, _ = _applied(t)
     return show(d.withColumn("reasons", F.array_join("reasons", "|")), ("grp", "key", "number", "title", "status", "reasons"),

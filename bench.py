@@ -16,8 +16,8 @@ from catalogops.session import build_session  # noqa: E402
 HEADLINE = (
     "stage_timings", "decision_groups", "downsample_progress", "tail_events", "attribute_events", "count_string",
     "stage_stats", "derive_stage", "ready_tasks", "expected_work", "item_overview",
-    "weighted_median", "majority_profile", "rank_references", "top_files", "best_stream", "episode_stats", "prune_plan", "parse_log_lines",
-    "clean_cues", "primary_title", "top_match_per_document",
+    "weighted_median", "majority_profile", "rank_references", "top_files", "prune_plan",
+    "parse_log_lines", "best_stream", "clean_cues", "top_match_per_document",
 )
 
 

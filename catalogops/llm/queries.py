@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalogops.llm import langid, quality, sketch, toxicity
+from catalogops.llm import langid, neardup, quality, sketch, toxicity
 from catalogops.llm.common import table
 
 
@@ -27,3 +27,20 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op2_language_id, op4_toxicity, op6_quality, op9_fingerprints)}
 SQL: dict[str, str] = {}
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+QUERIES["op10_near_duplicates"] = op10_near_duplicates
+SQL["op10_near_duplicates"] = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w ELSE list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS hits FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * hits >= 80 * (x.n + y.n - hits)),
+g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM n UNION SELECT g.b, r.seen FROM r JOIN g ON g.a = r.doc_id AND r.seen < g.b)
+SELECT r.doc_id, n.n AS n_shingles, min(seen) AS component_id, r.doc_id = min(seen) AS kept FROM r JOIN n USING (doc_id) GROUP BY r.doc_id, n.n"""

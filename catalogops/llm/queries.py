@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from catalogops.llm import langid, neardup, quality, sketch, toxicity
+from catalogops.llm import decontam, langid, neardup, quality, sketch, toxicity
 from catalogops.llm.common import table
 
 
@@ -44,3 +45,24 @@ l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc
 g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(doc_id, seen) AS (SELECT doc_id, doc_id FROM n UNION SELECT g.b, r.seen FROM r JOIN g ON g.a = r.doc_id AND r.seen < g.b)
 SELECT r.doc_id, n.n AS n_shingles, min(seen) AS component_id, r.doc_id = min(seen) AS kept FROM r JOIN n USING (doc_id) GROUP BY r.doc_id, n.n"""
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    digest = F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256")
+    return decontam.contamination(docs, items).select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+QUERIES["op3_decontamination"] = op3_decontamination
+WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+SQL["op3_decontamination"] = f"""
+WITH i AS (SELECT item_id::VARCHAR AS item, {WORDS_SQL} AS w FROM benchmark),
+p AS MATERIALIZED (SELECT DISTINCT item, array_to_string(w[k:k + 12], ' ') AS phrase, len(w[k:k + 12]) AS n
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+d AS MATERIALIZED (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+t AS MATERIALIZED (SELECT doc_id, k, array_to_string(w[k:k + n - 1], ' ') AS phrase, n FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d), (SELECT DISTINCT n FROM p) WHERE k + n - 1 <= len(w)),
+m AS MATERIALIZED (SELECT t.doc_id, t.k, t.n, p.item FROM t JOIN p ON t.phrase = p.phrase AND t.n = p.n),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM m) GROUP BY doc_id),
+j AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(j.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN j USING (doc_id)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogops.llm import decontam, langid, neardup, quality, sketch, toxicity
+from catalogops.llm import decontam, langid, linetree, neardup, quality, sketch, toxicity
 from catalogops.llm.common import table
 
 
@@ -66,3 +66,34 @@ h AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(
 j AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM m GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(j.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN j USING (doc_id)"""
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linetree.drop_recurring_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"), "text")
+
+
+QUERIES["op8_line_dedup"] = op8_line_dedup
+MASK_SQL = "CASE WHEN regexp_matches(l, '[0-9]') THEN regexp_replace(l, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE l END"
+SQL["op8_line_dedup"] = f"""
+WITH raw AS MATERIALIZED (SELECT doc_id, k, line, {MASK_SQL} AS m FROM (SELECT doc_id, k, line, trim(line, ' ') AS l FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents))),
+s AS MATERIALIZED (SELECT *, len(t) AS n, array_to_string(t[1:4], ' ') AS head FROM (SELECT DISTINCT doc_id, m, string_split(m, ' ') AS t FROM raw) WHERE len(t) >= 3),
+leaf AS (SELECT n, head FROM (SELECT DISTINCT doc_id, line, m FROM raw) JOIN s USING (doc_id, m) GROUP BY ALL HAVING count(*) >= 3),
+sh AS MATERIALIZED (SELECT s.* FROM s JOIN leaf USING (n, head)),
+u AS MATERIALIZED (SELECT n, head, m, t, count(*) AS docs FROM sh GROUP BY ALL),
+pl AS MATERIALIZED (SELECT n, head, m, docs, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM u),
+sup AS (SELECT n, head, pos, token FROM pl WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 3),
+con AS (SELECT * FROM sup JOIN (SELECT n, head, pos FROM sup GROUP BY ALL HAVING count(*) <= 20) USING (n, head, pos)),
+tp AS (SELECT pl.n, pl.head, pl.m, count(con.token) AS c, string_agg(pl.pos || '=' || con.token, ' ' ORDER BY pl.pos) FILTER (con.token IS NOT NULL) AS parts
+  FROM pl LEFT JOIN con ON pl.n = con.n AND pl.head = con.head AND pl.pos = con.pos AND pl.token = con.token GROUP BY ALL),
+te AS (SELECT m, CASE WHEN c >= 0.5 * n THEN 'T' || n || '|' || head || '|' || coalesce(parts, '') ELSE 'L' || m END AS template FROM tp),
+seen AS MATERIALIZED (SELECT DISTINCT doc_id, m, n, template FROM sh JOIN te USING (m)),
+cand AS (SELECT template FROM (SELECT DISTINCT template, doc_id, n FROM seen) GROUP BY template HAVING count(*) >= 3 AND count(*) * max(n) >= 30),
+ins AS (SELECT doc_id, sum(n) AS inside FROM seen WHERE template IN (FROM cand) GROUP BY doc_id),
+cop AS (SELECT doc_id FROM ins JOIN documents USING (doc_id) WHERE inside >= 0.5 * (length(text) - length(replace(text, ' ', '')) + 1)),
+vot AS (SELECT template FROM (SELECT DISTINCT template, doc_id, n FROM seen WHERE doc_id NOT IN (FROM cop)) GROUP BY template HAVING count(*) >= 3 AND count(*) * max(n) >= 30),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, m FROM seen WHERE template IN (FROM vot)),
+out AS (SELECT raw.doc_id, count(*) AS n_lines, count(gone.m) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (gone.m IS NULL), '') AS text
+  FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.m = gone.m GROUP BY raw.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(out.text) AS text_sha256, out.text AS text FROM documents d LEFT JOIN out USING (doc_id)"""

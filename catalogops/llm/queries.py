@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogops.llm import decontam, langid, linetree, neardup, quality, sketch, toxicity
+from catalogops.llm import decontam, langid, linetree, mixing, neardup, quality, sketch, toxicity
 from catalogops.llm.common import table
 
 
@@ -97,3 +97,11 @@ gone AS MATERIALIZED (SELECT DISTINCT doc_id, m FROM seen WHERE template IN (FRO
 out AS (SELECT raw.doc_id, count(*) AS n_lines, count(gone.m) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (gone.m IS NULL), '') AS text
   FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.m = gone.m GROUP BY raw.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(out.text) AS text_sha256, out.text AS text FROM documents d LEFT JOIN out USING (doc_id)"""
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op7_mixing"] = op7_mixing

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogops.llm.common import fit_logistic, map_texts, remainder, sigmoid
+from catalogops.llm.common import fit_logistic, keep, map_texts, remainder, sigmoid
 
 # Letters of other scripts that look like a Latin one, and digits and signs that stand for a letter inside a word.
 LOOKALIKES = dict(zip("авекмнорстухіјѕԁԛԝһӏαβεικνορτυχωɑɡıℓ", "abekmhopctyxijsdqwhlabeiknoptuxwagil", strict=True))
@@ -111,21 +111,23 @@ def learn_entries(counts, n_toxic: int, n_other: int, certain: float = 0.5, most
     return dict(sorted(out.items(), key=lambda x: (-kept[x[0]][1], x[0]))[:most])
 
 
-def fit(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, per_class: int = 6000) -> tuple[Lexicon, np.ndarray | None]:
-    """Lexicon and curve from `labelled(doc_id, text, label)`, at most about `per_class` texts of each label.
+def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, per_class: int = 6000) -> tuple[Lexicon, np.ndarray | None]:
+    """Lexicon and curve from `docs(doc_id, text)` and `labels(doc_id, label)`, at most about `per_class` texts of each label.
 
     Texts that share forty characters of their middle count once, so that copies do not vote.  One half learns the entries,
     the other the curve.  None stands for the curve when a class is missing.
     """
-    middle = F.expr("substring(text, greatest(1, cast(length(text) / 2 as int) - 20), 40)")
-    once = labelled.filter("text is not null and label in (0, 1)").groupBy("label", middle.alias("m")).agg(F.min("doc_id").alias("doc_id"))
+    middle = F.xxhash64(F.expr("substring(text, greatest(1, cast(length(text) / 2 as int) - 20), 40)"))
+    known = docs.filter("text is not null").select("doc_id", middle.alias("m")).join(labels.filter("label in (0, 1)"), "doc_id")
+    once = keep(known.groupBy("label", "m").agg(F.min("doc_id").alias("doc_id")), "labelled")
     sizes = {r.label: r["count"] for r in once.groupBy("label").count().collect()}
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     limit = F.coalesce(*[F.when(F.col("label") == k, F.lit((1 << 20) * min(1.0, per_class / n))) for k, n in sizes.items()], F.lit(0.0))
     chosen = once.filter(order < limit).select("doc_id", "label")
     if set(sizes) != {0, 1}:
         return Lexicon({}, exceptions), None
-    texts = labelled.join(F.broadcast(chosen), ["doc_id", "label"]).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)))
+    texts = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id")  # bounded by per_class
+    texts = keep(texts.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))), "toxicity-sample")
 
     def counts(batches):
         for b in batches:
@@ -166,7 +168,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, hold_out: int = 5, thres
     and empty texts have no hit and get the score of such texts; without labels of both classes every score is 0.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter(F.col("label").isNotNull() & (remainder("doc_id", hold_out) != 0))
-    lexicon, curve = fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    lexicon, curve = fit(docs.select("doc_id", "text"), known)
     rows = docs.select("doc_id", F.coalesce(remainder("doc_id", hold_out) == 0, F.lit(False)).alias("held_out"), "text")
     cache = []
 

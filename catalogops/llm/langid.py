@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogops.llm.common import map_texts, remainder
@@ -106,9 +106,11 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], passes: int = 8, b
 
 
 def sample(labelled: DataFrame, per_language: int, windows_per_text: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """At most `per_language` texts for each language, in the order of a hash of their id, and some windows of each."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("doc_id", "lang").distinct().withColumn("_rank", rank).filter(F.col("_rank") <= per_language).select("doc_id", "lang")
+    """About `per_language` texts of each language, chosen by a hash of their id, and some windows of each."""
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
+    limits = labelled.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in sizes.items()], "lang string, part double")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    texts = labelled.join(F.broadcast(limits), "lang").filter(place < F.col("part")).select("doc_id", "lang", "text")
 
     def pick(part):
         out = []
@@ -120,7 +122,6 @@ def sample(labelled: DataFrame, per_language: int, windows_per_text: int) -> tup
             out.append([w[i].tobytes() for i in sorted({int(k) for k in np.linspace(0, len(w) - 1, windows_per_text)})])
         return {"windows": out}
 
-    texts = labelled.join(F.broadcast(chosen), ["doc_id", "lang"])  # bounded: per_language rows for each language
     rows = map_texts(texts, ["doc_id", "lang"], "text", pick, "windows array<binary>").collect()
     rows.sort(key=lambda r: (r.lang, r.doc_id, r.windows))
     languages = sorted({r.lang for r in rows if r.windows})
@@ -155,7 +156,7 @@ def predict(net: Network, texts: list) -> dict:
 def identify(docs: DataFrame, hold_out: tuple[int, int] = (4, 2), per_language: int = 500, windows_per_text: int = 4) -> DataFrame:
     """Every row of `docs` with held_out, lang_pred and score.
 
-    Learns from rows with a non-null lang whose crc32(doc_id) modulo the first number of `hold_out` is not the second, at most
+    Learns from rows with a non-null lang whose crc32(doc_id) modulo the first number of `hold_out` is not the second, about
     `per_language` texts of each language.  A text that is null or has no letter is `und` with score 0, as is every text when
     nothing could be learnt.
     """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogops.llm import decontam, langid, linetree, mixing, neardup, quality, sketch, toxicity
+from catalogops.llm import chat, decontam, htmlmain, langid, linetree, mixing, neardup, quality, sketch, toxicity
 from catalogops.llm.common import table
 
 
@@ -105,3 +105,27 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_mixing"] = op7_mixing
+
+
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.format_preferences(chat.preference_pairs(table(spark, sf_dir, "conversations")))
+    flat = [F.array_join(F.transform(f"{s}_spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias(f"{s}_spans") for s in ("chosen", "rejected")]
+    return out.select("pair_id", "kind", "n_shared", "prompt", "chosen_completion", "rejected_completion", *flat)
+
+
+QUERIES |= {"op1_main_text": op1_main_text, "op5_preferences": op5_preferences}
+HEAD_SQL = "'<|im_start|>' || role || chr(10)"
+SQL["op5_preferences"] = f"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+n AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, role, text FROM t),
+a AS (SELECT conv_id, max(i) AS hi, min(i) AS lo FROM n WHERE role = 'assistant' GROUP BY conv_id HAVING max(i) > 0),
+p AS (SELECT conv_id, string_agg({HEAD_SQL} || text || '<|im_end|>' || chr(10), '' ORDER BY i) AS prompt FROM n JOIN a USING (conv_id) WHERE i < hi GROUP BY conv_id),
+v AS (SELECT a.conv_id, hi, l.text AS good, f.text AS earlier, lo FROM a JOIN n l ON l.conv_id = a.conv_id AND l.i = a.hi JOIN n f ON f.conv_id = a.conv_id AND f.i = a.lo),
+w AS (SELECT conv_id, hi, good, 'truncated' AS kind, left(good, length(good) // 2) AS bad FROM v UNION ALL SELECT conv_id, hi, good, 'repeated', earlier FROM v WHERE lo < hi)
+SELECT conv_id AS pair_id, kind, hi::INT AS n_shared, prompt, '<|im_start|>assistant' || chr(10) || good || '<|im_end|>' || chr(10) AS chosen_completion,
+  '<|im_start|>assistant' || chr(10) || bad || '<|im_end|>' || chr(10) AS rejected_completion,
+  '22-' || (22 + length(good) + 11) AS chosen_spans, '22-' || (22 + length(bad) + 11) AS rejected_spans FROM w JOIN p USING (conv_id) WHERE good <> bad"""

@@ -144,11 +144,11 @@ def score_statistics(rows: DataFrame, model: Discriminant, threshold: float) ->
     return rows.select(*names, "stats").mapInArrow(run, schema)
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, hold_out: int = 5, threshold: float = 0.3) -> DataFrame:
     """The rows of `docs` that the classifier accepts, with their own columns.  Rows with a null id are scored too."""
-    stats = keep(document_statistics(docs.select("doc_id", "text")), "quality-stats")
-    train = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1))
-    model = fit(class_sums(stats.join(train, "doc_id")))
+    train = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (remainder("doc_id", hold_out) != 0))
+    labelled = docs.select("doc_id", "text").filter("doc_id is not null")
+    model = fit(class_sums(document_statistics(labelled).join(train, "doc_id")))
     return filter_batches(docs, model, threshold)
 
 

@@ -66,6 +66,17 @@ def map_texts(df: DataFrame, id_columns: Sequence[str], text: str, fn: Callable[
     return df.select(*ids, text).mapInArrow(run, out)
 
 
+def with_safe_names(docs: DataFrame, needed: Sequence[str], fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`fn` over `docs` with every column but `needed` renamed out of the way, and the names restored afterwards.
+
+    A column of `docs` that has the name of one that `fn` adds gives way to it.
+    """
+    held = {c: c if c in needed else f"_x{i}" for i, c in enumerate(docs.columns)}
+    out = fn(docs.select([F.col(f"`{c}`").alias(v) for c, v in held.items()]))
+    added = [c for c in out.columns if c not in held.values()]
+    return out.select([F.col(v).alias(c) for c, v in held.items() if c not in added and v in out.columns] + added)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all 64 output bits."""
     with np.errstate(over="ignore"):

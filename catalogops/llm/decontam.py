@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogops.llm.common import keep, lower_ascii
+from catalogops.llm.common import keep, lower_ascii, with_safe_names
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASE = 13
@@ -121,6 +121,10 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = PHRASE) -> Da
     n_hit counts the words inside any occurrence of a phrase; a document is contaminated when that is at least a twentieth of its
     words.  Null and empty texts have no words; a null item id has no entry in item_ids; repeated rows each get the result.
     """
+    return with_safe_names(docs, ["doc_id", "text"], lambda d: _judged(d, items, length))
+
+
+def _judged(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
     found = phrase_matches(docs, items, length)
     span = F.aggregate(
         "found", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
@@ -135,8 +139,4 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = PHRASE) -> Da
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` that are not contaminated, with their own columns."""
-    plain = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    named = plain.withColumnRenamed(f"c{docs.columns.index('doc_id')}", "doc_id").withColumnRenamed(f"c{docs.columns.index('text')}", "text")
-    kept = contamination(named, items).filter("not contaminated")
-    back = {c: c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)}
-    return kept.select([F.col(v).alias(k) for k, v in back.items()])
+    return with_safe_names(docs, ["doc_id", "text"], lambda d: _judged(d, items, PHRASE).filter("not contaminated").select(d.columns))

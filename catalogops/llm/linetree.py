@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogops.llm.common import keep
+from catalogops.llm.common import keep, with_safe_names
 
 FIELD = "<*>"
 #: A stored list of at most so many rows of three numbers (some 10 MB) is broadcast; a longer one is joined by a shuffle.
@@ -101,6 +101,10 @@ def drop_recurring_lines(docs: DataFrame, rules: TreeRules = RULES) -> DataFrame
     Lines end at a line feed; the lines that stay keep their order and spelling.  A text that loses nothing is returned as it is;
     null stays null with 0 lines.  Rows repeated under one id and text count as one document.
     """
+    return with_safe_names(docs, ["doc_id", "text"], lambda d: _dropped(d, rules))
+
+
+def _dropped(docs: DataFrame, rules: TreeRules) -> DataFrame:
     gone = recurring(docs, rules).groupBy("doc").agg(F.collect_set("line_id").alias("_gone"))
     joined = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(gone, F.col("_doc") == F.col("doc"), "left").drop("_doc", "doc")
     split = joined.withColumn("_lines", F.split("text", "\n"))
@@ -117,13 +121,10 @@ def cleaned_documents(docs: DataFrame, rules: TreeRules = RULES) -> DataFrame:
 
     A document of which nothing but blanks is left after dropping goes; one that was blank before stays.
     """
-    plain = docs.select([F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"c{i}") for i, c in enumerate(docs.columns)])
-    out = drop_recurring_lines(plain, rules).filter("n_dropped = 0 or trim(text) <> ''")
-    cols = []
-    for i, c in enumerate(docs.columns):
-        if c == "n_chars":
-            size = F.length("text").cast(docs.schema[c].dataType)
-            cols.append(F.when(F.col("n_dropped") > 0, size).otherwise(F.col(f"c{i}")).alias(c))
-        else:
-            cols.append(F.col(c if c in ("doc_id", "text") else f"c{i}").alias(c))
-    return out.select(cols)
+    def run(d: DataFrame) -> DataFrame:
+        out = _dropped(d, rules).filter("n_dropped = 0 or trim(text) <> ''")
+        if "n_chars" in d.columns:
+            out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        return out.select(d.columns)
+
+    return with_safe_names(docs, ["doc_id", "text", "n_chars"], run)

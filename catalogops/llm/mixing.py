@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalogops.llm.common import keep
+from catalogops.llm.common import keep, with_safe_names
 
 WEIGHTS = (5, 2, 1)
 FAN = 64
@@ -152,9 +152,13 @@ def short_list(df: DataFrame, limit: int = 100_000) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The mix itself: `docs` with `copies`, how often each is taken, and `taken` words; documents taken 0 times are left out.
 
-    Clashing column names of `docs` give way to the new ones.  Texts are not multiplied; a reader repeats a row `copies` times.
+    A column of `docs` named like a new one gives way to it.  Texts are not multiplied; a reader repeats a row `copies` times.
     """
     once = Window.partitionBy("h").orderBy(F.lit(1))
-    plan = mix(docs, weights, most).filter("copies > 0").select("h", "copies", "taken").withColumn("_k", F.row_number().over(once))
-    rows = docs.drop("h", "copies", "taken").withColumn("h", F.xxhash64("doc_id", "text")).withColumn("_k", F.row_number().over(once))
-    return rows.join(plan, ["h", "_k"]).drop("h", "_k")
+
+    def run(d: DataFrame) -> DataFrame:
+        plan = mix(d, weights, most).filter("copies > 0").select("h", "copies", "taken").withColumn("_k", F.row_number().over(once))
+        rows = d.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("_k", F.row_number().over(once))
+        return rows.join(plan, ["h", "_k"]).select(*d.columns, "copies", "taken")
+
+    return with_safe_names(docs, ["doc_id", "text", "source"], run)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalogops.llm.common import keep, map_texts, mix64
+from catalogops.llm.common import keep, map_texts, mix64, with_safe_names
 
 PERMUTATIONS = 80
 ROWS = 5
@@ -237,5 +237,9 @@ def one_per_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     """
     found = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    return (docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-            .withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").drop("_copy"))
+
+    def run(d: DataFrame) -> DataFrame:
+        kept = d.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        return kept.withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").select(d.columns)
+
+    return with_safe_names(docs, ["doc_id", "text"], run)

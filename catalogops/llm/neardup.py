@@ -5,9 +5,11 @@ kept, so half as many functions are evaluated for a signature of the same length
 Bands of ROWS values place a text in buckets.  Texts that share a bucket are candidates; candidates are linked only after an
 exact comparison of the whole sets.
 
-Equal sets count once from the start.  In a bucket, a few leaders are compared with all members, links are closed into
-components, and only members that are still in different components are compared with further leaders (1, 8, 64, ... per
-bucket, until every pair of different components was tried).  So a bucket of n copies costs about n comparisons, and none is left out.
+Equal sets count once from the start.  In every bucket the first member is compared with all others, and links are closed into
+components.  Then only members of different components are still of interest: those outside a bucket's largest component
+meet all its members, block by block inside tasks, by the estimate from a longer signature.  A first pass follows the best
+estimates only, which ends nearly all open cases; the last pass follows every pair that the estimate cannot rule out.  So a bucket of n copies
+costs about n comparisons of sets, no pair is left out, and no list of all pairs is ever written.
 
 A pair of similarity 0.8 shares a band of five with probability 0.328 and is missed by all 32 bands three times in a million.
 Sets are named by a 64-bit hash: among a billion different texts, two share a name with a chance of 3 percent.
@@ -28,10 +30,11 @@ from catalogops.llm.common import keep, map_texts, mix64, with_safe_names
 
 PERMUTATIONS = 80
 ROWS = 5
-_GROW = 8
+WIDE = 512  # permutations of the longer signature, of candidates only
+BLOCK, CHUNK = 256, 1024  # members of a bucket that meet in one step
 _RNG = np.random.default_rng(20240607)
-_A = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
+_A = _RNG.integers(1, 2**63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 2**63, WIDE, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,13 +67,13 @@ def name_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
     """Smallest and largest value under every permutation, one after the other."""
-    low, high = np.full(PERMUTATIONS, 2**64 - 1, np.uint64), np.zeros(PERMUTATIONS, np.uint64)
+    low, high = np.full(permutations, 2**64 - 1, np.uint64), np.zeros(permutations, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(s), 4096):
-            v = _A[:, None] * s[None, i:i + 4096]
-            v += _B[:, None]
+            v = _A[:permutations, None] * s[None, i:i + 4096]
+            v += _B[:permutations, None]
             np.minimum(low, v.min(1), out=low)
             np.maximum(high, v.max(1), out=high)
     return np.stack([low, high], 1).ravel()
@@ -101,14 +104,22 @@ def _describe(width: int):
 def _sets(width: int):
     def run(part):
         sets = [shingle_set(t, width) for t in part]
-        return {"found": [name_of(s) for s in sets], "n": [len(s) for s in sets],
-                "sig": [(signature(s) >> np.uint64(40)).astype(np.uint8).tobytes() for s in sets], "hashes": [s.tobytes() for s in sets]}
+        wide = [signature(s, WIDE) for s in sets]
+        short = [(w >> np.uint64(40)).astype(np.uint8).tobytes() for w in wide]
+        return {"found": [name_of(s) for s in sets], "n": [len(s) for s in sets], "sig": [b[:2 * PERMUTATIONS] for b in short], "wide": short,
+                "bands": [bands(w[:2 * PERMUTATIONS]).tobytes() for w in wide], "hashes": [s.tobytes() for s in sets]}
 
     return run
 
 
+def least_share(percent: int, permutations: int) -> float:
+    """Share of agreeing signature values below which a pair is ruled out: four standard deviations below the limit."""
+    limit = percent / 100
+    return limit - 4 * (limit * (1 - limit) / (2 * permutations)) ** 0.5
+
+
 def _promising(least: float):
-    """Pairs whose signatures agree in at least a share of `least`; the share is four standard deviations below the limit."""
+    """Pairs whose signatures agree in at least a share of `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,6 +130,56 @@ def _promising(least: float):
     return run
 
 
+def _across(least: float, best: int | None):
+    """Promising pairs of members of different components, from rows sorted by (bucket, block, chunk, kind, node).
+
+    Rows of kind 0 are a block of minor members and stay in memory; rows of kind 1 stream past them.  A pair is reported in the
+    first bucket that its members share.  With `best`, only so many pairs of each minor member and batch, those of the best estimate.
+    """
+
+    def compare(key, minor, other):
+        a, root_a, wide_a, bands_a = minor
+        b, root_b, wide_b, bands_b, is_minor = other
+        out = []
+        for i in range(len(a)):
+            share = (wide_b == wide_a[i]).mean(1)
+            good = (share >= least) & (root_b != root_a[i]) & ~(is_minor & (b <= a[i]))
+            at = np.flatnonzero(good)
+            if len(at):
+                same = bands_b[at] == bands_a[i]
+                at = at[bands_a[i][same.argmax(1)] == key[0]]
+            if best and len(at) > best:
+                at = at[np.argsort(-share[at], kind="stable")[:best]]
+            out += [(a[i], b[j]) for j in at]
+        return out
+
+    def columns(b):
+        wide, keys = (np.frombuffer(b"".join(b.column(k).to_pylist()), t).reshape(b.num_rows, -1) for k, t in ((7, np.uint8), (8, np.int64)))
+        return [b.column(k).to_numpy() for k in range(7)], wide, keys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, minor = None, None
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                b = whole.slice(start, 2048)
+                (bucket, block, chunk, kind, node, root, flag), wide, keys = columns(b)
+                cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(block) != 0) | (np.diff(chunk) != 0) | (np.diff(kind) != 0)) + 1
+                out = []
+                for lo, hi in zip([0, *cut], [*cut, len(node)], strict=True):
+                    here = (bucket[lo], block[lo], chunk[lo])
+                    if kind[lo] == 0:
+                        new = (node[lo:hi], root[lo:hi], wide[lo:hi], keys[lo:hi])
+                        minor = tuple(np.concatenate(p) for p in zip(minor, new, strict=True)) if here == key else new
+                        key = here
+                    elif here == key:
+                        out += compare(key, minor, (node[lo:hi], root[lo:hi], wide[lo:hi], keys[lo:hi], flag[lo:hi].astype(bool)))
+                if out:
+                    x = np.array(out, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+    return run
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,20 +193,39 @@ def _linked(percent: int):
     return run
 
 
-def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The `pairs(a, b)` whose whole sets are similar enough."""
+def _side(sets: DataFrame, name: str, value: str) -> DataFrame:
+    return sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col(value).alias(f"v_{name}"))
 
-    def side(name: str, value: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col(value).alias(f"v_{name}"))
 
-    limit = percent / 100
-    least = limit - 4 * (limit * (1 - limit) / (2 * PERMUTATIONS)) ** 0.5
-    sized = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    near = (pairs.join(side("a", "sig"), "a").join(side("b", "sig"), "b").filter(sized).select("a", "b", "v_a", "v_b")
-            .mapInArrow(_promising(least), "a long, b long"))
-    near = keep(near, "near-pairs")
-    return (near.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").select("a", "b", "v_a", "v_b")
-            .mapInArrow(_linked(percent), "a long, b long"))
+def promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The `pairs(a, b)` that sizes and short signatures do not rule out."""
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    both = pairs.join(_side(sets, "a", "sig"), "a").join(_side(sets, "b", "sig"), "b").filter(sized)
+    return both.select("a", "b", "v_a", "v_b").mapInArrow(_promising(least_share(percent, PERMUTATIONS)), "a long, b long")
+
+
+def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The `pairs(a, b)` whose whole sets are similar enough."""
+    both = pairs.join(_side(sets, "a", "hashes"), "a").join(_side(sets, "b", "hashes"), "b")
+    return both.select("a", "b", "v_a", "v_b").mapInArrow(_linked(percent), "a long, b long")
+
+
+def across(labelled: DataFrame, sets: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Promising pairs of different components in the buckets of `labelled(bucket, node, rank, root)`; see `_across`."""
+    counts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = (counts.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("size")).filter("m.c < size")
+            .select("bucket", F.col("m.root").alias("main"), F.ceil((F.col("size") - F.col("m.c")) / BLOCK).cast("int").alias("blocks"),
+                    F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")))
+    m = labelled.join(main, "bucket").withColumn("minor", F.col("root") != F.col("main"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("node")) - 1
+    first = (m.filter("minor").withColumn("block", F.floor(place / BLOCK).cast("int"))
+             .select("bucket", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), "node", "root", "minor"))
+    second = m.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.floor((F.col("rank") - 1) / CHUNK).cast("int").alias("chunk"),
+                      F.lit(1).alias("kind"), "node", "root", "minor")
+    rows = first.union(second).join(sets.select("node", "wide", "bands"), "node")
+    key = ["bucket", "block", "chunk"]
+    return (rows.select(*key, "kind", "node", "root", F.col("minor").cast("int").alias("minor"), "wide", "bands")
+            .repartition(*key).sortWithinPartitions(*key, "kind", "node").mapInArrow(_across(least_share(percent, WIDE), best), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,24 +273,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                    .withColumn("rank", F.row_number().over(in_bucket.orderBy("node"))), "buckets")
     wanted = buckets.select("node").distinct().join(classes, "node")
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
-    sets = map_texts(texts, ["node"], "text", _sets(width), "found long, n long, sig binary, hashes binary")
+    sets = map_texts(texts, ["node"], "text", _sets(width), "found long, n long, sig binary, wide binary, bands binary, hashes binary")
     sets = keep(sets.filter("node = found").drop("found").dropDuplicates(["node"]), "sets")
 
-    largest = buckets.agg(F.max("size")).first()[0] or 0
-    done, leaders, roots = 0, 1, None
-    open_buckets = buckets
-    while done < largest - 1:
-        pairs = keep(_untried(open_buckets, done, leaders), "pairs")
-        if not pairs.isEmpty():
-            new = links(pairs, sets, percent)
-            if roots is not None:
-                new = new.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = components(new)
-            labelled = buckets.join(roots, "node", "left").withColumn("root", rest_of("node"))
-            mixed = labelled.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("bucket")
-            open_buckets = keep(labelled.join(mixed, "bucket"), "open-buckets")
-            largest = open_buckets.agg(F.max("size")).first()[0] or 0
-        done, leaders = leaders, leaders * _GROW
+    leaders = buckets.filter("rank = 1").select("bucket", F.col("node").alias("a"))
+    pairs = leaders.join(buckets.select("bucket", F.col("node").alias("b")), "bucket").filter("a <> b").select("a", "b").distinct()
+    roots = None
+    if not buckets.isEmpty():
+        roots = components(links(keep(promising(pairs, sets, percent), "leader-pairs"), sets, percent))
+        for best in (2, None):
+            labelled = buckets.join(roots, "node", "left").withColumn("root", rest_of("node")).select("bucket", "node", "rank", "root")
+            near = keep(across(labelled, sets, percent, best), "open-pairs")
+            if near.isEmpty():
+                break
+            roots = components(links(near, sets, percent).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     if roots is None:
         joined = classes.withColumn("component_id", F.col("rep")).drop("rep")
     else:
@@ -221,15 +297,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _untried(open_buckets: DataFrame, done: int, leaders: int) -> DataFrame:
-    """Pairs of the bucket's next leaders with later members that are not yet in the same component."""
-    has_root = "root" in open_buckets.columns
-    root = F.col("root") if has_root else F.col("node")
-    first = open_buckets.filter((F.col("rank") > done) & (F.col("rank") <= leaders)).select("bucket", F.col("node").alias("a"), F.col("rank").alias("rank_a"), root.alias("root_a"))
-    rest = open_buckets.select("bucket", F.col("node").alias("b"), F.col("rank").alias("rank_b"), root.alias("root_b"))
-    return first.join(rest, "bucket").filter("rank_a < rank_b and root_a <> root_b").select("a", "b").distinct()
-
-
 def one_per_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one document of each near-duplicate component, the one with the smallest id; all columns stay.
 

@@ -25,7 +25,7 @@ BROADCAST_ROWS = 300_000
 
 @dataclass(frozen=True)
 class TreeRules:
-    depth: int = 4  # leading tokens that select a leaf
+    depth: int = 3  # leading tokens that select a leaf
     min_tokens: int = 3  # shorter lines are never boilerplate
     min_documents: int = 3  # documents that must share a template, and support a constant token
     min_mass: int = 30  # documents times tokens of a template, so that short lines need more witnesses
@@ -38,9 +38,11 @@ RULES = TreeRules()
 
 
 def masked(line: str | Column) -> Column:
-    """The line without outer blanks, tokens with a digit replaced by a field."""
+    """The line without outer blanks, tokens with a digit replaced by a field unless they are more than half of the tokens."""
     c = F.trim(F.col(line) if isinstance(line, str) else line)
-    return F.when(c.rlike("[0-9]"), F.regexp_replace(c, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(c)
+    m = F.regexp_replace(c, "[^ ]*[0-9][^ ]*", FIELD)
+    fields = (F.length(m) - F.length(F.replace(m, F.lit(FIELD)))) / len(FIELD)
+    return F.when(c.rlike("[0-9]"), F.when(fields * 2 <= tokens(c), m).otherwise(c)).otherwise(c)
 
 
 def tokens(line: Column) -> Column:

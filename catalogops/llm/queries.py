@@ -74,11 +74,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_line_dedup"] = op8_line_dedup
-MASK_SQL = "CASE WHEN regexp_matches(l, '[0-9]') THEN regexp_replace(l, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE l END"
+FIELD_SQL = "regexp_replace(l, '[^ ]*[0-9][^ ]*', '<*>', 'g')"
+MASK_SQL = f"CASE WHEN regexp_matches(l, '[0-9]') AND (length({FIELD_SQL}) - length(replace({FIELD_SQL}, '<*>', ''))) / 3 * 2 <= length(l) - length(replace(l, ' ', '')) + 1 THEN {FIELD_SQL} ELSE l END"
 SQL["op8_line_dedup"] = f"""
 WITH raw AS MATERIALIZED (SELECT doc_id, k, line, {MASK_SQL} AS m FROM (SELECT doc_id, k, line, trim(line, ' ') AS l FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents))),
-s AS MATERIALIZED (SELECT *, len(t) AS n, array_to_string(t[1:4], ' ') AS head FROM (SELECT DISTINCT doc_id, m, string_split(m, ' ') AS t FROM raw) WHERE len(t) >= 3),
+s AS MATERIALIZED (SELECT *, len(t) AS n, array_to_string(t[1:3], ' ') AS head FROM (SELECT DISTINCT doc_id, m, string_split(m, ' ') AS t FROM raw) WHERE len(t) >= 3),
 leaf AS (SELECT n, head FROM (SELECT DISTINCT doc_id, line, m FROM raw) JOIN s USING (doc_id, m) GROUP BY ALL HAVING count(*) >= 3),
 sh AS MATERIALIZED (SELECT s.* FROM s JOIN leaf USING (n, head)),
 u AS MATERIALIZED (SELECT n, head, m, t, count(*) AS docs FROM sh GROUP BY ALL),

@@ -84,10 +84,16 @@ def edit(text: str, following: str) -> str:
     return text[:len(text) - n] + following[:n]
 
 
+#: Bytes of text in one id range, which one task sorts; a range start is one number on the driver.
+RANGE_BYTES = 32 << 20
+
+
 def range_starts(docs: DataFrame) -> list[int]:
-    """First sort key of every id range; one number per shuffle partition comes to the driver."""
-    ranged = docs.select("_key").repartitionByRange("_key").select("_key", F.spark_partition_id().alias("part"))
-    return sorted(r[0] for r in ranged.groupBy("part").agg(F.min("_key")).collect())
+    """First sort key of every id range, so many that a range holds about RANGE_BYTES of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    ranged = docs.select("_key").repartitionByRange(n, "_key").select("_key", F.spark_partition_id().alias("part"))
+    return sorted(r.start for r in ranged.groupBy("part").agg(F.min("_key").alias("start")).collect())
 
 
 def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
@@ -118,7 +124,7 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
     for name, kind in (("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"),
                        ("near_edited", "double"), ("near_next", "double"), ("next_contained", "double")):
         schema = schema.add(name, kind)
-    return (placed.repartition("range").sortWithinPartitions("range", "guard", "_key", "text")
+    return (placed.repartition(max(1, 2 * len(starts)), "range").sortWithinPartitions("range", "guard", "_key", "text")
             .select("doc_id", "text", "range", "guard").mapInArrow(_rows(docs.select("doc_id").schema), schema))
 
 

@@ -50,7 +50,7 @@ def parse_library_paths(files: DataFrame) -> DataFrame:
     def num(text: Column, pattern: str, g: int) -> Column:
         return F.nullif(F.regexp_extract(text, pattern, g), F.lit("")).try_cast("int")
 
-    d = files.withColumns({"_ids": ids, "_id": F.get(ids, 0).try_cast("int"), "_folder": num(p, SEASON_FOLDER, 1), "_s": num(base, EPISODE_FILE, 1),
+    d = files.withColumns({"_ids": ids, "_id": F.get(ids, 0).try_cast("long"), "_folder": num(p, SEASON_FOLDER, 1), "_s": num(base, EPISODE_FILE, 1),
                            "_e": num(base, EPISODE_FILE, 2), "_l": F.coalesce(num(base, EPISODE_FILE, 3), num(base, EPISODE_FILE, 2))})
     tv = F.col("_folder").isNotNull()
     bad = (F.col("_s") <= 0) | (F.col("_folder") != F.col("_s")) | (F.col("_e") <= 0) | (F.col("_l") < F.col("_e"))

@@ -239,39 +239,39 @@ def anomalies(summary: DataFrame) -> DataFrame:
     early = b("placeholder_only") & ~gate
     prov = s("provenance")
     rules: list[tuple[Column, Column | str, str, Column]] = [
-        (s("error_message") != "", "critical", "item_state", msg("item failed at ", s("failed_at_stage"), ": ", s("error_message"))),
-        (b("needs_review"), "warning", "item_state", msg("item needs review: ", s("review_reasons"))),
-        (n("log_errors") > 0, "critical", "logs", msg(n("log_errors"), " error(s) in item log")),
-        (n("log_warnings") > 0, "warning", "logs", msg(n("log_warnings"), " warning(s) in item log")),
-        (n("discarded_duplicates") > 0, "critical", "episodes", msg(n("discarded_duplicates"), " eligible DVD title(s) discarded as duplicates; DVD metadata cannot prove duplicate content")),
-        (n("contested") > 0, "warning", "episodes", msg(n("contested"), " episode match decision(s) marked contested")),
-        (n("ambiguous") > 0, "info", "episodes", msg(n("ambiguous"), " episode match decision(s) marked ambiguous")),
-        (n("decisive") > 0, "info", "episodes", msg(n("decisive"), " episode match decision(s) had decisive margins but lower transcript similarity")),
-        (n("subtitle_skips") > 0, "warning", "subtitles", msg(n("subtitle_skips"), " title(s) completed without subtitles")),
-        (n("review_episodes") > 0, "warning", "episodes", msg(n("review_episodes"), " episode(s) explicitly flagged for review")),
-        (gate & (prov == "missing"), "warning", "episodes", msg("episode identification provenance summary missing from envelope attributes")),
-        (gate & (prov == "incomplete"), "warning", "episodes", msg("episode identification provenance summary is incomplete")),
-        (gate & (prov == "inconsistent"), "warning", "episodes", msg("episode identification provenance summary has inconsistent completion state")),
-        (early, "info", "episodes", msg(n("unresolved"), " placeholder episode(s) in pre-episode-identification manifest")),
-        (~early & (n("unresolved") > 0), "critical", "episodes", msg(n("unresolved"), " unresolved episode(s)")),
-        (n("below_070") > 0, "critical", "episodes", msg(n("below_070"), " episode(s) with confidence below 0.70")),
-        (only80 > 0, "warning", "episodes", msg(only80, " episode(s) with confidence below 0.80")),
-        (only90 > 0, "info", "episodes", F.when(n("decisive_in_band") == only90, msg(only90, " decisive episode match(es) below 0.90 with strong margins"))
-         .otherwise(msg(only90, " episode(s) with confidence below 0.90"))),
-        ((n("matched") > 0) & ~b("contiguous"), "warning", "episodes", msg("non-contiguous episode sequence: ", s("range"))),
-        (b("encoding_invalid"), "critical", "encoding", msg("encoding validation failed")),
-        (s("encoding_error") != "", "critical", "encoding", msg("encoding error: ", s("encoding_error"))),
-        (s("encoding_warning") != "", "warning", "encoding", msg("encoding warning: ", s("encoding_warning"))),
-        *[(n(f"failed_{k}") > 0, "critical", "assets", msg(n(f"failed_{k}"), f" failed {k} asset(s)")) for k in KINDS],
-        (b("phase_subtitles") & (n("extra_subtitle_files") > 0), "warning", "subtitles", msg(n("extra_subtitle_files"), " output file(s) have more than one subtitle stream")),
-        (b("phase_subtitles") & (n("forced_subtitle_files") > 0), "warning", "subtitles", msg(n("forced_subtitle_files"), " output file(s) have a forced subtitle stream")),
-        (n("deviating_episodes") > 0, "warning", "consistency", msg(n("deviating_episodes"), " episode(s) deviate from majority media profile")),
-        (n("probe_errors") > 0, "warning", "media", msg(n("probe_errors"), " media probe(s) failed")),
-        (n("av_failed") > 0, "critical", "av_sync", msg(n("av_failed"), " output(s) changed primary-audio timing relative to source")),
-        (s("default_language") != "", "warning", "media", msg("non-English default audio language \"", s("default_language"), "\" despite English audio present")),
-        (n("clean_in_review") > 0, F.when(s("clean_in_review_severity") == "critical", "critical").otherwise("warning"), "organization", msg(n("clean_in_review"), " clean resolved episode(s) routed to review")),
-        (n("review_in_library") > 0, "critical", "organization", msg(n("review_in_library"), " review-required episode(s) routed to library")),
-        (n("missing_final") > 0, "warning", "organization", msg(n("missing_final"), " episode(s) missing final routed asset")),
+        (s("error_message") != "", "critical", "item_state", msg("stopped in ", s("failed_at_stage"), ": ", s("error_message"))),
+        (b("needs_review"), "warning", "item_state", msg("held for review: ", s("review_reasons"))),
+        (n("log_errors") > 0, "critical", "logs", msg(n("log_errors"), " log lines at error level")),
+        (n("log_warnings") > 0, "warning", "logs", msg(n("log_warnings"), " log lines at warning level")),
+        (n("discarded_duplicates") > 0, "critical", "episodes", msg(n("discarded_duplicates"), " titles dropped as duplicates on a source that gives no proof")),
+        (n("contested") > 0, "warning", "episodes", msg(n("contested"), " match decisions: contested")),
+        (n("ambiguous") > 0, "info", "episodes", msg(n("ambiguous"), " match decisions: ambiguous")),
+        (n("decisive") > 0, "info", "episodes", msg(n("decisive"), " match decisions: decisive, low similarity")),
+        (n("subtitle_skips") > 0, "warning", "subtitles", msg(n("subtitle_skips"), " titles finished without a subtitle")),
+        (n("review_episodes") > 0, "warning", "episodes", msg(n("review_episodes"), " episodes carry a review flag")),
+        (gate & (prov == "missing"), "warning", "episodes", msg("provenance: missing")),
+        (gate & (prov == "incomplete"), "warning", "episodes", msg("provenance: incomplete")),
+        (gate & (prov == "inconsistent"), "warning", "episodes", msg("provenance: contradicts itself")),
+        (early, "info", "episodes", msg(n("unresolved"), " episodes are still placeholders")),
+        (~early & (n("unresolved") > 0), "critical", "episodes", msg(n("unresolved"), " episodes have no number")),
+        (n("below_070") > 0, "critical", "episodes", msg(n("below_070"), " episodes of confidence under 0.70")),
+        (only80 > 0, "warning", "episodes", msg(only80, " episodes of confidence 0.70 to 0.80")),
+        (only90 > 0, "info", "episodes", F.when(n("decisive_in_band") == only90, msg(only90, " episodes of confidence 0.80 to 0.90, all decisive"))
+         .otherwise(msg(only90, " episodes of confidence 0.80 to 0.90"))),
+        ((n("matched") > 0) & ~b("contiguous"), "warning", "episodes", msg("gap in the numbers ", s("range"))),
+        (b("encoding_invalid"), "critical", "encoding", msg("encoder output is not valid")),
+        (s("encoding_error") != "", "critical", "encoding", msg("encoder reports: ", s("encoding_error"))),
+        (s("encoding_warning") != "", "warning", "encoding", msg("encoder warns: ", s("encoding_warning"))),
+        *[(n(f"failed_{k}") > 0, "critical", "assets", msg(n(f"failed_{k}"), f" assets failed: {k}")) for k in KINDS],
+        (b("phase_subtitles") & (n("extra_subtitle_files") > 0), "warning", "subtitles", msg(n("extra_subtitle_files"), " outputs with several subtitle streams")),
+        (b("phase_subtitles") & (n("forced_subtitle_files") > 0), "warning", "subtitles", msg(n("forced_subtitle_files"), " outputs with a forced subtitle stream")),
+        (n("deviating_episodes") > 0, "warning", "consistency", msg(n("deviating_episodes"), " episodes unlike the usual profile")),
+        (n("probe_errors") > 0, "warning", "media", msg(n("probe_errors"), " files could not be probed")),
+        (n("av_failed") > 0, "critical", "av_sync", msg(n("av_failed"), " outputs with shifted audio", F.when(n("av_max_drift_ms") != 0, msg(", largest shift ", n("av_max_drift_ms"), " ms")).otherwise(""))),
+        (s("default_language") != "", "warning", "media", msg("default audio is ", s("default_language"), " although English exists")),
+        (n("clean_in_review") > 0, F.when(s("clean_in_review_severity") == "critical", "critical").otherwise("warning"), "organization", msg(n("clean_in_review"), " clean episodes lie in review")),
+        (n("review_in_library") > 0, "critical", "organization", msg(n("review_in_library"), " episodes for review lie in the library")),
+        (n("missing_final") > 0, "warning", "organization", msg(n("missing_final"), " episodes lack a final file")),
     ]
     found = F.array_compact(F.array(*[
         F.when(cond, F.struct(F.lit(i).alias("rule"), (F.lit(sev) if isinstance(sev, str) else sev).alias("severity"),

@@ -153,8 +153,9 @@ def assign_greedy(candidates: DataFrame, rank: Callable[[], Column]) -> DataFram
 
     A row that is first for its rip and first for its reference is taken; rows touching a taken rip or reference
     leave; the rest goes to the next round.  Both minima are plain aggregates, so no partition is gathered.
+    Rows with a null group, key or number cannot be assigned.
     """
-    open_rows = cut_lineage(candidates)
+    open_rows = cut_lineage(candidates.dropna(subset=["grp", "key", "number"]))
     taken: list[DataFrame] = []
     while True:
         first_rip = open_rows.groupBy("grp", "key").agg(F.min(rank()).alias("r")).select("grp", "key", "r")
@@ -164,6 +165,8 @@ def assign_greedy(candidates: DataFrame, rank: Callable[[], Column]) -> DataFram
                           .filter((F.col("_o") == F.col("r")) & (F.col("_o") == F.col("q")))
                           .select(*candidates.columns))
         taken.append(won)
+        if won.isEmpty():
+            break
         open_rows = cut_lineage(open_rows.join(won.select("grp", "key"), ["grp", "key"], "left_anti")
                                 .join(won.select("grp", "number"), ["grp", "number"], "left_anti"))
         if open_rows.isEmpty():
@@ -302,9 +305,9 @@ def apply_matches(episodes: DataFrame, accepted: DataFrame, no_claim: DataFrame,
     hit = F.col("m_number").isNotNull()
     low = hit & (F.col("match_confidence") < p.review_below)
     reasons = F.array(
-        F.when(~hit & F.col("extra"), "Episode ID: probable extra; no candidate episode matched"),
-        F.when(~hit & F.col("extra").isNull(), "Episode ID: unresolved"),
-        F.when(low, F.format_string("Episode ID: confidence %.3f below threshold %.2f", F.col("match_confidence"),
+        F.when(~hit & F.col("extra"), "no reference claims it, probably an extra"),
+        F.when(~hit & F.col("extra").isNull(), "claimed, but not decided"),
+        F.when(low, F.format_string("decided with confidence %.3f, wanted %.2f", F.col("match_confidence"),
                                     F.lit(p.review_below))))
     status = (F.when(low, "low_confidence").when(hit, "matched").when(F.col("extra"), "probable_extra")
               .otherwise("unresolved"))

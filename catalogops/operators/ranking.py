@@ -159,7 +159,8 @@ def resolve_by_prefix(entries: DataFrame, selectors: DataFrame) -> DataFrame:
     spread = entries.select("fingerprint", fp.alias("f"), F.explode(F.sequence(F.lit(1), F.length(fp))).alias("n")).filter("f <> ''")
     sizes = rest.select(F.length("sel").alias("n")).distinct()  # one row per prefix length
     keyed = spread.join(sizes, "n", "left_semi").select("fingerprint", F.expr("left(f, n)").alias("sel"))
-    m = (rest.join(keyed, "sel").groupBy("sel_pos").agg(F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("hit")))
+    # one row per prefix before the join, so that a short prefix of many entries costs a selector one row
+    m = rest.join(keyed.groupBy("sel").agg(F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("hit")), "sel").select("sel_pos", "n", "hit")
     d = s.join(by_number.withColumnRenamed("hit", "num_hit"), "sel_pos", "left").join(m, "sel_pos", "left")
     status = (F.when(F.col("sel") == "", "required").when(F.col("num_hit").isNotNull() | (F.col("n") == 1), "found")
               .when(F.col("n") > 1, "ambiguous").otherwise("not_found"))

@@ -40,8 +40,8 @@ def sliced_window(
 
     `number` 1-based position, `total` rows per key, `sums` running sum, `group_sums` sum per key, `running_max`,
     `lags`/`leads` neighbouring value, `last_known` latest non-null value up to and including the row.  Mappings
-    are output name -> input column.  `order` must be unique within the keys and `slice_by` non-decreasing in it;
-    keys must not be null.
+    are output name -> input column.  `order` must be unique within the keys and `slice_by` non-decreasing in it.
+    A null key is a key like any other; a null slice comes first.
     """
     keys = list(keys)
     d = df.withColumn(SLICE, slice_by)
@@ -77,7 +77,9 @@ def sliced_window(
     inner += [F.last(c, ignorenulls=True).over(upto).alias(f"_wk_{o}") for o, c in last_known.items()]
     if leads:
         inner.append(F.lead(F.lit(1)).over(local).alias("_more"))
-    j = d.select("*", *inner).join(carried, [*keys, SLICE])
+    held = {c: f"_key{i}" for i, c in enumerate([*keys, SLICE])}
+    same = [F.col(c).eqNullSafe(F.col(v)) for c, v in held.items()]
+    j = d.select("*", *inner).join(carried.withColumnsRenamed(held), same)
 
     out = [F.col(c) for c in df.columns]
     if number:

@@ -223,6 +223,12 @@ def clear_completed(items: DataFrame, tasks: DataFrame) -> tuple[DataFrame, Data
     return items.filter("stage <> 'completed'"), tasks.join(gone, "item_id", "left_anti")
 
 
+def clear_all(items: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Everything goes but what is in progress, with its tasks."""
+    stay = items.filter(F.coalesce("in_progress", F.lit(False)))
+    return stay, tasks.join(stay.select("item_id"), "item_id", "left_semi")
+
+
 def recover_running(items: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """After a restart nothing is in progress and running tasks are pending again."""
     return items.withColumn("in_progress", F.lit(False)), _set(tasks, F.col("state") == "running", state=F.lit("pending"))
@@ -231,6 +237,8 @@ def recover_running(items: DataFrame, tasks: DataFrame) -> tuple[DataFrame, Data
 def expected_work(items: DataFrame, tasks: DataFrame, template: dict[str, tuple[str, ...]] = TEMPLATE) -> DataFrame:
     """Template tasks for items without any; those before the item's stage are done, others pending."""
     order = list(template)
+    if len(order) >= IDS_PER_ITEM:
+        raise ValueError(f"task ids leave room for {IDS_PER_ITEM - 1} stages per item")
     for i, (stage, deps) in enumerate(template.items()):
         if any(d not in order[:i] for d in deps):
             raise ValueError(f"{stage} depends on a stage that is not declared earlier")

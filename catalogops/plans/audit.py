@@ -223,20 +223,20 @@ def av_drift(t):
 @query("anomalies", f"""{with_views('v_eps', 'v_assets', 'v_items')}, {STATS}, {ROUTE}, fb AS (SELECT item_id, count(*) FILTER (status = 'failed') AS fe FROM v_assets GROUP BY item_id),
 lg AS (SELECT user_id AS item_id, count(*) FILTER (event_type = 'error') AS le, count(*) FILTER (event_type = 'signup') AS lw FROM events GROUP BY user_id),
 w AS (SELECT i.*, le, lw, st.* EXCLUDE (item_id), fe, clean, clean_in_review, review_in_library, missing_final FROM v_items i LEFT JOIN lg USING (item_id) LEFT JOIN st USING (item_id) LEFT JOIN fb USING (item_id) LEFT JOIN rt USING (item_id))
-SELECT item_id, 0 AS rule, 'critical' AS severity, 'item_state' AS category, 'item failed at ' || failed_at_stage || ': ' || error_message AS message FROM w WHERE error_message <> ''
-UNION ALL SELECT item_id, 1, 'warning', 'item_state', 'item needs review: ' || review_reason FROM w WHERE needs_review
-UNION ALL SELECT item_id, 2, 'critical', 'logs', le || ' error(s) in item log' FROM w WHERE le > 0 UNION ALL SELECT item_id, 3, 'warning', 'logs', lw || ' warning(s) in item log' FROM w WHERE lw > 0
-UNION ALL SELECT item_id, 9, 'warning', 'episodes', review_episodes || ' episode(s) explicitly flagged for review' FROM w WHERE review_episodes > 0
-UNION ALL SELECT item_id, 13, 'info', 'episodes', unresolved || ' placeholder episode(s) in pre-episode-identification manifest' FROM w WHERE placeholder_only
-UNION ALL SELECT item_id, 14, 'critical', 'episodes', unresolved || ' unresolved episode(s)' FROM w WHERE NOT placeholder_only AND unresolved > 0
-UNION ALL SELECT item_id, 15, 'critical', 'episodes', below_070 || ' episode(s) with confidence below 0.70' FROM w WHERE below_070 > 0
-UNION ALL SELECT item_id, 16, 'warning', 'episodes', below_080 - below_070 || ' episode(s) with confidence below 0.80' FROM w WHERE below_080 - below_070 > 0
-UNION ALL SELECT item_id, 17, 'info', 'episodes', below_090 - below_080 || ' episode(s) with confidence below 0.90' FROM w WHERE below_090 - below_080 > 0
-UNION ALL SELECT item_id, 18, 'warning', 'episodes', 'non-contiguous episode sequence: ' || "range" FROM w WHERE matched > 0 AND NOT contiguous
-UNION ALL SELECT item_id, 23, 'critical', 'assets', fe || ' failed encoded asset(s)' FROM w WHERE fe > 0
-UNION ALL SELECT item_id, 33, CASE WHEN clean > 0 AND clean_in_review = clean THEN 'critical' ELSE 'warning' END, 'organization', clean_in_review || ' clean resolved episode(s) routed to review' FROM w WHERE clean_in_review > 0
-UNION ALL SELECT item_id, 34, 'critical', 'organization', review_in_library || ' review-required episode(s) routed to library' FROM w WHERE review_in_library > 0
-UNION ALL SELECT item_id, 35, 'warning', 'organization', missing_final || ' episode(s) missing final routed asset' FROM w WHERE missing_final > 0""")
+SELECT item_id, 0 AS rule, 'critical' AS severity, 'item_state' AS category, 'stopped in ' || failed_at_stage || ': ' || error_message AS message FROM w WHERE error_message <> ''
+UNION ALL SELECT item_id, 1, 'warning', 'item_state', 'held for review: ' || review_reason FROM w WHERE needs_review
+UNION ALL SELECT item_id, 2, 'critical', 'logs', le || ' log lines at error level' FROM w WHERE le > 0 UNION ALL SELECT item_id, 3, 'warning', 'logs', lw || ' log lines at warning level' FROM w WHERE lw > 0
+UNION ALL SELECT item_id, 9, 'warning', 'episodes', review_episodes || ' episodes carry a review flag' FROM w WHERE review_episodes > 0
+UNION ALL SELECT item_id, 13, 'info', 'episodes', unresolved || ' episodes are still placeholders' FROM w WHERE placeholder_only
+UNION ALL SELECT item_id, 14, 'critical', 'episodes', unresolved || ' episodes have no number' FROM w WHERE NOT placeholder_only AND unresolved > 0
+UNION ALL SELECT item_id, 15, 'critical', 'episodes', below_070 || ' episodes of confidence under 0.70' FROM w WHERE below_070 > 0
+UNION ALL SELECT item_id, 16, 'warning', 'episodes', below_080 - below_070 || ' episodes of confidence 0.70 to 0.80' FROM w WHERE below_080 - below_070 > 0
+UNION ALL SELECT item_id, 17, 'info', 'episodes', below_090 - below_080 || ' episodes of confidence 0.80 to 0.90' FROM w WHERE below_090 - below_080 > 0
+UNION ALL SELECT item_id, 18, 'warning', 'episodes', 'gap in the numbers ' || "range" FROM w WHERE matched > 0 AND NOT contiguous
+UNION ALL SELECT item_id, 23, 'critical', 'assets', fe || ' assets failed: encoded' FROM w WHERE fe > 0
+UNION ALL SELECT item_id, 33, CASE WHEN clean > 0 AND clean_in_review = clean THEN 'critical' ELSE 'warning' END, 'organization', clean_in_review || ' clean episodes lie in review' FROM w WHERE clean_in_review > 0
+UNION ALL SELECT item_id, 34, 'critical', 'organization', review_in_library || ' episodes for review lie in the library' FROM w WHERE review_in_library > 0
+UNION ALL SELECT item_id, 35, 'warning', 'organization', missing_final || ' episodes lack a final file' FROM w WHERE missing_final > 0""")
 def anomalies(t):
     p = parsed(t)
     eps, assets = A.explode_episodes(p), A.explode_assets(p)

@@ -337,9 +337,9 @@ def _applied(t: Tables):
 
 
 @query("apply_matches", claims_sql(SHELVES, EASY) + APPLIED_SQL + """ SELECT grp, key, number, title, status,
-  CASE status WHEN 'probable_extra' THEN 'Episode ID: probable extra; no candidate episode matched'
-    WHEN 'unresolved' THEN 'Episode ID: unresolved'
-    WHEN 'low_confidence' THEN printf('Episode ID: confidence %.3f below threshold %.2f', match_confidence, 0.04) ELSE '' END AS reasons,
+  CASE status WHEN 'probable_extra' THEN 'no reference claims it, probably an extra'
+    WHEN 'unresolved' THEN 'claimed, but not decided'
+    WHEN 'low_confidence' THEN printf('decided with confidence %.3f, wanted %.2f', match_confidence, 0.04) ELSE '' END AS reasons,
   round(match_score, 6) AS match_score, round(match_confidence, 6) AS match_confidence FROM applied""")
 def apply_matches(t):
     d, _ = _applied(t)

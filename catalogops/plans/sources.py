@@ -132,7 +132,9 @@ def inventory(t):
     return FS.directory_inventory(_files(t))
 
 
-@query("manifest_hash")
+@query("manifest_hash", """WITH f AS (SELECT lang AS name, 'docs/' || doc_id || '.txt' AS path, octet_length(encode(text)) AS size, sha256(text) AS h FROM documents),
+b AS (SELECT name, substr(md5(path), 1, 3) AS bucket, sha256(string_agg('{"path":"' || path || '","size":' || size || ',"h":"' || h || '"}', chr(10) ORDER BY path)) AS bh, count(*) AS n FROM f GROUP BY ALL)
+SELECT name, sha256(string_agg('{"bucket":"' || bucket || '","bh":"' || bh || '"}', chr(10) ORDER BY bucket)) AS manifest, sum(n)::BIGINT AS files FROM b GROUP BY name""")
 def manifest(t):
     return FS.manifest_hash(_files(t))
 
@@ -181,12 +183,12 @@ def library_paths(t):
     return paths.parse_library_paths(t.lineitem.select(k, n).distinct().select(path.alias("path"))).drop("found")
 
 
-@query("plan_library_layout", """WITH d AS (SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 2 = 0 THEN '/library/movies/Film ' || o_custkey || ' (1999) [tmdbid-' || o_custkey || ']' ELSE '/library/tv/Show ' || o_custkey || ' (1999)' || CASE WHEN o_custkey > 0 THEN ' [tmdbid-' || o_custkey || ']' ELSE '' END || '/Season 01' END AS folder,
-  CASE WHEN o_orderkey % 2 = 0 THEN 'Film ' || o_custkey || ' (1999) [tmdbid-' || o_custkey || ']' WHEN o_orderkey % 5 = 1 THEN 'Show ' || o_custkey || ' - s01_001' ELSE 'Show ' || o_custkey || ' - S01E' || printf('%02d', o_orderkey % 5 + 1) || CASE WHEN o_orderkey % 3 = 0 THEN '-E' || printf('%02d', o_orderkey % 5 + 2) ELSE '' END END || '.mkv' AS file FROM orders WHERE o_custkey > 0)
+@query("plan_library_layout", """WITH d AS (SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 2 = 0 THEN '/library/movies/Film ' || o_custkey || ' (1999)' || CASE WHEN o_custkey > 0 THEN ' [tmdbid-' || o_custkey || ']' ELSE '' END ELSE '/library/tv/Show ' || o_custkey || ' (1999)' || CASE WHEN o_custkey > 0 THEN ' [tmdbid-' || o_custkey || ']' ELSE '' END || '/Season 01' END AS folder,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'Film ' || o_custkey || ' (1999)' || CASE WHEN o_custkey > 0 THEN ' [tmdbid-' || o_custkey || ']' ELSE '' END WHEN o_orderkey % 5 = 1 THEN 'Show ' || o_custkey || ' - s01_001' ELSE 'Show ' || o_custkey || ' - S01E' || printf('%02d', o_orderkey % 5 + 1) || CASE WHEN o_orderkey % 3 = 0 THEN '-E' || printf('%02d', o_orderkey % 5 + 2) ELSE '' END END || '.mkv' AS file FROM orders)
 SELECT *, count(*) OVER (PARTITION BY folder, file) AS wanted_by FROM d""")
 def layout(t):
     k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
-    d = t.orders.filter("o_custkey > 0").select(
+    d = t.orders.select(
         k.alias("item_id"), F.when(k % 2 == 0, "Movie").otherwise("tv").alias("media_type"), F.concat(F.lit("Film: "), c).alias("title"), F.concat(F.lit("Show "), c).alias("show_title"), F.lit("1999").alias("year"),
         F.col("o_custkey").alias("provider_id"), F.lit(1).alias("season"), F.when(k % 5 == 1, 0).otherwise(k % 5 + 1).alias("episode"), F.when(k % 3 == 0, k % 5 + 2).otherwise(0).alias("episode_end"), F.lit("s01_001").alias("key"))
     return paths.plan_library_layout(d)

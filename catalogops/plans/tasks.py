@@ -171,6 +171,11 @@ def clear(t):
     return K.clear_completed(V.items(t), V.tasks(t))[1].select("task_id")
 
 
+@query("clear_all", f"""{BOTH} SELECT task_id FROM v_tasks WHERE item_id IN (SELECT item_id FROM v_items WHERE in_progress)""")
+def clear_everything(t):
+    return K.clear_all(V.items(t), V.tasks(t))[1].select("task_id")
+
+
 @query("recover_running", f"{TASKS} SELECT task_id, CASE WHEN state = 'running' THEN 'pending' ELSE state END AS state FROM v_tasks")
 def recover(t):
     return K.recover_running(V.items(t), V.tasks(t))[1].select("task_id", "state")

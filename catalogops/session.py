@@ -32,22 +32,25 @@ def build_session(app: str = "catalogops", master: str | None = None, **conf: st
     return configure(builder.getOrCreate())
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir).
-
-    A folder of our own is only set where the session names none, as in local tests.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share; a machine-local one only where everything runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir).
+
+    """
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables inside the cluster's shared checkpoint folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from catalogops.functions.paths import review_folder
 
-HASH_CAP = 65_536
-MANIFEST_BUCKETS = 4096
+MANIFEST_DIGITS = 3
 
 
 def list_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
@@ -25,14 +24,14 @@ def directory_inventory(files: DataFrame) -> DataFrame:
     return files.groupBy("name").agg(F.sum("size").alias("bytes"), F.max("modified").alias("modified"), F.count(F.lit(1)).alias("files"))
 
 
-def manifest_hash(files: DataFrame, cap: int = HASH_CAP, buckets: int = MANIFEST_BUCKETS) -> DataFrame:
-    """SHA-256 per dataset over (relative path, size, content or its first `cap` bytes); cap 0 reads all.
+def manifest_hash(files: DataFrame, cap: int = 0, digits: int = MANIFEST_DIGITS) -> DataFrame:
+    """SHA-256 per dataset over (relative path, size, content); with a `cap` only that many first bytes.
 
     A hash of hashes in two levels: files are hashed where they are read, path buckets next, so neither contents
-    nor the file list of a large dataset meet in one task.
+    nor the file list of a large dataset meet in one task.  `digits` hex digits of the path's MD5 name a bucket.
     """
     body = F.substring("content", 1, cap) if cap > 0 else F.col("content")
-    f = files.filter("content is not null").select("name", "path", "size", F.sha2(body, 256).alias("h"), F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("bucket"))
+    f = files.filter("content is not null").select("name", "path", "size", F.sha2(body, 256).alias("h"), F.substring(F.md5("path"), 1, digits).alias("bucket"))
 
     def digest(rows: Column) -> Column:
         return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda r: F.to_json(r)), "\n"), 256)

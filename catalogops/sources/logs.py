@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalogops.functions.times import log_duration_seconds, log_time
@@ -28,11 +28,20 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_log_events(spark: SparkSession, path: str) -> DataFrame:
-    """Every line of the files below `path` with a sequence that follows file name and position."""
+    """Every line of the files below `path` with `seq`, which follows file name and position.
+
+    A line of a block lies before the next block's start even if lines were one byte long, so a file's rank, its block's start and
+    the row's place in the task order all lines.
+    """
     raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    meta = raw.select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"),
-                      F.monotonically_increasing_id().alias("row"))
-    return parse_log_lines(meta)
+    meta = raw.select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file_name"),
+                      F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+             .select(F.col("path").alias("_path"), (F.row_number().over(Window.orderBy(F.substring_index("path", "/", -1), "path")) - 1).alias("_file")))  # one row per file
+    key = F.regexp_replace("_path", "^file:/+", "/")
+    ranked = meta.withColumn("_path", key).join(files.withColumn("_path", key), "_path")
+    seq = F.col("_file") * F.lit(1 << 44) + F.col("block") + F.col("row")
+    return parse_log_lines(ranked.select("value", "file_name", "block", "row", seq.alias("seq")))
 
 
 def unparsable_report(lines: DataFrame, events: DataFrame) -> DataFrame:

@@ -1,0 +1,7 @@
+"""Stateful functions run in Python workers; they are sent by value, so executors need no copy of the package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

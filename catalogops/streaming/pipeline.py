@@ -45,25 +45,30 @@ def _expire(state: GroupState, at_micros: int, idle_ms: int) -> None:
     state.setTimeoutTimestamp(max(at_micros // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
 
 
+def _in_order(chunks: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    """A key's rows of one micro-batch, without the key and time columns, sorted across chunks."""
+    parts = [c[[n for n in ("seq", "at", "blocked") if n in c.columns]] for c in chunks]
+    return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame(columns=["seq", "at", "blocked"])
+
+
 def throttle_stream(events: DataFrame, key: str, gap_micros: int, late: str = "1 day") -> DataFrame:
     """At most one row per key and gap; `events` (key, seq, ts).  State is the time of the last emitted row.
 
-    Rows of a key arrive as a sequence of Arrow chunks, sorted by (at, seq) within a chunk; the state carries from
-    chunk to chunk, so a hot key is streamed and never gathered.  State goes once the watermark has passed the gap.
+    A key's rows of one micro-batch are put in the order of (at, seq) whatever the size of the Arrow chunks, as two numbers per row;
+    the source's trigger limits bound a micro-batch.  State goes once the watermark has passed the gap.
     """
     def step(keys: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        for chunk in chunks:
-            keep = []
-            for row in chunk.sort_values(["at", "seq"]).itertuples(index=False):
-                if last is None or row.at - last >= gap_micros:
-                    last = row.at
-                    keep.append((keys[0], row.seq, row.at))
-            if keep:
-                yield pd.DataFrame(keep, columns=[key, "seq", "at"])
+        keep = []
+        for row in _in_order(chunks, ["at", "seq"]).itertuples(index=False):
+            if last is None or row.at - last >= gap_micros:
+                last = row.at
+                keep.append((keys[0], row.seq, row.at))
+        if keep:
+            yield pd.DataFrame(keep, columns=[key, "seq", "at"])
         if last is not None:
             state.update((int(last),))
             _expire(state, int(last), gap_micros // 1000)
@@ -84,16 +89,15 @@ def blocked_waits_stream(events: DataFrame, key: str, late: str = "1 day", idle_
             state.remove()
             return
         since = tuple(state.get) if state.exists else None
-        for chunk in chunks:
-            out = []
-            for row in chunk.sort_values("seq").itertuples(index=False):
-                if row.kind == "blocked":
-                    since = since or (int(row.seq), int(row.at))
-                elif since is not None:
-                    out.append((keys[0], row.seq, since[0], row.at - since[1]))
-                    since = None
-            if out:
-                yield pd.DataFrame(out, columns=[key, "seq", "blocked_seq", "waited_micros"])
+        out = []
+        for row in _in_order(chunks, ["seq"]).itertuples(index=False):
+            if row.blocked:
+                since = since or (int(row.seq), int(row.at))
+            elif since is not None:
+                out.append((keys[0], row.seq, since[0], row.at - since[1]))
+                since = None
+        if out:
+            yield pd.DataFrame(out, columns=[key, "seq", "blocked_seq", "waited_micros"])
         if since is not None:
             state.update(since)
             _expire(state, since[1], idle_days * 86_400_000)
@@ -101,7 +105,7 @@ def blocked_waits_stream(events: DataFrame, key: str, late: str = "1 day", idle_
             state.remove()
 
     kind = dict(events.dtypes)[key]
-    timed = events.withWatermark("ts", late).select(key, "seq", "ts", F.unix_micros("ts").alias("at"), "kind")
+    timed = events.withWatermark("ts", late).select(key, "seq", "ts", F.unix_micros("ts").alias("at"), (F.col("kind") == "blocked").alias("blocked"))
     return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seq bigint, blocked_seq bigint, waited_micros bigint", "seq bigint, at bigint", "append",
                                                      GroupStateTimeout.EventTimeTimeout)
 

@@ -77,11 +77,13 @@ def test_composites_against_brute_force(spark):
 
 def test_group_selection(spark):
     t = titles(spark, dict(duration=60), dict(segment_map="1", duration=1500), dict(segment_map="1", duration=1500), dict(segment_map="2", duration=1510), dict(segment_map="1,2", duration=3010),
-               dict(segment_map="7", duration=300), dict(segment_map="8", duration=2500))
+               dict(segment_map="7", duration=300), dict(segment_map="8", duration=2200))
     exp = spark.createDataFrame([("d", 1, 25), ("d", 2, 25)], "disc string, ord int, runtime int")
     got = {r.title_id: (r.selected, r.reason) for r in T.select_group_titles(t, exp).collect()}
     assert got == {0: (False, "below_min_title_length"), 1: (True, "episode_candidate"), 2: (False, "duplicate_title"), 3: (True, "episode_candidate"),
                    4: (False, "combined_play_all_extra"), 5: (False, "gross_runtime_outlier"), 6: (False, "expected_runtime_mismatch")}
+    late = T.select_group_titles(t.withColumn("duration", F.when(F.col("title_id") == 6, 2500).otherwise(F.col("duration"))), exp)  # within a quarter of the pair of episodes
+    assert {r.title_id: r.reason for r in late.collect()}[6] == "over_expected_episode_count"
     dvd = {r.title_id: r.reason for r in T.select_group_titles(t.withColumn("source", F.lit("dvd")), exp).collect()}
     assert "duplicate_title" not in dvd.values()
 
@@ -161,12 +163,12 @@ def test_file_tree(spark, tmp_path):
         (tmp_path / d / f).write_bytes(body)
     inv = {r.name: (r.bytes, r.files) for r in FS.directory_inventory(FS.list_files(spark, str(tmp_path))).collect()}
     assert inv == {"one": (70_001, 2), "two": (70_001, 2), "three": (1, 1)}
-    h = {r.name: r.manifest for r in FS.manifest_hash(FS.list_files(spark, str(tmp_path), content=True)).collect()}
+    h = {r.name: r.manifest for r in FS.manifest_hash(FS.list_files(spark, str(tmp_path), content=True), cap=65_536).collect()}
     assert h["one"] == h["two"] != h["three"]
     (tmp_path / "two" / "a.bin").write_bytes(b"x" * 65_536 + b"w" * 4_464)
-    again = {r.name: r.manifest for r in FS.manifest_hash(FS.list_files(spark, str(tmp_path), content=True)).collect()}
+    again = {r.name: r.manifest for r in FS.manifest_hash(FS.list_files(spark, str(tmp_path), content=True), cap=65_536).collect()}
     assert again["two"] == h["two"]
-    full = {r.name: r.manifest for r in FS.manifest_hash(FS.list_files(spark, str(tmp_path), content=True), cap=0).collect()}
+    full = {r.name: r.manifest for r in FS.manifest_hash(FS.list_files(spark, str(tmp_path), content=True)).collect()}
     assert full["one"] != full["two"]
 
 

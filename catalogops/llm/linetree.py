@@ -6,7 +6,7 @@ there; every other token is generalised to a field too.  A line whose template k
 template, any other line is its own template.  Templates that recur across documents are dropped from all of them.
 
 A document made up of recurring lines for the most part is a copy of another document, not a carrier of boilerplate.  So copies
-do not vote: a template recurs if enough *carriers* (documents with less than half of their tokens in shared lines) have it.
+do not vote: a template recurs if enough *carriers* (documents with less than half of their bytes in shared lines) have it.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ class TreeRules:
     min_mass: int = 30  # documents times tokens of a template, so that short lines need more witnesses
     max_children: int = 20  # a position with more constants than this is a field
     constant_share: float = 0.5  # least share of constant tokens in a template
-    copy_share: float = 0.5  # a document with that share of its tokens in shared lines is a copy
+    copy_share: float = 0.5  # a document with that share of its bytes in shared lines is a copy
 
 
 RULES = TreeRules()
@@ -51,9 +51,10 @@ def tokens(line: Column) -> Column:
 
 
 def parsed(docs: DataFrame, rules: TreeRules) -> DataFrame:
-    """(doc, line, n, leaf): every distinct line of every document of at least min_tokens, masked."""
-    lines = (docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("doc"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-             .select("doc", masked("line").alias("line")).withColumn("n", tokens(F.col("line"))).filter(F.col("n") >= rules.min_tokens))
+    """(doc, size, line, n, leaf): every distinct line of every document of at least min_tokens, masked; size counts the document's bytes."""
+    lines = (docs.filter("text is not null")
+             .select(F.xxhash64("doc_id", "text").alias("doc"), F.octet_length("text").alias("size"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+             .select("doc", "size", masked("line").alias("line")).withColumn("n", tokens(F.col("line"))).filter(F.col("n") >= rules.min_tokens))
     return lines.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", rules.depth)))
 
 
@@ -82,7 +83,7 @@ def recurring(docs: DataFrame, rules: TreeRules = RULES) -> DataFrame:
     lines = parsed(docs, rules)
     leaves = keep(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= rules.min_documents).select("leaf"), "leaves")
     shared = keep(lines.join(short_list(leaves), "leaf", "left_semi").withColumn("line_id", F.xxhash64("line")).dropDuplicates(["doc", "line_id"]), "shared-lines")
-    seen = keep(shared.select("doc", "line_id", "n").join(templates(shared, rules), "line_id"), "templates")
+    seen = keep(shared.select("doc", "size", "line_id", "n", F.octet_length("line").alias("bytes")).join(templates(shared, rules), "line_id"), "templates")
     once = seen.groupBy("template", "doc").agg(F.max("n").alias("n"))
 
     def often(d: DataFrame) -> DataFrame:
@@ -90,9 +91,8 @@ def recurring(docs: DataFrame, rules: TreeRules = RULES) -> DataFrame:
         return d.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("n")).filter(enough).select("template")
 
     candidates = keep(often(once), "candidates")
-    inside = seen.join(short_list(candidates), "template", "left_semi").groupBy("doc").agg(F.sum("n").alias("inside"))
-    sizes = docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("doc"), tokens(F.col("text")).alias("size"))
-    copies = inside.join(sizes.distinct(), "doc").filter(F.col("inside") >= rules.copy_share * F.col("size")).select("doc")
+    inside = seen.join(short_list(candidates), "template", "left_semi").groupBy("doc").agg(F.sum("bytes").alias("inside"), F.max("size").alias("size"))
+    copies = inside.filter(F.col("inside") >= rules.copy_share * F.col("size")).select("doc")
     voted = keep(often(once.join(copies, "doc", "left_anti")), "voted")
     return seen.join(short_list(voted), "template", "left_semi").select("doc", "line_id")
 

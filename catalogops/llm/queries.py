@@ -91,8 +91,8 @@ tp AS (SELECT pl.n, pl.head, pl.m, count(con.token) AS c, string_agg(pl.pos || '
 te AS (SELECT m, CASE WHEN c >= 0.5 * n THEN 'T' || n || '|' || head || '|' || coalesce(parts, '') ELSE 'L' || m END AS template FROM tp),
 seen AS MATERIALIZED (SELECT DISTINCT doc_id, m, n, template FROM sh JOIN te USING (m)),
 cand AS (SELECT template FROM (SELECT DISTINCT template, doc_id, n FROM seen) GROUP BY template HAVING count(*) >= 3 AND count(*) * max(n) >= 30),
-ins AS (SELECT doc_id, sum(n) AS inside FROM seen WHERE template IN (FROM cand) GROUP BY doc_id),
-cop AS (SELECT doc_id FROM ins JOIN documents USING (doc_id) WHERE inside >= 0.5 * (length(text) - length(replace(text, ' ', '')) + 1)),
+ins AS (SELECT doc_id, sum(strlen(m)) AS inside FROM seen WHERE template IN (FROM cand) GROUP BY doc_id),
+cop AS (SELECT doc_id FROM ins JOIN documents USING (doc_id) WHERE inside >= 0.5 * strlen(text)),
 vot AS (SELECT template FROM (SELECT DISTINCT template, doc_id, n FROM seen WHERE doc_id NOT IN (FROM cop)) GROUP BY template HAVING count(*) >= 3 AND count(*) * max(n) >= 30),
 gone AS MATERIALIZED (SELECT DISTINCT doc_id, m FROM seen WHERE template IN (FROM vot)),
 out AS (SELECT raw.doc_id, count(*) AS n_lines, count(gone.m) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (gone.m IS NULL), '') AS text

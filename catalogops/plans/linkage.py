@@ -196,12 +196,13 @@ def top_match(t):
     return show(L.top_match(L.score_pairs(rips(t), refs(t))), ("key", "number"), PAIR_NUMS, 9)
 
 
-@query("near_duplicate_documents", f"""WITH d AS (SELECT 1 AS grp, min(doc_id) AS doc, text FROM documents GROUP BY text),
+@query("near_duplicate_documents", f"""WITH d AS (SELECT doc_id % {SHELVES} AS grp, min(doc_id) AS doc, text FROM documents GROUP BY ALL),
 {vec_sql('d', 'v')}
 SELECT * FROM (SELECT a.doc AS a, b.doc AS b, round(sum(a.weight * b.weight), 9) AS score
-  FROM v a JOIN v b ON a.term = b.term AND a.doc < b.doc GROUP BY ALL) WHERE score >= 0.92""")
+  FROM v a JOIN v b ON a.grp = b.grp AND a.term = b.term AND a.doc < b.doc GROUP BY ALL) WHERE score >= 0.92""")
 def near_duplicates(t):
-    d = rips(t).withColumnRenamed("key", "doc")
+    """Documents of a shelf, as tracks of one disc are compared with each other; `exact_copies` covers the rest."""
+    d = rips(t, SHELVES).withColumnRenamed("key", "doc")
     return V.near_duplicates(d).select("a", "b", "score")
 
 

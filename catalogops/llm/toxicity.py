@@ -67,8 +67,8 @@ class Lexicon:
             a.make_automaton()
         return a
 
-    def hits(self, automaton, text: str) -> list[tuple[int, float]]:
-        """(start, weight) of every word hit, the strongest entry of each word; exceptions removed."""
+    def hits(self, automaton, text: str) -> list[tuple[int, float, str]]:
+        """(start, weight, entry) of every word hit, the strongest entry of each word; exceptions removed.  Starts count in the folded text."""
         if not len(automaton):
             return []
         t = fold(text)
@@ -82,26 +82,29 @@ class Lexicon:
             if len(item) == 4 and closed:
                 free.append((start, end))
             w = max(whole if closed else 0.0, begin)
-            if w > found.get(start, 0.0):
-                found[start] = w
-        return [(s, w) for s, w in sorted(found.items()) if not any(a <= s <= b for a, b in free)]
+            if w > found.get(start, (0.0,))[0]:
+                found[start] = (w, key if begin == w else key + " ")
+        return [(s, w, e) for s, (w, e) in sorted(found.items()) if not any(a <= s <= b for a, b in free)]
 
 
-def features(hits: list[tuple[int, float]], text: str) -> list[float]:
-    total = sum(w for _, w in hits)
+def features(hits: list[tuple[int, float, str]], text: str) -> list[float]:
+    total = sum(h[1] for h in hits)
     words = text.count(" ") + text.count("\n") + 1
     return [np.log1p(total), np.log1p(100 * total / words)]
 
 
-def learn_entries(counts, n_toxic: int, n_other: int, certain: float = 0.5, most: int = 5000) -> dict[str, float]:
-    """Log odds of (entry, toxic texts, other texts) rows, kept where even two standard errors lower they exceed `certain`.
+def learn_entries(counts, n_toxic: int, n_other: int, most: int = 5000) -> dict[str, float]:
+    """Log odds of (entry, toxic texts, other texts) rows that are too one-sided for chance.
 
-    A longer entry is dropped when a beginning of it is kept with nearly its weight.  `most` bounds the lexicon, strongest first.
+    The likelihood ratio against an entry that ignores the label must exceed three times the log of the number of
+    candidates.  A longer entry is dropped when a beginning of it is kept with nearly its weight.  `most` bounds the lexicon.
     """
+    share = n_toxic / max(1, n_toxic + n_other)
     kept = {}
     for entry, t, n in counts:
         w = np.log((t + 0.5) / (n_toxic + 1)) - np.log((n + 0.5) / (n_other + 1))
-        if w - 2 * np.sqrt(1 / (t + 0.5) + 1 / (n + 0.5)) > certain:
+        ratio = 2 * (t * np.log(t / ((t + n) * share)) + (n * np.log(n / ((t + n) * (1 - share))) if n else 0.0)) if t and 0 < share < 1 else 0.0
+        if w > 1 and ratio > 3 * np.log(len(counts) + 1):
             kept[entry] = (float(w), t)
     out = {}
     for entry, (w, t) in sorted(kept.items(), key=lambda x: (len(x[0]), x[0])):
@@ -114,40 +117,69 @@ def learn_entries(counts, n_toxic: int, n_other: int, certain: float = 0.5, most
 def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, per_class: int = 6000) -> tuple[Lexicon, np.ndarray | None]:
     """Lexicon and curve from `docs(doc_id, text)` and `labels(doc_id, label)`, at most about `per_class` texts of each label.
 
-    Texts that share forty characters of their middle count once, so that copies do not vote.  One half learns the entries,
-    the other the curve.  None stands for the curve when a class is missing.
+    Texts that share forty characters of their middle count once, so that copies do not vote.  The curve is fitted to each half of the
+    texts with the entries of the other half; the lexicon itself learns from both.  None stands for the curve when a class is missing.
     """
     middle = F.xxhash64(F.expr("substring(text, greatest(1, cast(length(text) / 2 as int) - 20), 40)"))
     known = docs.filter("text is not null").select("doc_id", middle.alias("m")).join(labels.filter("label in (0, 1)"), "doc_id")
     once = keep(known.groupBy("label", "m").agg(F.min("doc_id").alias("doc_id")), "labelled")
     sizes = {r.label: r["count"] for r in once.groupBy("label").count().collect()}
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    limit = F.coalesce(*[F.when(F.col("label") == k, F.lit((1 << 20) * min(1.0, per_class / n))) for k, n in sizes.items()], F.lit(0.0))
-    chosen = once.filter(order < limit).select("doc_id", "label")
     if set(sizes) != {0, 1}:
         return Lexicon({}, exceptions), None
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    limit = F.coalesce(*[F.when(F.col("label") == k, F.lit((1 << 20) * min(1.0, per_class / n))) for k, n in sizes.items()])
+    chosen = once.filter(order < limit).select("doc_id", "label")
     texts = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id")  # bounded by per_class
-    texts = keep(texts.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))), "toxicity-sample")
+    texts = keep(texts.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")), "toxicity-sample")
 
     def counts(batches):
         for b in batches:
-            tox, other = Counter(), Counter()
-            for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                (tox if k else other).update(entries_of(t))
-            keys = list(tox | other)
-            yield pa.RecordBatch.from_pydict({"entry": pa.array(keys, pa.string()), "t": pa.array([tox[e] for e in keys], pa.int64()), "n": pa.array([other[e] for e in keys], pa.int64())})
-
-    first = texts.filter("half = 0")
-    n = {r.label: r["count"] for r in first.groupBy("label").count().collect()}
-    rows = (first.select("text", "label").mapInArrow(counts, "entry string, t long, n long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-            .filter("t >= 3 and t > n").collect())  # bounded by the sample
-    lexicon = Lexicon(learn_entries([(r.entry, r.t, r.n) for r in rows], n.get(1, 0), n.get(0, 0)), exceptions)
-    x = score_features(texts.filter("half = 1"), ["doc_id", "label"], lexicon).collect()
+            seen = [Counter() for _ in range(4)]
+            for t, label, half in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                seen[2 * half + label].update(entries_of(t))
+            keys = list(seen[0] | seen[1] | seen[2] | seen[3])
+            yield pa.RecordBatch.from_pydict({"entry": pa.array(keys, pa.string())} | {c: pa.array([s[e] for e in keys], pa.int64()) for c, s in zip(("n0", "t0", "n1", "t1"), seen, strict=True)})
+
+    size = {(r.half, r.label): r["count"] for r in texts.groupBy("half", "label").count().collect()}
+    rows = (texts.select("text", "label", "half").mapInArrow(counts, "entry string, n0 long, t0 long, n1 long, t1 long")
+            .groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")]).filter("t0 + t1 >= 3 and t0 + t1 > n0 + n1").collect())  # bounded by the sample
+    free = distinct_surroundings(texts.filter("label = 1"), Lexicon(learn_entries([(r.entry, r.t0 + r.t1, r.n0 + r.n1) for r in rows], size.get((0, 1), 0) + size.get((1, 1), 0),
+                                                                                  size.get((0, 0), 0) + size.get((1, 0), 0)), exceptions))
+    both = Lexicon(free, exceptions)
+    x = []
+    for half in (0, 1):
+        known = [(r.entry, r.t1 if half == 0 else r.t0, r.n1 if half == 0 else r.n0) for r in rows if r.entry in free]
+        other = Lexicon(learn_entries(known, size.get((1 - half, 1), 0), size.get((1 - half, 0), 0)), exceptions)
+        x += score_features(texts.filter(F.col("half") == half), ["doc_id", "label"], other).collect()
     x.sort(key=lambda r: (r.doc_id, r.label))
-    y = np.array([r.label for r in x], float)
-    if len(set(y)) < 2:
-        return lexicon, None
-    return lexicon, fit_logistic(np.array([r.x for r in x]), y)
+    return both, fit_logistic(np.array([r.x for r in x]), np.array([r.label for r in x], float))
+
+
+def surroundings(text: str, hits: list[tuple[int, float, str]]) -> list[tuple[str, str]]:
+    """The entry of every hit with the words before and after it."""
+    words = [(m.start(), m[0]) for m in _WORD.finditer(fold(text))]
+    at = {start: i for i, (start, _) in enumerate(words)}
+    out = []
+    for start, _, entry in hits:
+        i = at.get(start)
+        if i is not None:
+            out.append((entry, f"{words[i - 1][1] if i else ''} {words[i + 1][1] if i + 1 < len(words) else ''}"))
+    return out
+
+
+def distinct_surroundings(toxic: DataFrame, lexicon: Lexicon, least: float = 0.7) -> dict[str, float]:
+    """Entries that stand between different words nearly every time.  Words of copied texts keep their neighbours and go."""
+    cache = []
+
+    def run(batches):
+        if not cache:
+            cache.append(lexicon.automaton())
+        for b in batches:
+            pairs = [p for t in b.column(0).to_pylist() for p in surroundings(t, lexicon.hits(cache[0], t))]
+            yield pa.RecordBatch.from_pydict({"entry": pa.array([e for e, _ in pairs], pa.string()), "around": pa.array([a for _, a in pairs], pa.string())})
+
+    seen = toxic.select("text").mapInArrow(run, "entry string, around string").groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("around").alias("k")).collect()
+    return {r.entry: lexicon.weights[r.entry] for r in seen if r.k >= least * r.n and r.entry in lexicon.weights}
 
 
 def score_features(docs: DataFrame, ids: list[str], lexicon: Lexicon) -> DataFrame:

@@ -228,11 +228,12 @@ def test_folding_and_exceptions():
     assert toxicity.fold("M0RоN ｔｒａｓｈ 1diot 2024") == "moron trash idiot 2024"
     lex = toxicity.Lexicon({"trash ": 2.0, "mor": 1.0})
     hits = lex.hits(lex.automaton(), "trash, trashy, the trash can, morbid armor MORON")
-    assert [w for _, w in hits] == [2.0, 1.0, 1.0]
+    assert [(w, e) for _, w, e in hits] == [(2.0, "trash "), (1.0, "mor"), (1.0, "mor")]
+    assert toxicity.surroundings("A MORON b", lex.hits(lex.automaton(), "A MORON b")) == [("mor", "a b")]
 
 
 def test_entries_need_evidence():
-    got = toxicity.learn_entries([("idio", 40, 0), ("idiot ", 39, 0), ("the ", 90, 190), ("rare ", 3, 0)], 100, 200)
+    got = toxicity.learn_entries([("idio", 40, 0), ("idiot ", 39, 0), ("the ", 90, 190), ("rare ", 3, 0), ("often ", 12, 9)], 100, 200)
     assert set(got) == {"idio"}
 
 

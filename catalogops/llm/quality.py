@@ -126,7 +126,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, hold_out: int = 5, thresh
     train = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(
         F.col("label").isin(0, 1) & (remainder("doc_id", hold_out) != 0))
     model = fit(class_sums(stats.join(train, "doc_id")))
-    rows = stats.select("doc_id", (remainder("doc_id", hold_out) == 0).alias("held_out"), "stats")
+    rows = stats.select("doc_id", F.coalesce(remainder("doc_id", hold_out) == 0, F.lit(False)).alias("held_out"), "stats")
     return score_statistics(rows, model, threshold)
 
 

@@ -91,6 +91,12 @@ def failed_by_kind(assets: DataFrame) -> DataFrame:
     return assets.groupBy("item_id").agg(*[F.count_if(bad & (F.col("kind") == k)).alias(f"failed_{k}") for k in KINDS])
 
 
+def item_totals(assets: DataFrame) -> DataFrame:
+    """Distinct episodes per item that have a completed asset of each kind."""
+    key = F.lower("key")
+    return assets.groupBy("item_id").agg(*[F.count_distinct(F.when(completed() & (F.col("kind") == k), key)).alias(k) for k in KINDS])
+
+
 def sequence_checks(numbers: DataFrame, keys: list[str]) -> DataFrame:
     """Per key over positive numbers: contiguous (a duplicate breaks it), gaps, fragmented, the single missing number.
 
@@ -155,8 +161,11 @@ STAGE_NAMES = ("planned", "ripped", "encoded", "subtitled", "final")
 
 
 def enrich_episodes(episodes: DataFrame, titles: DataFrame, assets: DataFrame, subtitles: DataFrame | None = None,
-                    active: DataFrame | None = None) -> DataFrame:
-    """Episodes with title fallbacks, furthest stage, failure, per-kind paths, subtitle record and active flag."""
+                    active: DataFrame | None = None, audio: DataFrame | None = None) -> DataFrame:
+    """Episodes with title fallbacks, furthest stage, failure, per-kind paths, subtitle and audio records and active flag.
+
+    `audio` (item_id, key, codec, language, channels): the record of the first language and codec in their order.
+    """
     a = assets.withColumn("_k", F.lower("key"))
     first = a.groupBy("item_id", "_k", "kind").agg(F.min_by(F.struct("path", "status", "error"), "pos").alias("x")).select("item_id", "_k", "kind", "x.*")
     done = completed()
@@ -171,6 +180,9 @@ def enrich_episodes(episodes: DataFrame, titles: DataFrame, assets: DataFrame, s
     if subtitles is not None:
         s = subtitles.withColumn("_k", F.lower("key")).groupBy("item_id", "_k").agg(F.max("source").alias("subtitle_source"), F.max("validation").alias("subtitle_validation"))
         d = d.join(s, ["item_id", "_k"], "left")
+    if audio is not None:
+        s = audio.withColumn("_k", F.lower("key")).groupBy("item_id", "_k").agg(F.min(F.struct("language", "codec", "channels")).alias("audio"), F.count(F.lit(1)).alias("audio_tracks"))
+        d = d.join(s, ["item_id", "_k"], "left").withColumn("audio_tracks", F.coalesce("audio_tracks", F.lit(0)))
     if active is not None:
         act = active.select("item_id", F.lower("key").alias("_k")).distinct().withColumn("active", F.lit(True))
         d = d.join(act, ["item_id", "_k"], "left").withColumn("active", F.coalesce("active", F.lit(False)))

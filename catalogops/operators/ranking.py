@@ -15,15 +15,17 @@ EXACT_MIN_AVERAGE, OTHER_MIN_AVERAGE, OTHER_BASE = 2.0, 3.0, 1.3
 def title_mention(texts: DataFrame, titles: DataFrame, keys: list[str]) -> DataFrame:
     """Per text: does it contain its target's title, and the title of any other number of the same key.
 
-    `texts` (keys, text_id, number, text), `titles` (keys, number, name).
+    `texts` (keys, text_id, number, text), `titles` (keys, number, name).  The titles of a key, the episodes of one
+    season, travel as one list, so every text stays one row.
     """
-    t = titles.select(*keys, F.col("number").alias("_n"), candidate_text(F.col("name")).alias("_t")).filter("_t <> ''")
-    d = texts.withColumn("_x", candidate_text(F.col("text")))
-    hit = d.join(t, keys).filter(F.contains("_x", "_t")).groupBy(*keys, "text_id", "number").agg(
-        F.bool_or(F.col("_n") == F.col("number")).alias("target"), F.bool_or(F.col("_n") != F.col("number")).alias("other"))
-    false = F.lit(False)
-    return (texts.join(hit, [*keys, "text_id", "number"], "left")
-            .withColumns({"target": F.coalesce("target", false), "other": F.coalesce("other", false)}))
+    named = titles.select(*keys, F.struct(F.col("number").alias("n"), candidate_text(F.col("name")).alias("t")).alias("x")).filter("x.t <> ''")
+    listed = named.groupBy(*keys).agg(F.collect_set("x").alias("_titles"))
+    d = texts.withColumn("_x", candidate_text(F.col("text"))).join(listed, keys, "left")
+
+    def named_by(which) -> Column:
+        return F.coalesce(F.exists("_titles", lambda x: which(x["n"]) & F.contains(F.col("_x"), x["t"])), F.lit(False))
+
+    return d.select(*texts.columns, named_by(lambda n: n == F.col("number")).alias("target"), named_by(lambda n: n != F.col("number")).alias("other"))
 
 
 def score_references(cands: DataFrame, titles: DataFrame) -> DataFrame:

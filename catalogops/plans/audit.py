@@ -94,13 +94,27 @@ def enrich(t):
     return A.enrich_episodes(A.explode_episodes(p), A.explode_titles(p), A.explode_assets(p)).select("item_id", "key", "title", "runtime", "stage", "status", "error", "final_path")
 
 
-@query("retry_member_outcomes", """SELECT item_id, key, CASE WHEN s IS NULL THEN 'not_found' WHEN s <> 'F' THEN 'not_failed' WHEN item_id % 50 <= 1 OR n > item_id % 4 + 1 THEN 'episode_not_found' ELSE 'retried' END AS outcome
-FROM (SELECT l_orderkey + 1 AS item_id, l_linenumber AS n, 'S01_00' || l_linenumber AS key, o_orderstatus AS s FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) LEFT JOIN orders ON o_orderkey = l_orderkey + 1)""")
-def retry_member(t):
+RETRY_SQL = """SELECT item_id, key, CASE WHEN s IS NULL THEN 'not_found' WHEN s <> 'F' THEN 'not_failed' WHEN item_id % 50 <= 1 OR n > item_id % 4 + 1 THEN 'episode_not_found' ELSE 'retried' END AS outcome
+FROM (SELECT l_orderkey + 1 AS item_id, l_linenumber AS n, 'S01_00' || l_linenumber AS key, o_orderstatus AS s FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) LEFT JOIN orders ON o_orderkey = l_orderkey + 1)"""
+
+
+def _retried(t):
     p = parsed(t)
     c = t.lineitem.select((F.col("l_orderkey") + 1).alias("item_id"), F.concat(F.lit("S01_00"), F.col("l_linenumber").cast("string")).alias("key")).distinct()
     items = t.orders.select(F.col("o_orderkey").alias("item_id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("ripping").alias("stage"))
-    return K.retry_member(items, A.explode_episodes(p), A.explode_assets(p), c)[0]
+    return K.retry_member(items, A.explode_episodes(p), A.explode_assets(p), c)
+
+
+@query("retry_member_outcomes", RETRY_SQL)
+def retry_member(t):
+    return _retried(t)[0]
+
+
+@query("retry_member_assets", f"""{ASSETS}, h AS (SELECT item_id, lower(key) AS key FROM ({RETRY_SQL}) WHERE outcome = 'retried')
+SELECT a.item_id, a.kind, a.key, CASE WHEN h.key IS NOT NULL AND kind <> 'ripped' THEN '' ELSE status END AS status, CASE WHEN h.key IS NOT NULL AND kind <> 'ripped' THEN '' ELSE path END AS path
+FROM v_assets a LEFT JOIN h ON h.item_id = a.item_id AND h.key = lower(a.key)""")
+def retry_member_assets(t):
+    return _retried(t)[1].select("item_id", "kind", "key", "status", "path")
 
 
 SEQ = f"""{MEMBERS}, d AS (SELECT item_id, number, lead(number) OVER (PARTITION BY item_id ORDER BY number) AS nx FROM (SELECT DISTINCT item_id, number FROM v_members WHERE number > 0)),
@@ -177,6 +191,19 @@ def best_stream(t):
     return M.best_stream(probes(t)).select("item_id", "primary", "score", F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"), "fallback")
 
 
+@query("item_totals", f"{ASSETS} SELECT item_id, " + ", ".join(f"count(DISTINCT lower(key)) FILTER (kind = '{k}' AND status <> 'failed' AND path <> '') AS {k}" for k in A.KINDS) + " FROM v_assets GROUP BY item_id")
+def item_totals(t):
+    return A.item_totals(A.explode_assets(parsed(t)))
+
+
+@query("remap_indices", """SELECT l_orderkey, array_to_string(list_filter([CASE WHEN i = p THEN 0 WHEN i < n THEN 1 + (x <> p AND x < n AND x < i)::INT + (y <> p AND y < n AND y < i AND y <> x)::INT END FOR i IN [x, y, p]], lambda v: v IS NOT NULL), ',') AS places
+FROM (SELECT l_orderkey, min(l_linenumber) % 3 AS p, max(l_linenumber) AS n, min(l_suppkey) % 8 AS x, max(l_suppkey) % 8 AS y FROM lineitem GROUP BY l_orderkey)""")
+def remapped(t):
+    g = t.lineitem.groupBy("l_orderkey").agg((F.min("l_linenumber") % 3).alias("p"), F.max("l_linenumber").alias("n"), (F.min("l_suppkey") % 8).cast("int").alias("x"), (F.max("l_suppkey") % 8).cast("int").alias("y"))
+    g = g.withColumn("kept", M.kept_indices(F.col("n"), F.col("p"), F.array("x", "y")))
+    return g.select("l_orderkey", F.array_join(F.transform(M.remap_indices(F.array("x", "y", "p"), F.col("kept")), lambda i: i.cast("string")), ",").alias("places"))
+
+
 @query("kept_indices", """SELECT l_orderkey, array_to_string(list_concat([p], list_sort(list_distinct(list_filter([x, y], lambda i: i < n AND i <> p)))), ',') AS kept FROM (SELECT l_orderkey, min(l_linenumber) % 3 AS p, max(l_linenumber) AS n, min(l_suppkey) % 8 AS x, max(l_suppkey) % 8 AS y FROM lineitem GROUP BY l_orderkey)""")
 def kept(t):
     g = t.lineitem.groupBy("l_orderkey").agg((F.min("l_linenumber") % 3).alias("p"), F.max("l_linenumber").alias("n"), (F.min("l_suppkey") % 8).cast("int").alias("x"), (F.max("l_suppkey") % 8).cast("int").alias("y"))

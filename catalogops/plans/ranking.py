@@ -131,16 +131,14 @@ SELECT a.disc, a.title_id, array_to_string(list_sort(list_distinct(list_concat(a
 def set_operations(t):
     a = V.titles(t).select("disc", "title_id", T.segment_set(F.col("segment_map")).alias("x"))
     b = a.select("disc", (F.col("title_id") - 1).alias("title_id"), F.col("x").alias("y"))
-    sym = F.array_sort(F.concat(F.array_except("x", "y"), F.array_except("y", "x")))
-    return a.join(b, ["disc", "title_id"]).select(
-        "disc", "title_id", F.array_join(F.array_sort(F.array_union("x", "y")), ",").alias("union_set"), F.array_join(sym, ",").alias("sym_diff"),
-        F.arrays_overlap("x", "y").alias("overlaps"), (F.col("x") == F.col("y")).alias("equal"))
+    r = a.join(b, ["disc", "title_id"]).withColumn("r", T.set_relations(F.col("x"), F.col("y")))
+    return r.select("disc", "title_id", F.array_join("r.union", ",").alias("union_set"), F.array_join("r.difference", ",").alias("sym_diff"), "r.overlaps", "r.equal")
 
 
 @query("eliminated_ids", f"{TITLES} SELECT disc, title_id FROM v_titles EXCEPT SELECT disc, title_id FROM v_titles WHERE duration >= 2400")
 def eliminated(t):
     d = V.titles(t).select("disc", "title_id", "duration")
-    return d.join(d.filter("duration >= 2400").select("disc", "title_id"), ["disc", "title_id"], "left_anti").select("disc", "title_id")
+    return T.eliminated(d, d.filter("duration >= 2400"), ["disc", "title_id"])
 
 
 # Parts as reference candidates of the season and number of their key; brands play the episode names.

@@ -121,16 +121,24 @@ def file_title_id(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, TITLE_FILE, 1), F.lit("")).cast("int")
 
 
-def catalogue_title(raw: Column) -> Column:
-    """Bracket alias, else the text before the bracket, else T of "T (T)", else the name after a volume id, else raw.
+def last_group_size(raw: Column) -> Column:
+    """Characters of the balanced parenthesis group that ends a text, at any depth; 0 when there is none."""
+    def step(a: Column, i: Column) -> Column:
+        c = F.substr(raw, F.length(raw) - i + 1, F.lit(1))
+        depth = a["depth"] + F.when(c == ")", 1).when(c == "(", -1).otherwise(0)
+        return F.when(a["size"] > 0, a).otherwise(F.struct(depth.alias("depth"), F.when(depth == 0, i).otherwise(0).alias("size")))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"))
+    return F.when(raw.endswith(")"), F.aggregate(F.sequence(F.lit(1), F.length(raw)), start, step)["size"]).otherwise(0)
 
-    One level of nested parentheses is understood in "T (T)".
-    """
+
+def catalogue_title(raw: Column) -> Column:
+    """Bracket alias, else the text before the bracket, else T of "T (T)", else the name after a volume id, else raw."""
     alias = F.when(raw.contains("["), strip(F.regexp_extract(raw, r"^[^\[]*\[(.+)\][^\]]*$", 1)))
     before = F.when(raw.contains("["), strip(F.substring_index(raw, "[", 1)))
-    pair = r"^(.+)\(((?:[^()]|\([^()]*\))*)\)$"
-    left, right = strip(F.regexp_extract(raw, pair, 1)), strip(F.regexp_extract(raw, pair, 2))
-    twice = F.when(F.lower(left) == F.lower(right), left)
+    size = last_group_size(raw)
+    left, right = strip(F.left(raw, F.length(raw) - size)), strip(F.substr(raw, F.length(raw) - size + 2, size - 2))
+    twice = F.when((size > 0) & (left != "") & (F.lower(left) == F.lower(right)), left)
     head = strip(F.substring_index(raw, "(", 1))
     volume = raw.endswith(")") & raw.rlike(r"^[^(]+\(") & head.contains("_") & (F.upper(head) == head)
     inner = F.when(volume, strip(F.regexp_extract(raw, r"^[^(]+\((.*)\)$", 1)))

@@ -436,7 +436,7 @@ def main_texts(pages: DataFrame, sample: int = 120) -> DataFrame:
     """
     n = pages.count()
     place = F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = pages.filter(F.col("html").isNotNull() & (place < F.lit(sample / max(1, n)))).select("page_id", F.left("html", F.lit(100_000)).alias("html")).collect()
+    rows = pages.filter(F.col("html").isNotNull() & (place < F.lit(sample / max(1, n)))).select("page_id", "html").collect()
     model = train([r.html for r in sorted(rows, key=lambda r: (r.page_id is None, r.page_id))])
 
     def run(part):

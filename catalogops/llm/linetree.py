@@ -6,7 +6,8 @@ there; every other token is generalised to a field too.  A line whose template k
 template, any other line is its own template.  Templates that recur across documents are dropped from all of them.
 
 A document made up of recurring lines for the most part is a copy of another document, not a carrier of boilerplate.  So copies
-do not vote: a template recurs if enough *carriers* (documents with less than half of their bytes in shared lines) have it.
+do not vote: a template recurs if enough *carriers* (documents with less than half of their bytes in shared lines) have it.  Nor are copies
+taken apart: a document that would lose half of its bytes in three or more lines stays whole, for near-duplicate search to judge.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ class TreeRules:
     min_mass: int = 30  # documents times tokens of a template, so that short lines need more witnesses
     max_children: int = 20  # a position with more constants than this is a field
     constant_share: float = 0.5  # least share of constant tokens in a template
+    copy_lines: int = 3  # a copy loses at least so many lines
     copy_share: float = 0.5  # a document with that share of its bytes in shared lines is a copy
 
 
@@ -79,7 +81,7 @@ def templates(shared: DataFrame, rules: TreeRules) -> DataFrame:
 
 
 def recurring(docs: DataFrame, rules: TreeRules = RULES) -> DataFrame:
-    """(doc, line_id): the lines of each document whose template recurs."""
+    """(doc, line_id, bytes, size): the lines of each document whose template recurs, and the document's bytes."""
     lines = parsed(docs, rules)
     leaves = keep(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= rules.min_documents).select("leaf"), "leaves")
     shared = keep(lines.join(short_list(leaves), "leaf", "left_semi").withColumn("line_id", F.xxhash64("line")).dropDuplicates(["doc", "line_id"]), "shared-lines")
@@ -94,7 +96,7 @@ def recurring(docs: DataFrame, rules: TreeRules = RULES) -> DataFrame:
     inside = seen.join(short_list(candidates), "template", "left_semi").groupBy("doc").agg(F.sum("bytes").alias("inside"), F.max("size").alias("size"))
     copies = inside.filter(F.col("inside") >= rules.copy_share * F.col("size")).select("doc")
     voted = keep(often(once.join(copies, "doc", "left_anti")), "voted")
-    return seen.join(short_list(voted), "template", "left_semi").select("doc", "line_id")
+    return seen.join(short_list(voted), "template", "left_semi").select("doc", "line_id", "bytes", "size")
 
 
 def drop_recurring_lines(docs: DataFrame, rules: TreeRules = RULES) -> DataFrame:
@@ -107,7 +109,9 @@ def drop_recurring_lines(docs: DataFrame, rules: TreeRules = RULES) -> DataFrame
 
 
 def _dropped(docs: DataFrame, rules: TreeRules) -> DataFrame:
-    gone = recurring(docs, rules).groupBy("doc").agg(F.collect_set("line_id").alias("_gone"))
+    gone = recurring(docs, rules).groupBy("doc").agg(F.collect_set("line_id").alias("_gone"), F.sum("bytes").alias("_bytes"), F.max("size").alias("_size"))
+    whole = (F.size("_gone") >= rules.copy_lines) & (F.col("_bytes") >= rules.copy_share * F.col("_size"))
+    gone = gone.filter(~whole).select("doc", "_gone")
     joined = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(gone, F.col("_doc") == F.col("doc"), "left").drop("_doc", "doc")
     split = joined.withColumn("_lines", F.split("text", "\n"))
     stay = split.withColumn("_stay", F.filter("_lines", lambda x: ~F.array_contains("_gone", F.xxhash64(masked(x))) | (tokens(masked(x)) < rules.min_tokens)))

@@ -94,7 +94,9 @@ cand AS (SELECT template FROM (SELECT DISTINCT template, doc_id, n FROM seen) GR
 ins AS (SELECT doc_id, sum(strlen(m)) AS inside FROM seen WHERE template IN (FROM cand) GROUP BY doc_id),
 cop AS (SELECT doc_id FROM ins JOIN documents USING (doc_id) WHERE inside >= 0.5 * strlen(text)),
 vot AS (SELECT template FROM (SELECT DISTINCT template, doc_id, n FROM seen WHERE doc_id NOT IN (FROM cop)) GROUP BY template HAVING count(*) >= 3 AND count(*) * max(n) >= 30),
-gone AS MATERIALIZED (SELECT DISTINCT doc_id, m FROM seen WHERE template IN (FROM vot)),
+hit AS MATERIALIZED (SELECT DISTINCT doc_id, m FROM seen WHERE template IN (FROM vot)),
+kept AS (SELECT doc_id FROM hit JOIN documents USING (doc_id) GROUP BY doc_id, text HAVING count(*) >= 3 AND sum(strlen(m)) >= 0.5 * strlen(text)),
+gone AS MATERIALIZED (SELECT * FROM hit WHERE doc_id NOT IN (FROM kept)),
 out AS (SELECT raw.doc_id, count(*) AS n_lines, count(gone.m) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (gone.m IS NULL), '') AS text
   FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.m = gone.m GROUP BY raw.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(out.text) AS text_sha256, out.text AS text FROM documents d LEFT JOIN out USING (doc_id)"""

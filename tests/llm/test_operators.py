@@ -389,6 +389,19 @@ def test_only_boilerplate_goes(spark):
     assert set(got) == set(range(5)) and all(line not in r.text and r.n_chars == len(r.text) for r in got.values())
 
 
+def test_copies_stay_whole(spark):
+    lines = [" ".join(f"{chr(97 + i)}{chr(97 + k)}z" for k in range(10)) for i in range(6)]
+    own = [" ".join(f"{chr(97 + i)}{chr(97 + k)}{chr(97 + n)}y" for n in range(3) for k in range(12)) for i in range(9)]
+    copies = [(i, "\n".join(lines)) for i in range(4)]
+    carriers = [(10 + i, "\n".join([own[i], *lines[:2], own[i + 1] + " tail"])) for i in range(6)]
+    got = {r.doc_id: r for r in linetree.drop_recurring_lines(documents(spark, copies + carriers)).collect()}
+    assert all(got[i].n_dropped == 2 for i in range(10, 16))
+    assert [got[i].n_dropped for i in range(4)] == [2] * 4  # two lines, a third of the text
+    more = [(10 + i, "\n".join([own[i], *lines[:4], own[i + 1] + " tail" * 30])) for i in range(6)]
+    got = {r.doc_id: r for r in linetree.drop_recurring_lines(documents(spark, copies + more)).collect()}
+    assert all(got[i].n_dropped == 4 for i in range(10, 16)) and all(got[i].n_dropped == 0 for i in range(4))
+
+
 # 9 fingerprints
 
 

@@ -24,7 +24,7 @@ def log_lines(t):
     doc = F.to_json(F.struct(iso.alias("time"), F.expr(LEVEL).alias("level"), F.lit("m").alias("msg"), F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("item_id"),
                              F.col("event_type"), F.when(F.col("event_id") % 3 == 0, "1m2.5s").otherwise("1500ms").alias("stage_duration"), F.from_json("props", "struct<k:int>").alias("nested")))
     text = F.when(F.col("event_id") % 5 == 0, F.regexp_replace(doc, r"\}$", F.concat(F.lit(',"item_id":"'), F.col("user_id").cast("string"), F.lit('"}')))).otherwise(doc)
-    return t.events.select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 7 == 0, F.substring(text, 1, 20)).otherwise(text).alias("value"))
+    return t.events.repartition("event_id").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 7 == 0, F.substring(text, 1, 20)).otherwise(text).alias("value"))
 
 
 @query("parse_log_lines", f"""SELECT event_id AS seq, CASE WHEN event_id % 11 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS ts, {LEVEL} AS level, CASE WHEN event_id % 5 <> 0 THEN user_id END AS item_id, event_type,

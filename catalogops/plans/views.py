@@ -124,7 +124,7 @@ def cues(t: Tables) -> DataFrame:
 
 def lines(t: Tables) -> DataFrame:
     """Document lines as cues: longer tracks than conversations, with promotional and empty lines."""
-    d = t.documents.select(F.col("doc_id").alias("track"), F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    d = t.documents.select("doc_id", "text").repartition("doc_id").select(F.col("doc_id").alias("track"), F.posexplode(F.split("text", "\n")).alias("idx", "text"))
     start = F.col("idx") * 10.0
     return d.select("track", F.col("idx").cast("long").alias("idx"), start.alias("start"), cue_end(start, "text").alias("end"), "text")
 
@@ -187,7 +187,7 @@ def envelopes(t: Tables) -> DataFrame:
     doc = (f"to_json(named_struct('version', if({k} % 50 = 0, 2, 1), 'metadata', named_struct('media_type', if({k} % 2 = 0, 'tv', 'movie')), 'titles', {ti}, 'episodes', {ep}, 'assets', named_struct("
            f"'ripped', {assets('rip', 'true', 'false', f'''{k!s} || '-' || i''')}, 'encoded', {assets('encode', 'i < 4', f'({k} + i) % 9 = 0', f'''{k!s} || '-' || i || '.mkv' ''')}, "
            f"'final', {assets('final', f'({k} + i) % 8 <> 0', 'false', review)})))")
-    return t.orders.selectExpr("o_orderkey AS item_id", f"CASE WHEN {k} % 50 = 1 THEN ' ' ELSE {doc} END AS rip_spec_data", f"{k} % 5 = 0 AS needs_review",
+    return t.orders.repartition(k).selectExpr("o_orderkey AS item_id", f"CASE WHEN {k} % 50 = 1 THEN ' ' ELSE {doc} END AS rip_spec_data", f"{k} % 5 = 0 AS needs_review",
                                "'/review' AS review_dir", "'/library/' AS library_dir", f"if({k} % 2 = 0, 'tv', 'movie') AS media_type")
 
 
@@ -215,4 +215,4 @@ def probes(t: Tables) -> DataFrame:
       named_struct('index', 3, 'codec_name', 'subrip', 'codec_type', 'subtitle', 'start_time', '0', 'duration', cast(null AS string), 'width', 0, 'height', 0, 'channels', 0, 'channel_layout', '', 'color_transfer', '',
         'tags', map('language', 'eng', 'title', CASE {k} % 3 WHEN 0 THEN 'English' WHEN 1 THEN 'English (Forced)' ELSE '' END), 'disposition', map('forced', cast({k} % 12 < 2 AS int)), 'side_data_list', null)),
       s -> NOT (s.index = 2 AND {k} % 10 = 9) AND NOT (s.index = 3 AND {k} % 2 = 1))))"""
-    return t.orders.selectExpr("o_orderkey AS item_id", "'main' AS key", f"if({k} % 29 = 0, '', '/m/' || {k}) AS path", f"{doc} AS probe")
+    return t.orders.repartition(k).selectExpr("o_orderkey AS item_id", "'main' AS key", f"if({k} % 29 = 0, '', '/m/' || {k}) AS path", f"{doc} AS probe")

@@ -1,5 +1,6 @@
 """Registered corpus queries: shape on the smallest tables, and the pipeline against a brute-force version."""
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -19,6 +20,20 @@ def test_whole_table(spark, name):
     assert len(set(df.columns)) == len(df.columns)
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql_twin(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = entry.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    rel = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in rel.description]
+    assert sorted(names) == columns
+    want = sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in rel.fetchall())
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()) == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns

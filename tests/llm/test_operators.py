@@ -233,7 +233,7 @@ def test_folding_and_exceptions():
 
 
 def test_entries_need_evidence():
-    got = toxicity.learn_entries([("idio", 40, 0), ("idiot ", 39, 0), ("the ", 90, 190), ("rare ", 3, 0), ("often ", 12, 9)], 100, 200)
+    got = toxicity.learn_entries([("idio", 40, 0), ("idiot ", 39, 0), ("the ", 90, 190), ("rare ", 3, 0), ("often ", 12, 9), *[(f"word{i} ", 4, 3) for i in range(200)]], 100, 200)  # the more candidates, the more evidence each needs
     assert set(got) == {"idio"}
 
 

@@ -90,7 +90,7 @@ def prefix_terms(vectors: DataFrame, term_rank: DataFrame, threshold: float) ->
     return (vectors.join(term_rank.select("grp", "term", "df"), ["grp", "term"], "left")
             .withColumn("df", F.coalesce("df", F.lit(0)))
             .withColumn("rest", F.sum(sq).over(tail)).filter(F.col("rest") >= bound)
-            .select("grp", "doc", "term", "rest"))
+            .select("grp", "doc", "term", "weight", "rest"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -111,11 +111,18 @@ def near_duplicates(docs: DataFrame, threshold: float = SAME_TEXT) -> DataFrame:
     v = cut_lineage(tf_vectors(reps))
     ranks = v.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
     p = prefix_terms(v, ranks, threshold)
-    a = p.select("grp", "term", F.col("doc").alias("a"), F.col("rest").alias("ra"))
-    b = p.select("grp", "term", F.col("doc").alias("b"), F.col("rest").alias("rb"))
-    # Up to the first shared term nothing adds to the product, so from there on both vectors together must still
-    # reach the threshold; `rest` only shrinks along the order, so the first shared term is the weakest test.
+    after = F.greatest(F.col("rest") - F.col("weight") * F.col("weight"), F.lit(0.0))
+    p = p.withColumn("after", after).withColumn("tail", F.min("after").over(Window.partitionBy("grp", "doc")))
+    a = p.select("grp", "term", *[F.col(c).alias(f"{c}_a") for c in ("doc", "weight", "rest", "after", "tail")])
+    b = p.select("grp", "term", *[F.col(c).alias(f"{c}_b") for c in ("doc", "weight", "rest", "after", "tail")])
+    met = (a.join(b, ["grp", "term"]).filter(F.col("doc_a") < F.col("doc_b"))
+           .groupBy("grp", F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+           .agg(F.sum(F.col("weight_a") * F.col("weight_b")).alias("partial"), F.max(F.col("rest_a") * F.col("rest_b")).alias("first"),
+                *[F.min(c).alias(c) for c in ("after_a", "after_b")], *[F.max(c).alias(c) for c in ("tail_a", "tail_b")]))
+    # Up to the first shared term nothing adds to the product, so from there on both vectors together must still reach the
+    # threshold.  Behind the last term that both prefixes share, one prefix ends before the next shared term: that vector
+    # adds its tail at most, the other what is left of it.
     enough = (threshold - 10.0 ** (1 - PLACES)) ** 2
-    cand = (a.join(b, ["grp", "term"]).filter((F.col("a") < F.col("b")) & (F.col("ra") * F.col("rb") >= enough))
-            .select("grp", "a", "b").distinct())
+    left = F.sqrt(F.greatest(F.col("tail_a") * F.col("after_b"), F.col("after_a") * F.col("tail_b")))
+    cand = met.filter((F.col("first") >= enough) & (F.col("partial") + left >= threshold - 1e-6)).select("grp", "a", "b")
     return rescore(cand, v, v).filter(F.col("score") >= threshold)

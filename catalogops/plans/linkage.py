@@ -201,8 +201,8 @@ def top_match(t):
 SELECT * FROM (SELECT a.doc AS a, b.doc AS b, round(sum(a.weight * b.weight), 9) AS score
   FROM v a JOIN v b ON a.grp = b.grp AND a.term = b.term AND a.doc < b.doc GROUP BY ALL) WHERE score >= 0.92""")
 def near_duplicates(t):
-    """Documents of a shelf, as tracks of one disc are compared with each other; `exact_copies` covers the rest."""
-    d = rips(t, SHELVES).withColumnRenamed("key", "doc")
+    """All documents with each other; `exact_copies` names the members of each representative."""
+    d = rips(t).withColumnRenamed("key", "doc")
     return V.near_duplicates(d).select("a", "b", "score")
 
 

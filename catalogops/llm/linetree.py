@@ -1,9 +1,9 @@
 """Line dedup with a log-template tree; DataFrame functions only.
 
 Lines are parsed by a tree of fixed depth: token count, then the leading tokens, with tokens that hold a digit generalised to
-a field.  In a leaf that several documents reach, a token stays constant at its position if enough documents have it
-there; every other token is generalised to a field too.  A line whose template keeps at least half of its tokens belongs to that
-template, any other line is its own template.  Templates that recur across documents are dropped from all of them.
+a field.  In a leaf that several documents reach, a token stays constant at its position if a share of the leaf's documents has it
+there; every other token is generalised to a field too.  A line whose template keeps at least half of the tokens behind the leading
+ones, which all lines of the leaf share, belongs to that template, any other line is its own template.  Templates that recur across documents are dropped from all of them.
 
 A document made up of recurring lines for the most part is a copy of another document, not a carrier of boilerplate.  So copies
 do not vote: a template recurs if enough *carriers* (documents with less than half of their bytes in shared lines) have it.  Nor are copies
@@ -28,10 +28,10 @@ BROADCAST_ROWS = 300_000
 class TreeRules:
     depth: int = 3  # leading tokens that select a leaf
     min_tokens: int = 3  # shorter lines are never boilerplate
-    min_documents: int = 3  # documents that must share a template, and support a constant token
+    min_documents: int = 3  # documents that must share a template, and support a constant token at least
     min_mass: int = 30  # documents times tokens of a template, so that short lines need more witnesses
-    max_children: int = 20  # a position with more constants than this is a field
-    constant_share: float = 0.5  # least share of constant tokens in a template
+    max_children: int = 20  # a constant stands in one of so many documents of its leaf; a position with more constants is a field
+    constant_share: float = 0.5  # least share of constant tokens behind the leading tokens of a template
     copy_lines: int = 3  # a copy loses at least so many lines
     copy_share: float = 0.5  # a document with that share of its bytes in shared lines is a copy
 
@@ -64,28 +64,29 @@ def short_list(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def templates(shared: DataFrame, rules: TreeRules) -> DataFrame:
-    """(line_id, template) for `shared(doc, line, line_id, n, leaf)`."""
+def templates(shared: DataFrame, leaves: DataFrame, rules: TreeRules) -> DataFrame:
+    """(line_id, template) for `shared(doc, line, line_id, n, leaf)` and `leaves(leaf, docs)`."""
     distinct = keep(shared.groupBy("leaf", "line_id").agg(F.count(F.lit(1)).alias("docs"), F.first("line").alias("line")), "distinct-lines")
     placed = distinct.select("leaf", "line_id", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     token = F.xxhash64("token").alias("token_id")
     support = placed.filter(F.col("token") != FIELD).groupBy("leaf", "pos", token).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= rules.min_documents)
+    support = support.join(short_list(leaves.withColumnRenamed("docs", "all")), "leaf").filter(F.col("docs") * rules.max_children >= F.col("all"))
     narrow = support.groupBy("leaf", "pos").agg(F.count(F.lit(1)).alias("children")).filter(F.col("children") <= rules.max_children)
     constant = keep(support.join(narrow, ["leaf", "pos"]).select("leaf", "pos", "token_id"), "constants")
     marked = placed.withColumn("token_id", F.xxhash64("token")).join(constant.withColumn("constant", F.lit(1)), ["leaf", "pos", "token_id"], "left")
     # the template of a line: constants with their positions, in any order of addition
     part = F.when(F.col("constant") == 1, F.xxhash64("pos", "token_id").cast("decimal(20,0)"))
-    summed = marked.groupBy("leaf", "line_id").agg(F.sum(part).alias("parts"), F.count("constant").alias("constants"), F.count(F.lit(1)).alias("n"))
-    general = F.col("constants") >= rules.constant_share * F.col("n")
+    summed = marked.groupBy("leaf", "line_id").agg(F.sum(part).alias("parts"), F.count_if((F.col("constant") == 1) & (F.col("pos") >= rules.depth)).alias("constants"), F.count(F.lit(1)).alias("n"))
+    general = F.col("constants") >= rules.constant_share * (F.col("n") - rules.depth)
     return summed.select("line_id", F.when(general, F.xxhash64("leaf", F.col("parts").cast("string"))).otherwise(F.col("line_id")).alias("template"))
 
 
 def recurring(docs: DataFrame, rules: TreeRules = RULES) -> DataFrame:
     """(doc, line_id, bytes, size): the lines of each document whose template recurs, and the document's bytes."""
     lines = parsed(docs, rules)
-    leaves = keep(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= rules.min_documents).select("leaf"), "leaves")
-    shared = keep(lines.join(short_list(leaves), "leaf", "left_semi").withColumn("line_id", F.xxhash64("line")).dropDuplicates(["doc", "line_id"]), "shared-lines")
-    seen = keep(shared.select("doc", "size", "line_id", "n", F.octet_length("line").alias("bytes")).join(templates(shared, rules), "line_id"), "templates")
+    leaves = keep(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= rules.min_documents), "leaves")
+    shared = keep(lines.join(short_list(leaves.select("leaf")), "leaf", "left_semi").withColumn("line_id", F.xxhash64("line")).dropDuplicates(["doc", "line_id"]), "shared-lines")
+    seen = keep(shared.select("doc", "size", "line_id", "n", F.octet_length("line").alias("bytes")).join(templates(shared, leaves, rules), "line_id"), "templates")
     once = seen.groupBy("template", "doc").agg(F.max("n").alias("n"))
 
     def often(d: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import duckdb
 
 from catalogops import plans
+from catalogops.llm import linetree
 from catalogops.plans.linkage import vec_sql
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +18,26 @@ def test_near_duplicates_of_all_documents(spark):
         FROM v a JOIN v b ON a.term = b.term AND a.doc < b.doc GROUP BY ALL) WHERE score >= 0.92""").fetchall()
     got = [tuple(r) for r in plans.queries()["near_duplicate_documents"](spark, SF).select("a", "b", "score").collect()]
     assert sorted(got) == sorted(want) and any(a % 128 != b % 128 for a, b, _ in got)
+
+
+def documents(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_lines_with_one_head_stay(spark):
+    """Different lines of 4 to 8 tokens that only begin alike; a line with one word of its own in each document goes."""
+    rows = []
+    for i in range(12):
+        own = [f"{chr(97 + i)}{chr(97 + k)}q" for k in range(12)]
+        rows.append((i, "\n".join([" ".join(own), *[" ".join(["It", "was", "the", *own[:n]]) for n in (1, 2, 3)],
+                                   f"It was the {own[0]} of {own[1]}", f"Posted in news by {own[0]} for all our readers", " ".join(own[::-1])])))
+    got = linetree.drop_recurring_lines(documents(spark, rows)).collect()
+    assert all(r.n_dropped == 1 and r.text.count("It was the") == 4 and "Posted" not in r.text for r in got)
+
+
+def test_support_is_a_share_of_the_leaf(spark):
+    """Six lines of a leaf of 160 that agree by chance in some words are no template of their neighbours."""
+    rows = [(i, f"own{chr(97 + i % 26)}{chr(97 + i // 26)} text of page\nIt was the {'same' if i < 6 else 'x' + chr(97 + i % 26) + chr(97 + i // 26)} y{chr(97 + i % 26)}{chr(97 + i // 26)}"
+                + f"\n{' '.join(chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + k) for k in range(20))}") for i in range(160)]
+    got = linetree.drop_recurring_lines(documents(spark, rows)).collect()
+    assert all("It was the" in r.text for r in got)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import combinations
 
 import ahocorasick
 import numpy as np
@@ -93,18 +94,18 @@ def features(hits: list[tuple[int, float, str]], text: str) -> list[float]:
     return [np.log1p(total), np.log1p(100 * total / words)]
 
 
-def learn_entries(counts, n_toxic: int, n_other: int, most: int = 5000) -> dict[str, float]:
+def learn_entries(counts, n_toxic: int, n_other: int, most: int = 5000, candidates: int = 0) -> dict[str, float]:
     """Log odds of (entry, toxic texts, other texts) rows that are too one-sided for chance.
 
     The likelihood ratio against an entry that ignores the label must exceed three times the log of the number of
-    candidates.  A longer entry is dropped when a beginning of it is kept with nearly its weight.  `most` bounds the lexicon.
+    candidates (the rows, or more if so many were looked at).  A longer entry is dropped when a beginning of it is kept with nearly its weight.  `most` bounds the lexicon.
     """
     share = n_toxic / max(1, n_toxic + n_other)
     kept = {}
     for entry, t, n in counts:
         w = np.log((t + 0.5) / (n_toxic + 1)) - np.log((n + 0.5) / (n_other + 1))
         ratio = 2 * (t * np.log(t / ((t + n) * share)) + (n * np.log(n / ((t + n) * (1 - share))) if n else 0.0)) if t and 0 < share < 1 else 0.0
-        if w > 1 and ratio > 3 * np.log(len(counts) + 1):
+        if w > 1 and ratio > 3 * np.log(max(candidates, len(counts)) + 1):
             kept[entry] = (float(w), t)
     out = {}
     for entry, (w, t) in sorted(kept.items(), key=lambda x: (len(x[0]), x[0])):
@@ -143,8 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPT
     size = {(r.half, r.label): r["count"] for r in texts.groupBy("half", "label").count().collect()}
     rows = (texts.select("text", "label", "half").mapInArrow(counts, "entry string, n0 long, t0 long, n1 long, t1 long")
             .groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")]).filter("t0 + t1 >= 3 and t0 + t1 > n0 + n1").collect())  # bounded by the sample
-    free = distinct_surroundings(texts.filter("label = 1"), Lexicon(learn_entries([(r.entry, r.t0 + r.t1, r.n0 + r.n1) for r in rows], size.get((0, 1), 0) + size.get((1, 1), 0),
-                                                                                  size.get((0, 0), 0) + size.get((1, 0), 0)), exceptions))
+    n_toxic, n_other = (size.get((0, k), 0) + size.get((1, k), 0) for k in (1, 0))
+    first = learn_entries([(r.entry, r.t0 + r.t1, r.n0 + r.n1) for r in rows], n_toxic, n_other)
+    free = learn_entries(distinct_evidence(texts, Lexicon(first, exceptions)), n_toxic, n_other, candidates=len(rows))
     both = Lexicon(free, exceptions)
     x = []
     for half in (0, 1):
@@ -155,31 +157,48 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPT
     return both, fit_logistic(np.array([r.x for r in x]), np.array([r.label for r in x], float))
 
 
-def surroundings(text: str, hits: list[tuple[int, float, str]]) -> list[tuple[str, str]]:
-    """The entry of every hit with the words before and after it."""
+def surroundings(text: str, hits: list[tuple[int, float, str]], reach: int = 1) -> list[tuple[str, str]]:
+    """The entry of every hit with `reach` words before and after it."""
     words = [(m.start(), m[0]) for m in _WORD.finditer(fold(text))]
     at = {start: i for i, (start, _) in enumerate(words)}
     out = []
     for start, _, entry in hits:
         i = at.get(start)
         if i is not None:
-            out.append((entry, f"{words[i - 1][1] if i else ''} {words[i + 1][1] if i + 1 < len(words) else ''}"))
+            out.append((entry, " ".join(words[i + k][1] if 0 <= i + k < len(words) else "" for k in range(-reach, reach + 1) if k)))
     return out
 
 
-def distinct_surroundings(toxic: DataFrame, lexicon: Lexicon, least: float = 0.7) -> dict[str, float]:
-    """Entries that stand between different words nearly every time.  Words of copied texts keep their neighbours and go."""
+def independent(around: list[str]) -> int:
+    """Number of surroundings that do not repeat a counted one: two of its words in the same places make a repeat."""
+    seen, n = set(), 0
+    for s in sorted(set(around)):
+        pairs = {p for p in combinations(enumerate(s.split(" ")), 2) if p[0][1] and p[1][1]}
+        n += seen.isdisjoint(pairs)
+        seen |= pairs
+    return n
+
+
+def distinct_evidence(texts: DataFrame, lexicon: Lexicon) -> list[tuple[str, int, int]]:
+    """(entry, toxic, other) counts of its hits in `texts(text, label)`, with repeated surroundings counted once, so that edited copies do not vote."""
     cache = []
 
     def run(batches):
         if not cache:
             cache.append(lexicon.automaton())
         for b in batches:
-            pairs = [p for t in b.column(0).to_pylist() for p in surroundings(t, lexicon.hits(cache[0], t))]
-            yield pa.RecordBatch.from_pydict({"entry": pa.array([e for e, _ in pairs], pa.string()), "around": pa.array([a for _, a in pairs], pa.string())})
+            rows = [(e, label, a) for t, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for e, a in surroundings(t, lexicon.hits(cache[0], t), 2)]
+            yield pa.RecordBatch.from_pydict({"entry": pa.array([r[0] for r in rows], pa.string()), "label": pa.array([r[1] for r in rows], pa.int32()), "around": pa.array([r[2] for r in rows], pa.string())})
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([independent(a) for a in b.column(2).to_pylist()], pa.int64())], ["entry", "label", "n"])
 
-    seen = toxic.select("text").mapInArrow(run, "entry string, around string").groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("around").alias("k")).collect()
-    return {r.entry: lexicon.weights[r.entry] for r in seen if r.k >= least * r.n and r.entry in lexicon.weights}
+    sets = texts.select("text", F.col("label").cast("int")).mapInArrow(run, "entry string, label int, around string").groupBy("entry", "label").agg(F.collect_set("around").alias("around"))
+    out: dict[str, list[int]] = {}
+    for r in sets.mapInArrow(count, "entry string, label int, n long").collect():  # bounded by the lexicon
+        out.setdefault(r.entry, [0, 0])[r.label] = r.n
+    return [(e, t, n) for e, (n, t) in sorted(out.items())]
 
 
 def score_features(docs: DataFrame, ids: list[str], lexicon: Lexicon) -> DataFrame:

@@ -1,9 +1,10 @@
 """Results of whole jobs: nothing is left out by a shelf, a share of copies, a head of a line or a hidden word in an attribute."""
 
 import duckdb
+import numpy as np
 
 from catalogops import plans
-from catalogops.llm import linetree
+from catalogops.llm import linetree, toxicity
 from catalogops.plans.linkage import vec_sql
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,24 @@ def test_support_is_a_share_of_the_leaf(spark):
                 + f"\n{' '.join(chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + k) for k in range(20))}") for i in range(160)]
     got = linetree.drop_recurring_lines(documents(spark, rows)).collect()
     assert all("It was the" in r.text for r in got)
+
+
+def test_copies_do_not_take_words_from_the_lexicon(spark):
+    """Half of the toxic texts are edited copies of one; its slur stays an entry for unrelated texts, its other words do not become entries."""
+    rng = np.random.default_rng(3)
+    vocab = [f"w{a}{b}{c}" for a in "abcde" for b in "klmno" for c in "rstuvxyz"]
+    copied = ["plain" + chr(97 + k) + "word" for k in range(30)]
+    copied[5] = "grolbix"
+    docs, labels = [], []
+    for i in range(1200):
+        w = list(rng.choice(vocab, 30))
+        if i % 3 == 0:
+            w[int(rng.integers(30))] = "grolbix"
+        if i % 6 == 0:
+            w = [x if x == "grolbix" or rng.random() > 0.1 else str(rng.choice(vocab)) for x in copied]
+            w[12:18] = rng.choice(vocab, 6)  # every middle is another one
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    lexicon, _ = toxicity.fit(documents(spark, docs), spark.createDataFrame(labels, "doc_id long, label int"))
+    kept = set(lexicon.weights)
+    assert any("grolbix".startswith(e.strip()) for e in kept) and not any(e.startswith("plain") for e in kept)

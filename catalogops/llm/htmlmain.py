@@ -431,13 +431,13 @@ def train(pages: list[str], generated: int = 500) -> Boosted:
 def main_texts(pages: DataFrame, sample: int = 120) -> DataFrame:
     """Every row of `pages(page_id, url, html)` with `text` and `n_chars`.
 
-    Null or empty html and pages without main text give an empty text.  About `sample` pages, chosen by a hash of their id, and
+    Null or empty html and pages without main text give an empty text.  At most `sample` different pages, chosen by a hash of id and html, and
     generated layouts train the trees; all pages are extracted from their whole html.
     """
-    n = pages.count()
-    place = F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = pages.filter(F.col("html").isNotNull() & (place < F.lit(sample / max(1, n)))).select("page_id", "html").collect()
-    model = train([r.html for r in sorted(rows, key=lambda r: (r.page_id is None, r.page_id))])
+    known = pages.filter("html is not null").select("page_id", "html", F.xxhash64("page_id", "html").alias("place"))
+    places = [r.place for r in known.select("place").distinct().orderBy("place").limit(sample).collect()]
+    rows = known.filter(F.col("place").isin(places)).groupBy("place").agg(F.first("page_id").alias("page_id"), F.first("html").alias("html")).collect()  # at most `sample`
+    model = train([r.html for r in sorted(rows, key=lambda r: r.place)])
 
     def run(part):
         parsed = [parse(t) if t else None for t in part]

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 
 from catalogops import plans
-from catalogops.llm import linetree, toxicity
+from catalogops.llm import htmlmain, linetree, toxicity
 from catalogops.plans.linkage import vec_sql
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +63,13 @@ def test_copies_do_not_take_words_from_the_lexicon(spark):
     lexicon, _ = toxicity.fit(documents(spark, docs), spark.createDataFrame(labels, "doc_id long, label int"))
     kept = set(lexicon.weights)
     assert any("grolbix".startswith(e.strip()) for e in kept) and not any(e.startswith("plain") for e in kept)
+
+
+def test_sample_of_pages_is_bounded(spark, monkeypatch):
+    """Pages without an id, or with the same one, are sampled like others, and copies once."""
+    seen, train = [], htmlmain.train
+    monkeypatch.setattr(htmlmain, "train", lambda pages: (seen.append(pages), train([]))[1])
+    for page_id in (None, 7):
+        rows = [(page_id, "u", f"<p>page {i % 100}</p>") for i in range(300)]
+        assert htmlmain.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string"), sample=20).count() == 300
+    assert [(len(p), len(set(p))) for p in seen] == [(20, 20)] * 2

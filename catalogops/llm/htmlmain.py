@@ -50,7 +50,8 @@ N_FEATURES = len(TAG_FEATURES) + 2 * len(TOKEN_GROUPS) + 15
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_NAMED = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -66,6 +67,15 @@ class Node:
     chars: int = 0  # of its own text
 
 
+def _is_hidden(attributes: str) -> bool:
+    """Hidden by an attribute of that name, by its style or for readers; words inside other values do not count."""
+    for name, *values in _NAMED.findall(attributes):
+        name, value = name.lower(), "".join(values).strip()
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def parse(page: str) -> list[Node]:
     """Elements in document order; element 0 is the page.  Unclosed and stray tags are repaired as browsers do for common cases."""
     nodes = [Node("#page", -1, 0)]
@@ -98,7 +108,7 @@ def parse(page: str) -> list[Node]:
         if attributes:
             tokens = [t for a in _ATTRIBUTE.findall(attributes) for v in a if v for w in v.lower().split() for t in (w, *_SPLIT.split(w))]
             groups = frozenset(_GROUP_OF[t] for t in tokens if t in _GROUP_OF)
-            hidden = bool(_HIDDEN.search(attributes))
+            hidden = _is_hidden(attributes)
         parent = stack[-1]
         nodes.append(Node(name, parent, len(stack), groups, hidden, attributes))
         nodes[parent].parts.append(len(nodes) - 1)

@@ -73,3 +73,10 @@ def test_sample_of_pages_is_bounded(spark, monkeypatch):
         rows = [(page_id, "u", f"<p>page {i % 100}</p>") for i in range(300)]
         assert htmlmain.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string"), sample=20).count() == 300
     assert [(len(p), len(set(p))) for p in seen] == [(20, 20)] * 2
+
+
+def test_words_inside_values_hide_nothing():
+    for shown in ('title="the hidden cost of x"', "class='md hidden lg'", 'alt="a hidden = b"', 'data-note="display:none"', 'data-x="aria-hidden=\'true\'"'):
+        assert not htmlmain.parse(f"<p {shown}>x</p>")[1].hidden, shown
+    for gone in ("hidden", "class=a hidden", 'hidden=""', 'style="color:red; display : none"', "aria-hidden='true'", "ARIA-HIDDEN=true"):
+        assert htmlmain.parse(f"<p {gone}>x</p>")[1].hidden, gone

@@ -21,6 +21,30 @@ def int_slice(column: str | Column, width: int = 1_000_000) -> Column:
     return F.floor(c / F.lit(width))
 
 
+def quantile_slice(df: DataFrame, column: str, side: int = 32) -> Column:
+    """Slice of a numeric order column: borders are quantiles of all rows, so a slice has about 1 / side^2 of the rows whatever the values are.
+
+    The quantiles come from one mergeable summary (`percentile_approx`); at most side^2 numbers reach the driver.  Rows that
+    share one value share a slice; null stays null.
+    """
+    parts = side * side
+    at = [i / parts for i in range(1, parts)]
+    found = df.agg(F.percentile_approx(column, at, 10 * parts).alias("q")).first()["q"] or []
+    borders = sorted(set(found))
+    kind = df.schema[column].dataType
+    groups = [borders[i:i + side] for i in range(0, len(borders), side)] or [[]]
+
+    def lookup(values: Column) -> Column:
+        return F.size(F.filter(values, lambda b: b <= F.col(column)))
+
+    def literals(values: list) -> Column:
+        return F.array(*[F.lit(v).cast(kind) for v in values]) if values else F.array().cast(f"array<{kind.simpleString()}>")
+
+    coarse = lookup(literals([g[0] for g in groups[1:]]))
+    fine = lookup(F.element_at(F.array(*[literals(g) for g in groups]), coarse + 1))
+    return F.when(F.col(column).isNotNull(), coarse * (side + 1) + fine)
+
+
 def sliced_window(
     df: DataFrame,
     keys: Sequence[str],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogops.llm import chat, decontam, htmlmain, langid, linetree, mixing, neardup, quality, sketch, toxicity
+from catalogops.llm import centroids, chat, decontam, htmlmain, langid, linetree, mixing, neardup, quality, sketch, toxicity, turntrie
 from catalogops.llm.common import table
 
 
@@ -132,3 +132,53 @@ w AS (SELECT conv_id, hi, good, 'truncated' AS kind, left(good, length(good) //
 SELECT conv_id AS pair_id, kind, hi::INT AS n_shared, prompt, '<|im_start|>assistant' || chr(10) || good || '<|im_end|>' || chr(10) AS chosen_completion,
   '<|im_start|>assistant' || chr(10) || bad || '<|im_end|>' || chr(10) AS rejected_completion,
   '22-' || (22 + length(good) + 11) AS chosen_spans, '22-' || (22 + length(bad) + 11) AS rejected_spans FROM w JOIN p USING (conv_id) WHERE good <> bad"""
+
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op12_prefix_trie"] = op12_prefix_trie
+#: crc32 of a short ASCII text, bit by bit.
+CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[(ascii(ch) >> i) & 1 FOR i IN range(8)] FOR ch IN string_split({0}, '')])),
+  lambda c, b: xor(c >> 1, (xor(c, b::BIGINT) & 1) * 3988292384)))"""
+SQL["op12_prefix_trie"] = f"""
+WITH t AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base, {CRC32_SQL.format('conv_id::VARCHAR')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+s AS MATERIALIZED (SELECT c.conv_id, coalesce((SELECT list({{'r': role, 't': text}} ORDER BY pos) FROM t WHERE t.conv_id = c.base AND pos <= h), [])
+  || coalesce((SELECT list({{'r': role, 't': text}} ORDER BY pos) FROM t WHERE t.conv_id = c.conv_id AND pos > h), []) AS s FROM c),
+p AS (SELECT conv_id, s[1:d] AS p, d, len(s) = d AS ended FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM s)),
+n AS MATERIALIZED (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, CASE d WHEN 0 THEN 0 ELSE (count(*) - 1) * strlen(p[d].t) END AS saved,
+  sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends FROM p GROUP BY p, d),
+k AS MATERIALIZED (SELECT n.p, n.d, count(x.d) AS children FROM n LEFT JOIN n x ON x.d = n.d + 1 AND x.p[1:n.d] = n.p GROUP BY n.p, n.d),
+u AS (SELECT n.p, n.d, sum(x.saved) AS saved, count(*) FILTER (k.children = 0) AS leaves FROM n JOIN n x ON x.d >= n.d AND x.p[1:n.d] = n.p JOIN k ON k.d = x.d AND k.p = x.p GROUP BY n.p, n.d)
+SELECT n.conv_id, n.d::BIGINT AS depth, (SELECT y.conv_id FROM n y WHERE y.d = n.d - 1 AND y.p = n.p[1:n.d - 1]) AS parent_conv_id, n.n AS n_convs, k.children AS n_children,
+  u.leaves AS n_leaves, u.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256 FROM n JOIN k ON k.d = n.d AND k.p = n.p JOIN u ON u.d = n.d AND u.p = n.p"""
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+QUERIES["op13_centroids"] = op13_centroids
+
+
+def _centroid_sql(rounds: int) -> str:
+    place = "SELECT i, vec_id, v, min(list_sum([(v[j] - c[j]) * (v[j] - c[j]) FOR j IN range(1, 65)])::BIGINT * 8 + k) AS m FROM v, c{0} GROUP BY ALL"
+    steps = [f"""a{r} AS MATERIALIZED ({place.format(r)}),
+m{r} AS MATERIALIZED (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM (SELECT m % 8 AS k, j, sum(x)::BIGINT AS s, count(*) AS n
+  FROM (SELECT m, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{r}) GROUP BY ALL) GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k))""" for r in range(rounds)]
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM v ORDER BY h, v LIMIT 8)),
+{(',' + chr(10)).join(steps)},
+z AS MATERIALIZED (SELECT vec_id, m % 8 AS k, m // 8 AS distance FROM ({place.format(rounds)}))
+SELECT vec_id, z.k::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY z.k))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM z JOIN c{rounds} x ON x.k = z.k"""
+
+
+SQL["op13_centroids"] = _centroid_sql(10)

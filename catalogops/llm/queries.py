@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogops.llm import centroids, chat, decontam, htmlmain, langid, linetree, mixing, neardup, quality, sketch, toxicity, turntrie
+from catalogops.llm import centroids, chat, decontam, htmlmain, langid, linetree, mixing, neardup, quality, sketch, suffixes, toxicity, turntrie
 from catalogops.llm.common import table
 
 
@@ -182,3 +182,10 @@ SELECT vec_id, z.k::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION
 
 
 SQL["op13_centroids"] = _centroid_sql(10)
+
+
+def op11_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op11_repeated_bytes"] = op11_repeated_bytes

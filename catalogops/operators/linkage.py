@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from catalogops.operators import vectors as V
 from catalogops.operators.skew import int_slice, sliced_window
 from catalogops.policy import AMBIGUOUS, CLEAR, CONTESTED, DECISIVE, MatchPolicy
-from catalogops.session import cut_lineage
+from catalogops.session import cut_lineage, store
 
 # The raw cosine lifts a score only from these two similarities on.
 RAW_LIFT_MIN_RAW = 0.90
@@ -23,27 +23,60 @@ PENDING_PER_RIP = 2
 HOLE_PENALTY = 0.08
 
 
-def rip_vectors(rips: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(rip weighted, rip raw, ref weighted, ref raw); idf comes from the references alone."""
-    rip_raw = cut_lineage(V.tf_vectors(rips.withColumnRenamed("key", "doc")))
-    ref_raw = cut_lineage(V.tf_vectors(refs.withColumnRenamed("number", "doc")))
-    table = V.idf(ref_raw)
-    return V.tfidf_vectors(rip_raw, table), rip_raw, V.tfidf_vectors(ref_raw, table), ref_raw
+def linked_vectors(rips: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors of rips and references over the terms that references have; idf comes from the references alone."""
+    ref_raw = store(V.tf_vectors(refs.withColumnRenamed("number", "doc")), "reference-terms")
+    table = store(V.idf(ref_raw), "idf")
+    rip_raw = V.tf_vectors(rips.withColumnRenamed("key", "doc"))
+    return store(V.known_vectors(rip_raw, table), "rip-vectors"), store(V.known_vectors(ref_raw, table), "reference-vectors")
+
+
+def _scored(sums: DataFrame) -> DataFrame:
+    """(grp, key, number, weighted, raw, score); nearly equal texts are lifted to the raw cosine."""
+    lift = (F.col("raw") >= RAW_LIFT_MIN_RAW) & (F.col("weighted") >= RAW_LIFT_MIN_WEIGHTED)
+    score = F.when(lift, F.greatest("weighted", "raw")).otherwise(F.col("weighted"))
+    return sums.select("grp", F.col("a").alias("key"), F.col("b").alias("number"), "weighted", "raw", score.alias("score"))
 
 
 def score_pairs(rips: DataFrame, refs: DataFrame) -> DataFrame:
-    """(grp, key, number, weighted, raw, score) of every pair with a shared weighted term.
+    """(grp, key, number, weighted, raw, score) of every pair with a shared weighted term, in one pass over the shared terms.
 
-    The raw cosine can only matter from RAW_LIFT_MIN_WEIGHTED on; it is computed for those pairs and NULL for
-    the others, which keeps the very frequent terms out of the wide join.
+    Claims need few of them: see `claim_pairs`.
     """
-    rip_w, rip_raw, ref_w, ref_raw = rip_vectors(rips, refs)
-    weighted = cut_lineage(V.cosine(rip_w, ref_w).withColumnRenamed("score", "weighted"))
-    raw = V.rescore(weighted.filter(F.col("weighted") >= RAW_LIFT_MIN_WEIGHTED), rip_raw, ref_raw, "raw")
-    lifted = F.when(F.col("raw") >= RAW_LIFT_MIN_RAW, F.greatest("weighted", "raw")).otherwise(F.col("weighted"))
-    return (weighted.join(raw, ["grp", "a", "b"], "left")
-            .select("grp", F.col("a").alias("key"), F.col("b").alias("number"), "weighted", "raw",
-                    lifted.alias("score")))
+    return _scored(V.pair_sums(*linked_vectors(rips, refs)))
+
+
+def _liftable(rip: DataFrame, ref: DataFrame, rip_bounds: DataFrame, least: float) -> DataFrame:
+    """Pairs (grp, a, b) whose weighted cosine is `least` or more, or that the raw cosine may lift."""
+    bar = F.lit(min(least, RAW_LIFT_MIN_WEIGHTED))
+    return V.reaching(V.bounded_terms(ref, rip_bounds), bar, rip).select("grp", F.col("b").alias("a"), F.col("a").alias("b"))
+
+
+def claim_pairs(rips: DataFrame, refs: DataFrame, policy: MatchPolicy = MatchPolicy()) -> DataFrame:
+    """The part of `score_pairs` that claims depend on: pairs of the minimum similarity, and of their rips and references the two best
+    partners and the neighbouring numbers.  Bounds per posting list leave out the rest."""
+    least = policy.normalized().min_similarity
+    rip, ref = linked_vectors(rips, refs)
+    # each side is searched from the other one: one corpus of both, told apart in the group
+    kinds = [F.lit(None).cast(v.schema["doc"].dataType) for v in (rip, ref)]
+
+    def sided(v: DataFrame, side: str, is_rip: bool) -> DataFrame:
+        key, number = (F.col("doc"), kinds[1]) if is_rip else (kinds[0], F.col("doc"))
+        return v.select(F.struct(F.lit(side).alias("side"), "grp").alias("grp"), F.struct(key.alias("key"), number.alias("number")).alias("doc"), "term", "weight")
+
+    corpus = sided(rip, "rip", True).unionByName(sided(ref, "ref", False))
+    bounds = store(V.list_bounds(corpus), "list-bounds")
+    rip_bounds = bounds.filter("grp.side = 'rip'").select("grp.grp", "term", "top")
+    near = store(_scored(V.exact_sums(store(_liftable(rip, ref, rip_bounds, least), "reached"), rip, ref)), "near-pairs")
+    base = near.filter(F.col("score") >= least)
+    keys, numbers = (base.select("grp", F.col(c).alias("doc")).distinct() for c in ("key", "number"))
+    queries = (sided(rip.join(keys, ["grp", "doc"], "left_semi"), "ref", True)
+               .unionByName(sided(ref.join(numbers, ["grp", "doc"], "left_semi"), "rip", False)))
+    best = V.best_partners(queries, corpus, bounds, 2).select("grp.grp", F.coalesce("a.key", "b.key").alias("a"), F.coalesce("a.number", "b.number").alias("b"))
+    beside = base.select("grp", F.col("key").alias("a"), F.explode(F.array(F.col("number") - 1, F.col("number") + 1)).alias("b"))
+    more = best.unionByName(beside).distinct()
+    more = more.join(near.select("grp", F.col("key").alias("a"), F.col("number").alias("b")), ["grp", "a", "b"], "left_anti")
+    return near.unionByName(_scored(V.exact_sums(store(more, "more-pairs"), rip, ref)))
 
 
 def top_match(pairs: DataFrame) -> DataFrame:
@@ -101,10 +134,10 @@ def quality_label(p: MatchPolicy) -> Column:
 def build_claims(pairs: DataFrame, rips: DataFrame, refs: DataFrame, policy: MatchPolicy = MatchPolicy()) -> DataFrame:
     """Pairs at or above the minimum similarity with runner-ups, margins, confidence, label and strength.
 
-    Runner-ups look at all pairs, claimed or not; absent pairs count as 0.
+    Runner-ups look at all pairs, claimed or not, of which `claim_pairs` holds the ones that matter; absent pairs count as 0.
     """
     p = policy.normalized()
-    pairs = cut_lineage(pairs.join(rips.select("grp", "key", "pos"), ["grp", "key"]))  # read four times below
+    pairs = store(pairs.join(rips.select("grp", "key", "pos"), ["grp", "key"]), "claim-pairs")  # read four times below
     by_rip = _top_two(pairs, ["grp", "key"], [F.desc("score"), F.asc("number")], "f", "number")
     by_ref = _top_two(pairs, ["grp", "number"], [F.desc("score"), F.asc("pos")], "k", "key")
     base = pairs.filter(F.col("score") >= p.min_similarity)

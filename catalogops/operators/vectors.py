@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalogops.session import cut_lineage
+from catalogops.session import cut_lineage, store
 
 # Fixed values of the text fingerprint.
 TOKEN_SPLIT = "[^a-z0-9]+"
@@ -76,6 +76,98 @@ def rescore(pairs: DataFrame, left: DataFrame, right: DataFrame, name: str = "sc
             .groupBy("grp", "a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), PLACES).alias(name)))
 
 
+def known_vectors(vectors: DataFrame, idf_table: DataFrame) -> DataFrame:
+    """(grp, doc, term, raw, weight): both weights of every term that the table knows; other terms count in the norm only."""
+    doc = Window.partitionBy("grp", "doc")
+    w = F.col("raw") * F.coalesce("idf", F.lit(1.0))
+    d = (vectors.select("grp", "doc", "term", F.col("weight").alias("raw"))
+         .join(idf_table.select("grp", "term", "idf"), ["grp", "term"], "left").withColumn("w", w))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc))
+    weight = F.when(norm > 0, F.col("w") / norm).otherwise(0.0)
+    return d.withColumn("weight", weight).filter("idf is not null").select("grp", "doc", "term", "raw", "weight")
+
+
+def pair_sums(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(grp, a, b, weighted, raw) of every pair that shares a term of weight on both sides; both products in one pass."""
+    a = left.select("grp", "term", F.col("doc").alias("a"), F.col("weight").alias("wa"), F.col("raw").alias("ra"))
+    b = right.select("grp", "term", F.col("doc").alias("b"), F.col("weight").alias("wb"), F.col("raw").alias("rb"))
+    return _both_products(a.join(b, ["grp", "term"]))
+
+
+def exact_sums(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The same for the given (grp, a, b) pairs only."""
+    a = left.select("grp", F.col("doc").alias("a"), "term", F.col("weight").alias("wa"), F.col("raw").alias("ra"))
+    b = right.select("grp", F.col("doc").alias("b"), "term", F.col("weight").alias("wb"), F.col("raw").alias("rb"))
+    return _both_products(pairs.select("grp", "a", "b").join(a, ["grp", "a"]).join(b, ["grp", "b", "term"]))
+
+
+def _both_products(met: DataFrame) -> DataFrame:
+    product = F.col("wa") * F.col("wb")
+    return (met.groupBy("grp", "a", "b").agg(F.round(F.sum(product), PLACES).alias("weighted"), F.round(F.sum(F.col("ra") * F.col("rb")), PLACES).alias("raw"),
+                                             F.max(product).alias("_most")).filter("_most > 0").drop("_most"))
+
+
+# --- exact search with upper bounds per posting list
+
+#: Slack for sums that were added in another order.
+SLACK = 10.0 ** (1 - PLACES)
+SEED_TERMS = 4
+#: Lists are left unread while all of them together can add at most this part of the bar; a pair is followed from the other part on.
+UNREAD = 0.5
+
+
+def list_bounds(corpus: DataFrame) -> DataFrame:
+    """(grp, term, top): the largest weight in every posting list."""
+    return corpus.groupBy("grp", "term").agg(F.max("weight").alias("top"))
+
+
+def bounded_terms(queries: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Terms of each query that the corpus behind `bounds` has, with `upto`, a bound of what all terms up to here can add to a score.
+
+    Terms go up by the largest product a partner can add there (query weight times the largest weight in the posting list).  The bound is
+    the sum of these products or the norm of the query's weights up to here, whichever is less.  `above` counts the terms behind.
+    """
+    doc = Window.partitionBy("grp", "doc")
+    up = doc.orderBy("most", "term")
+    sofar = up.rowsBetween(Window.unboundedPreceding, 0)
+    d = queries.select("grp", "doc", "term", "weight").join(bounds, ["grp", "term"]).withColumn("most", F.col("weight") * F.col("top")).filter("most > 0")
+    upto = F.least(F.sum("most").over(sofar), F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(sofar)))
+    return d.select("grp", "doc", "term", "weight", upto.alias("upto"), (F.count(F.lit(1)).over(doc) - F.row_number().over(up)).alias("above"))
+
+
+def _partial(terms: DataFrame, corpus: DataFrame, *kept: str) -> DataFrame:
+    c = corpus.select("grp", "term", F.col("doc").alias("b"), F.col("weight").alias("wb"))
+    return (terms.withColumnRenamed("doc", "a").join(c, ["grp", "term"]).groupBy("grp", "a", "b")
+            .agg(F.sum(F.col("weight") * F.col("wb")).alias("partial"), *[F.max(k).alias(k) for k in kept]))
+
+
+def reaching(terms: DataFrame, bar: Column | DataFrame, corpus: DataFrame) -> DataFrame:
+    """Pairs (grp, a, b) that can score `bar`: one number for all, or (grp, doc, bar) per query, 0 where it has none.
+
+    Posting lists that together can add no more than UNREAD of the bar are not read, and a pair is dropped, before anything is
+    written, when the lists it shares and that bound stay below the bar.  No pair of that score is lost.
+    """
+    t = terms.withColumn("bar", bar) if isinstance(bar, Column) else terms.join(bar, ["grp", "doc"], "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)))
+    unread = F.col("upto") < F.col("bar") * UNREAD
+    t = t.withColumn("rest", F.coalesce(F.max(F.when(unread, F.col("upto"))).over(Window.partitionBy("grp", "doc")), F.lit(0.0)))
+    read = store(t.filter(~unread).select("grp", "doc", "term", "weight", "rest", "bar"), "read-lists")
+    met = _partial(read, corpus, "rest", "bar")
+    return met.filter(F.col("partial") + F.col("rest") >= F.col("bar") - SLACK).select("grp", "a", "b")
+
+
+def best_partners(queries: DataFrame, corpus: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
+    """Pairs (grp, a, b) that hold the k best partners of every query, with all ties at the last place; few others.
+
+    The k-th best sum over the SEED_TERMS terms of the largest bounds is a lower bound of the k-th best score, and so the bar.
+    """
+    terms = bounded_terms(queries, bounds)
+    seeds = _partial(terms.filter(F.col("above") < SEED_TERMS), corpus)
+    place = F.row_number().over(Window.partitionBy("grp", "a").orderBy(F.desc("partial")))
+    kth = (seeds.withColumn("place", place).filter(F.col("place") <= k).groupBy("grp", F.col("a").alias("doc"))
+           .agg(F.min("partial").alias("bar"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).drop("n"))
+    return reaching(terms, kth, corpus)
+
+
 def prefix_terms(vectors: DataFrame, term_rank: DataFrame, threshold: float) -> DataFrame:
     """The rare-first part of every vector that a partner scoring >= threshold must touch.
 

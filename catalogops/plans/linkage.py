@@ -89,10 +89,10 @@ rp AS MATERIALIZED (
   SELECT p.grp, p.key, p.number, round(sum(a.weight * b.weight), 9) AS raw
   FROM wp p JOIN rv a ON a.grp = p.grp AND a.doc = p.key
   JOIN fv b ON b.grp = p.grp AND b.doc = p.number AND b.term = a.term
-  WHERE p.weighted >= 0.5 GROUP BY ALL),
+  GROUP BY ALL),
 pairs AS MATERIALIZED (
   SELECT p.grp, p.key, p.number, p.weighted, r.raw,
-    CASE WHEN r.raw >= 0.9 THEN greatest(p.weighted, r.raw) ELSE p.weighted END AS score
+    CASE WHEN r.raw >= 0.9 AND p.weighted >= 0.5 THEN greatest(p.weighted, r.raw) ELSE p.weighted END AS score
   FROM wp p LEFT JOIN rp r USING (grp, key, number))"""
 
 
@@ -178,8 +178,8 @@ def idf(t):
 
 @query("tfidf_vectors", f"{pairs_sql()} SELECT doc, term, round(weight, 6) AS weight FROM rw")
 def tfidf_vectors(t):
-    rip_w, *_ = L.rip_vectors(rips(t), refs(t))
-    return rip_w.select("doc", "term", F.round("weight", 6).alias("weight"))
+    table = V.idf(V.tf_vectors(refs(t).withColumnRenamed("number", "doc")))
+    return V.tfidf_vectors(V.tf_vectors(rips(t).withColumnRenamed("key", "doc")), table).select("doc", "term", F.round("weight", 6).alias("weight"))
 
 
 PAIR_NUMS = ("weighted", "raw", "score")
@@ -213,7 +213,8 @@ def exact_copies(t):
 
 def _claims(t: Tables, groups: int, policy: MatchPolicy):
     r, f = rips(t, groups), refs(t, groups)
-    return r, f, L.build_claims(L.score_pairs(r, f), r, f, policy)
+    # at the low bar of the shelves nearly every pair is a claim, so there all pairs are the input
+    return r, f, L.build_claims(L.score_pairs(r, f) if groups else L.claim_pairs(r, f, policy), r, f, policy)
 
 
 def _resolved(t: Tables, shelves: int = SHELVES):
@@ -227,7 +228,7 @@ def _resolved(t: Tables, shelves: int = SHELVES):
 @query("neighbour_score", f"""{claims_sql(0, MatchPolicy())}
 SELECT key, number, neighbor_number, round(neighbor_score, 9) AS neighbor_score FROM claims""")
 def neighbour_score(t):
-    p = L.score_pairs(rips(t), refs(t))
+    p = L.claim_pairs(rips(t), refs(t))
     base = p.filter(F.col("score") >= MatchPolicy().min_similarity)
     return L.neighbour_scores(base, p).select("key", "number", "neighbor_number", F.round("neighbor_score", 9).alias("neighbor_score"))
 

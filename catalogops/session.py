@@ -44,9 +44,7 @@ def _shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir).
-
-    """
+    """Reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir)."""
     _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -54,3 +52,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables inside the cluster's shared checkpoint folder."""
     return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once as Parquet in the shared folder: lineage ends, columns stay prunable, and Spark knows the size, so it
+    broadcasts what is small and shuffles the rest."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -140,3 +140,27 @@ def test_near_duplicates_lose_no_pair(spark):
     v = V.tf_vectors(first)
     want = {(r.a, r.b) for r in V.cosine(v, v).filter("a < b and score >= 0.9").collect()}
     assert got == want and want
+
+
+def test_claim_pairs_lose_nothing_that_claims_see(spark, rows):
+    """Bounded search against all pairs: same claims, far fewer pairs; equal scores, single terms and empty texts included."""
+    rnd = random.Random(11)
+    vocab = [f"word{i:03d}" for i in range(120)]
+    plots = {n: " ".join(rnd.choices(vocab, weights=[1 / (i + 1) for i in range(120)], k=60)) for n in range(1, 41)}
+    f = spark.createDataFrame([(1 + n % 2, n, n % 9 == 0, t) for n, t in plots.items()] + [(1, 50, False, plots[2]), (1, 51, False, "")], "grp long, number long, suspect boolean, text string")
+    texts = [" ".join(w for w in plots[1 + k % 40].split() if rnd.random() > k % 10 / 12) + " " + " ".join(rnd.choices(vocab, k=k % 7)) for k in range(120)] + ["", "word000", "none of these"]
+    r = spark.createDataFrame([(1 + k % 2, f"k{k:03d}", k, t) for k, t in enumerate(texts)], "grp long, key string, pos long, text string")
+    for policy in (MatchPolicy(), MatchPolicy(min_similarity=0.3)):
+        every, some = L.score_pairs(r, f), L.claim_pairs(r, f, policy)
+        shown = [c for c in L.build_claims(every, r, f, policy).columns]
+        assert rows(L.build_claims(some, r, f, policy), *shown) == rows(L.build_claims(every, r, f, policy), *shown)
+        assert some.count() < every.count() and some.exceptAll(every).isEmpty()
+        base = every.filter(F.col("score") >= policy.min_similarity)
+        assert rows(L.neighbour_scores(base, some)) == rows(L.neighbour_scores(base, every))
+
+
+def test_best_partners_keep_ties(spark):
+    v = spark.createDataFrame([(1, d, t, w, w) for d, t, w in [(1, "a", 0.8), (1, "b", 0.6), (2, "a", 0.6), (2, "c", 0.8), (3, "b", 1.0)]], "grp long, doc long, term string, raw double, weight double")
+    c = spark.createDataFrame([(1, d, t, w, w) for d, t, w in [(10, "a", 1.0), (11, "a", 1.0), (12, "b", 1.0), (13, "c", 0.1)]], "grp long, doc long, term string, raw double, weight double")
+    got = {(r.a, r.b) for r in V.best_partners(v, c, V.list_bounds(c), 1).collect()}
+    assert {(1, 10), (1, 11), (2, 10), (2, 11), (3, 12)} <= got and (2, 13) not in got

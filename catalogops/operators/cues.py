@@ -126,7 +126,7 @@ def _metrics(cues: DataFrame) -> DataFrame:
 def qc_stats(cues: DataFrame) -> DataFrame:
     """Reading-speed maximum and nearest-rank 95th percentile, and counts of flagged cues per track."""
     m = _metrics(cues)
-    p95 = value_at_ranks(m, ["track"], "cps", {"p95_cps": F.ceil(F.col("n") * 0.95)}, width=5.0)
+    p95 = value_at_ranks(m, ["track"], "cps", {"p95_cps": F.ceil(F.col("n") * 0.95)})
     g = m.groupBy("track").agg(
         F.count(F.lit(1)).alias("cues"), F.max("cps").alias("max_cps"), F.count_if("m_fast").alias("fast"),
         F.count_if("m_short").alias("short"), F.count_if("m_long").alias("long"), F.count_if("m_long_line").alias("overlong_line"),
@@ -183,7 +183,7 @@ def text_anchors(cand: DataFrame, ref: DataFrame) -> DataFrame:
 
 def _median_abs(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     r = value_at_ranks(rows.withColumn("_abs", F.abs(value)), keys, "_abs",
-                       {"lo": F.floor((F.col("n") + 1) / 2), "hi": F.floor((F.col("n") + 2) / 2)}, width=1.0)
+                       {"lo": F.floor((F.col("n") + 1) / 2), "hi": F.floor((F.col("n") + 2) / 2)})
     return r.select(*keys, "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.col("lo") + F.col("hi")) / 2).alias(name))
 
 
@@ -228,14 +228,14 @@ def interval_overlap(a: DataFrame, b: DataFrame, width: float = 30.0) -> DataFra
 
 def linear_drift(anchors: DataFrame) -> DataFrame:
     """Slope and intercept from the upper medians of the earliest and latest third of a track's anchors."""
-    a = sliced_window(anchors, ["track"], ["at", "idx"], F.floor(F.col("at") / 3600), number="rn", total="n")
+    a = sliced_window(anchors, ["track"], ["at", "idx"], "at", number="rn", total="n")
     a = a.filter(F.col("n") >= MIN_ANCHORS)
     third = F.greatest(F.floor(F.col("n") / 3), F.lit(1))
     head, tail = F.col("rn") <= third, F.col("rn") > F.col("n") - third
     parts = cut_lineage(a.withColumn("part", F.explode(F.array_compact(F.array(F.when(head, F.lit("head")), F.when(tail, F.lit("tail"))))))
                         .select("track", "part", "at", "delta"))
-    at = value_at_ranks(parts, ["track", "part"], "at", {"t": upper_median_rank()}, width=600.0)
-    delta = value_at_ranks(parts, ["track", "part"], "delta", {"d": upper_median_rank()}, width=1.0)
+    at = value_at_ranks(parts, ["track", "part"], "at", {"t": upper_median_rank()})
+    delta = value_at_ranks(parts, ["track", "part"], "delta", {"d": upper_median_rank()})
     m = at.join(delta.select("track", "part", "d"), ["track", "part"])
     w = m.groupBy("track").agg(*[F.max(F.when(F.col("part") == p, F.col(c))).alias(f"{c}_{p}") for p in ("head", "tail") for c in ("t", "d")])
     w = w.filter("t_tail - t_head >= 1").withColumn("slope", F.expr("(d_tail - d_head) / (t_tail - t_head)"))

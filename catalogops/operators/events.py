@@ -245,7 +245,7 @@ def blocked_waits(events: DataFrame, keys: list[str]) -> DataFrame:
             .select(*keys, "seq", F.col("_since.seq").alias("blocked_seq"), micros.alias("waited_micros")))
 
 
-def throttle(events: DataFrame, keys: list[str], gap_micros: int, day_micros: int = 86_400_000_000) -> DataFrame:
+def throttle(events: DataFrame, keys: list[str], gap_micros: int) -> DataFrame:
     """Greedy thinning: a row is emitted when at least `gap_micros` have passed since the last emitted row of its key.
 
     `events` (keys, seq, at) with `at` in microseconds.  Every row points to the first row at or after at + gap;
@@ -258,7 +258,7 @@ def throttle(events: DataFrame, keys: list[str], gap_micros: int, day_micros: in
              .unionByName(rows.select(*keys, (-F.col("at") - gap_micros).alias("neg"), F.lit(1).alias("probe"),
                                       (-F.col("seq")).alias("tie"), F.lit(None).cast("struct<at:bigint,seq:bigint>").alias("hit"),
                                       F.col("seq").alias("origin"))))
-    near = sliced_window(marks, keys, ["neg", "probe", "tie"], F.floor(F.col("neg") / day_micros),
+    near = sliced_window(marks, keys, ["neg", "probe", "tie"], "neg",
                          last_known={"next": "hit"})
     jump = cut_lineage(near.filter("probe = 1 and next is not null").select(*keys, F.col("origin").alias("seq"),
                                                                            F.col("next.seq").alias("to")))
@@ -286,7 +286,7 @@ def log_files_for_lifetime(files: DataFrame, items: DataFrame) -> DataFrame:
                      F.col("ts").alias("start"))
             .unionByName(items.select(F.unix_seconds(created).alias("at"), F.lit(1).alias("probe"), F.col("item_id").cast("long"),
                                       F.lit(None).cast("timestamp").alias("start"))))
-    near = sliced_window(both, [], ["at", "probe", "item_id"], F.floor(F.col("at") / 86_400), last_known={"active": "start"})
+    near = sliced_window(both, [], ["at", "probe", "item_id"], "at", last_known={"active": "start"})
     ends = f.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     start = near.filter("probe = 1").join(F.broadcast(ends)).select(
         "item_id", F.coalesce("active", "lo").alias("start"), "hi")

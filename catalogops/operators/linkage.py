@@ -388,7 +388,7 @@ def opening_double(episodes: DataFrame) -> DataFrame:
                                         F.count(F.lit(1)).alias("members"))
     rest = (episodes.join(first.select("grp", F.col("pos").alias("p0")), "grp")
             .filter("pos > p0 and duration > 0"))
-    med = value_at_ranks(rest, ["grp"], "duration", {"median": upper_median_rank()}, width=600.0)
+    med = value_at_ranks(rest, ["grp"], "duration", {"median": upper_median_rank()})
     flag = ((F.col("members") >= 3) & (F.col("first") > 0) & (F.coalesce("n", F.lit(0)) >= 2)
             & double_length(F.col("first"), F.col("median")))
     return first.join(med, "grp", "left").select("grp", "members", F.coalesce(flag, F.lit(False)).alias("opens_double"))

@@ -11,13 +11,13 @@ SPACE_MARGIN = 1.1
 PROTECTED_PREFIX = "queue-"
 
 
-def prune_plan(entries: DataFrame, limit_bytes: int, slice_by: Column) -> DataFrame:
+def prune_plan(entries: DataFrame, limit_bytes: int) -> DataFrame:
     """Oldest entries to remove until the rest fits: those before which the remaining total still exceeds the limit.
 
-    `entries` (name, bytes, cached_at); `slice_by` grows with cached_at, e.g. its day or its million.  The running
-    sum over the whole table works per slice, so no task sees all entries; name breaks ties on time.
+    `entries` (name, bytes, cached_at), cached_at a number.  The running sum over the whole table works per slice, with borders at
+    quantiles of cached_at, so no task sees all entries; name breaks ties on time.
     """
-    d = sliced_window(entries, [], ["cached_at", "name"], slice_by, sums={"_upto": "bytes"}, group_sums={"_total": "bytes"})
+    d = sliced_window(entries, [], ["cached_at", "name"], "cached_at", sums={"_upto": "bytes"}, group_sums={"_total": "bytes"})
     return d.filter(F.col("_total") - (F.col("_upto") - F.col("bytes")) > limit_bytes).select("name", "bytes", "cached_at")
 
 

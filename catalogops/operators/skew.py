@@ -2,11 +2,13 @@
 
 A plain window pulls all rows of a key into one task, which fails when one key holds a third of the table.
 Here every key is cut into *slices* by a value that grows with the order column.  Windows run per (key, slice);
-one small row per slice carries counts, sums and edge values to the later slices of the same key.
+one small row per slice carries counts, sums and edge values to the later slices of the same key.  Without a key these rows are
+carried in a tree.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,35 +23,34 @@ def int_slice(column: str | Column, width: int = 1_000_000) -> Column:
     return F.floor(c / F.lit(width))
 
 
-def quantile_slice(df: DataFrame, column: str, side: int = 32) -> Column:
-    """Slice of a numeric order column: borders are quantiles of all rows, so a slice has about 1 / side^2 of the rows whatever the values are.
+def quantile_slices(df: DataFrame, column: str, side: int | None = None) -> DataFrame:
+    """`df` with SLICE from a numeric order column: borders are quantiles of all rows, so a slice has about 1 / side^2 of the rows whatever the
+    values are.
 
-    The quantiles come from one mergeable summary (`percentile_approx`); at most side^2 numbers reach the driver.  Rows that
-    share one value share a slice; null stays null.
+    The borders come from one mergeable summary (`percentile_approx`) inside the same plan, as a scalar subquery, so a shuffle below `df` is
+    shared.  A row finds its slice in two steps of at most `side` comparisons.  Rows of one value share a slice; null stays null.  Without
+    `side`, there are at least as many slices as shuffle partitions, from 256 to 4096.
     """
+    side = side or min(64, max(16, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1))
     parts = side * side
-    at = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(column, at, 10 * parts).alias("q")).first()["q"] or []
-    borders = sorted(set(found))
-    kind = df.schema[column].dataType
-    groups = [borders[i:i + side] for i in range(0, len(borders), side)] or [[]]
+    at = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    every = F.array_sort(F.array_distinct(F.percentile_approx(column, at, 4 * parts)))
+    coarse = F.filter("every", lambda b, i: (i > 0) & (i % side == 0))
+    borders = df.agg(every.alias("every")).select(F.struct("every", coarse.alias("coarse")).alias("borders")).scalar()
 
-    def lookup(values: Column) -> Column:
-        return F.size(F.filter(values, lambda b: b <= F.col(column)))
+    def below(values: Column) -> Column:
+        return F.coalesce(F.size(F.filter(values, lambda b: b <= F.col(column))), F.lit(0))
 
-    def literals(values: list) -> Column:
-        return F.array(*[F.lit(v).cast(kind) for v in values]) if values else F.array().cast(f"array<{kind.simpleString()}>")
-
-    coarse = lookup(literals([g[0] for g in groups[1:]]))
-    fine = lookup(F.element_at(F.array(*[literals(g) for g in groups]), coarse + 1))
-    return F.when(F.col(column).isNotNull(), coarse * (side + 1) + fine)
+    d = df.withColumn("_borders", borders).withColumn("_group", below(F.col("_borders.coarse")))
+    fine = below(F.slice("_borders.every", F.col("_group") * side + 1, side))
+    return d.withColumn(SLICE, F.when(F.col(column).isNotNull(), F.col("_group") * (side + 1) + fine)).drop("_borders", "_group")
 
 
 def sliced_window(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    slice_by: Column,
+    slice_by: Column | str,
     *,
     number: str | None = None,
     total: str | None = None,
@@ -64,11 +65,12 @@ def sliced_window(
 
     `number` 1-based position, `total` rows per key, `sums` running sum, `group_sums` sum per key, `running_max`,
     `lags`/`leads` neighbouring value, `last_known` latest non-null value up to and including the row.  Mappings
-    are output name -> input column.  `order` must be unique within the keys and `slice_by` non-decreasing in it.
+    are output name -> input column.  `order` must be unique within the keys and `slice_by` non-decreasing in it; the name
+    of a numeric column means slices at the quantiles of that column.
     A null key is a key like any other; a null slice comes first.
     """
     keys = list(keys)
-    d = df.withColumn(SLICE, slice_by)
+    d = quantile_slices(df, slice_by) if isinstance(slice_by, str) else df.withColumn(SLICE, slice_by)
     pos = F.struct(*order)
     local = Window.partitionBy(*keys, SLICE).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
@@ -81,17 +83,8 @@ def sliced_window(
     aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), pos)).alias(f"_k_{o}") for o, c in last_known.items()]
     summary = d.groupBy(*keys, SLICE).agg(*aggs)
 
-    by_key = Window.partitionBy(*keys)
-    seq = by_key.orderBy(SLICE)
-    before = seq.rowsBetween(Window.unboundedPreceding, -1)
-    carry = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_cn"), F.sum("_n").over(by_key).alias("_tn")]
-    carry += [F.sum(f"_s_{o}").over(before).alias(f"_cs_{o}") for o in sums]
-    carry += [F.sum(f"_s_{o}").over(by_key).alias(f"_cg_{o}") for o in group_sums]
-    carry += [F.max(f"_m_{o}").over(before).alias(f"_cm_{o}") for o in running_max]
-    carry += [F.lag(f"_l_{o}").over(seq).alias(f"_cl_{o}") for o in lags]
-    carry += [F.lead(f"_f_{o}").over(seq).alias(f"_cf_{o}") for o in leads]
-    carry += [F.last(f"_k_{o}", ignorenulls=True).over(before).alias(f"_ck_{o}") for o in last_known]
-    carried = summary.select(*keys, SLICE, *carry)
+    carry = _scan_of_slices if keys else _tree_scan
+    carried = carry(summary, keys, sums, group_sums, running_max, lags, leads, last_known)
 
     inner = [F.row_number().over(local).alias("_rn")]
     inner += [F.sum(c).over(upto).alias(f"_ws_{o}") for o, c in sums.items()]
@@ -123,18 +116,91 @@ def sliced_window(
     return j.select(*out)
 
 
-def value_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column],
-                   width: float, extra: Sequence[Column] = ()) -> DataFrame:
+def _scan_of_slices(summary: DataFrame, keys: list[str], sums, group_sums, running_max, lags, leads, last_known) -> DataFrame:
+    """What the slices before (and behind) add to each slice: one row per slice of a key."""
+    by_key = Window.partitionBy(*keys)
+    seq = by_key.orderBy(SLICE)
+    before = seq.rowsBetween(Window.unboundedPreceding, -1)
+    carry = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_cn"), F.sum("_n").over(by_key).alias("_tn")]
+    carry += [F.sum(f"_s_{o}").over(before).alias(f"_cs_{o}") for o in sums]
+    carry += [F.sum(f"_s_{o}").over(by_key).alias(f"_cg_{o}") for o in group_sums]
+    carry += [F.max(f"_m_{o}").over(before).alias(f"_cm_{o}") for o in running_max]
+    carry += [F.lag(f"_l_{o}").over(seq).alias(f"_cl_{o}") for o in lags]
+    carry += [F.lead(f"_f_{o}").over(seq).alias(f"_cf_{o}") for o in leads]
+    carry += [F.last(f"_k_{o}", ignorenulls=True).over(before).alias(f"_ck_{o}") for o in last_known]
+    return summary.select(*keys, SLICE, *carry)
+
+
+#: Slices that are scanned together where there is no key.
+FAN = 32
+
+
+def _tree_scan(summary: DataFrame, keys: list[str], sums, group_sums, running_max, lags, leads, last_known) -> DataFrame:
+    """The same as a tree: FAN slices are scanned in one task, then one row for each such bundle, so without a key no task sees all slices.
+
+    Slices at quantiles are some thousand at most, so the top of the tree is a hundred rows or so.
+    """
+    bundle = F.floor(F.col(SLICE) / FAN)
+    d = summary.withColumn("_bundle", bundle)
+    here = Window.partitionBy(*keys, "_bundle")
+    seq = here.orderBy(SLICE)
+    before = seq.rowsBetween(Window.unboundedPreceding, -1)
+    behind = seq.rowsBetween(1, Window.unboundedFollowing)
+    zero = F.lit(0)
+    first = [F.coalesce(F.sum("_n").over(before), zero).alias("_cn")]
+    first += [F.sum(f"_s_{o}").over(before).alias(f"_cs_{o}") for o in sums]
+    first += [F.max(f"_m_{o}").over(before).alias(f"_cm_{o}") for o in running_max]
+    first += [F.lag(f"_l_{o}").over(seq).alias(f"_cl_{o}") for o in lags]
+    first += [F.lead(f"_f_{o}").over(seq).alias(f"_cf_{o}") for o in leads]
+    first += [F.last(f"_k_{o}", ignorenulls=True).over(before).alias(f"_ck_{o}") for o in last_known]
+    edges = [F.count(F.lit(1)).over(before).alias("_left"), F.count(F.lit(1)).over(behind).alias("_right")]
+    inside = d.select(*keys, SLICE, "_bundle", *first, *edges)
+
+    aggs = [F.sum("_n").alias("_n")]
+    aggs += [F.sum(f"_s_{o}").alias(f"_s_{o}") for o in dict.fromkeys([*sums, *group_sums])]
+    aggs += [F.max(f"_m_{o}").alias(f"_m_{o}") for o in running_max]
+    order = F.struct(SLICE)
+    aggs += [F.max_by(f"_l_{o}", order).alias(f"_l_{o}") for o in lags]
+    aggs += [F.min_by(f"_f_{o}", order).alias(f"_f_{o}") for o in leads]
+    aggs += [F.max_by(f"_k_{o}", F.when(F.col(f"_k_{o}").isNotNull(), order)).alias(f"_k_{o}") for o in last_known]
+    bundles = d.groupBy(*keys, "_bundle").agg(*aggs)
+    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    seq = by_key.orderBy("_bundle")
+    before = seq.rowsBetween(Window.unboundedPreceding, -1)
+    upper = [F.coalesce(F.sum("_n").over(before), zero).alias("_bn"), F.sum("_n").over(by_key).alias("_tn")]
+    upper += [F.sum(f"_s_{o}").over(before).alias(f"_bs_{o}") for o in sums]
+    upper += [F.sum(f"_s_{o}").over(by_key).alias(f"_cg_{o}") for o in group_sums]
+    upper += [F.max(f"_m_{o}").over(before).alias(f"_bm_{o}") for o in running_max]
+    upper += [F.lag(f"_l_{o}").over(seq).alias(f"_bl_{o}") for o in lags]
+    upper += [F.lead(f"_f_{o}").over(seq).alias(f"_bf_{o}") for o in leads]
+    upper += [F.last(f"_k_{o}", ignorenulls=True).over(before).alias(f"_bk_{o}") for o in last_known]
+    held = {c: f"_up{i}" for i, c in enumerate([*keys, "_bundle"])}
+    same = [F.col(c).eqNullSafe(F.col(v)) for c, v in held.items()]
+    j = inside.join(bundles.select(*keys, "_bundle", *upper).withColumnsRenamed(held), same)
+
+    out = [(F.col("_cn") + F.col("_bn")).alias("_cn"), F.col("_tn")]
+    for o in sums:
+        both = F.coalesce(f"_cs_{o}", f"_bs_{o}"), F.when(F.col(f"_cs_{o}").isNotNull(), F.col(f"_bs_{o}"))
+        out.append(F.when(both[1].isNotNull(), F.col(f"_cs_{o}") + F.col(f"_bs_{o}")).otherwise(both[0]).alias(f"_cs_{o}"))
+    out += [F.col(f"_cg_{o}") for o in group_sums]
+    out += [F.greatest(f"_cm_{o}", f"_bm_{o}").alias(f"_cm_{o}") for o in running_max]
+    out += [F.when(F.col("_left") > 0, F.col(f"_cl_{o}")).otherwise(F.col(f"_bl_{o}")).alias(f"_cl_{o}") for o in lags]
+    out += [F.when(F.col("_right") > 0, F.col(f"_cf_{o}")).otherwise(F.col(f"_bf_{o}")).alias(f"_cf_{o}") for o in leads]
+    out += [F.coalesce(f"_ck_{o}", f"_bk_{o}").alias(f"_ck_{o}") for o in last_known]
+    return j.select(*keys, SLICE, *out)
+
+
+def value_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column], extra: Sequence[Column] = ()) -> DataFrame:
     """Exact order statistics per key: output name -> 1-based rank expression over column `n` (rows of the key).
 
-    Rows are first counted per distinct value, so equal values cost one row; the running count is sliced by
-    `width` value units, so no key is gathered whole.  `extra` are further aggregates per key, over columns
+    Rows are first counted per distinct value, so equal values cost one row; the running count is sliced at quantiles of
+    these values, so no key is gathered whole.  `extra` are further aggregates per key, over columns
     `value` and `n_value`.
     """
     keys = list(keys)
     counted = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value"))
                .agg(F.count(F.lit(1)).alias("n_value")))
-    run = sliced_window(counted, keys, ["value"], F.floor(F.col("value") / F.lit(float(width))),
+    run = sliced_window(counted, keys, ["value"], "value",
                         sums={"upto": "n_value"}, group_sums={"n": "n_value"})
     return run.groupBy(*keys).agg(
         F.max("n").alias("n"),

@@ -288,7 +288,7 @@ def source_summary(t):
 @query("prune_plan", "WITH r AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) AS cum, sum(n_chars) OVER () AS total FROM documents) SELECT doc_id AS name, n_chars AS bytes FROM r WHERE total - (cum - n_chars) > 500000")
 def prune(t):
     d = t.documents.select(F.col("doc_id").alias("name"), F.col("n_chars").alias("bytes"), F.col("doc_id").alias("cached_at"))
-    return RT.prune_plan(d, 500_000, F.floor(F.col("cached_at") / 100_000)).select("name", "bytes")
+    return RT.prune_plan(d, 500_000).select("name", "bytes")
 
 
 @query("stale_entries", """SELECT name, reason, CASE WHEN reason = 'stale' THEN 'removed' ELSE 'preserved' END AS result FROM (SELECT name, CASE WHEN starts_with(name, 'queue-') OR user_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'protected' WHEN m > TIMESTAMP '2024-01-30 12:00:00' THEN 'recent' ELSE 'stale' END AS reason

@@ -85,8 +85,8 @@ def weighted_median(t):
 @query("medians", """SELECT l_orderkey, median(abs(l_quantity - 20)) AS median_abs, list(l_quantity ORDER BY l_quantity)[count(*) // 2 + 1] AS upper_median FROM lineitem GROUP BY l_orderkey""")
 def medians(t):
     d = t.lineitem.select("l_orderkey", "l_quantity", F.abs(F.col("l_quantity") - 20).alias("a"))
-    a = value_at_ranks(d, ["l_orderkey"], "a", median_ranks(), 10.0).select("l_orderkey", ((F.col("lo") + F.col("hi")) / 2).alias("median_abs"))
-    b = value_at_ranks(d, ["l_orderkey"], "l_quantity", {"upper_median": upper_median_rank()}, 10.0).drop("n")
+    a = value_at_ranks(d, ["l_orderkey"], "a", median_ranks()).select("l_orderkey", ((F.col("lo") + F.col("hi")) / 2).alias("median_abs"))
+    b = value_at_ranks(d, ["l_orderkey"], "l_quantity", {"upper_median": upper_median_rank()}).drop("n")
     return a.join(b, "l_orderkey")
 
 

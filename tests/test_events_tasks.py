@@ -66,7 +66,7 @@ def test_throttle_equals_greedy_rule(spark):
     for i in range(300):
         at += rnd.choice([0, 1, 2, 7])
         data.append(("hot" if i % 3 else "cold", i, at))
-    got = {r.seq for r in E.throttle(spark.createDataFrame(data, "k string, seq long, at long"), ["k"], 5, day_micros=50).collect()}
+    got = {r.seq for r in E.throttle(spark.createDataFrame(data, "k string, seq long, at long"), ["k"], 5).collect()}
     want, last = set(), {}
     for k, s, a in data:
         if k not in last or a - last[k] >= 5:

@@ -147,7 +147,7 @@ def test_anomaly_rules(spark):
 def test_prune_plan_is_minimal(spark):
     rnd = random.Random(2)
     e = [(f"n{i}", rnd.randint(1, 50), rnd.randint(0, 30)) for i in range(100)]
-    got = {r.name for r in RT.prune_plan(spark.createDataFrame(e, "name string, bytes long, cached_at long"), 900, F.floor(F.col("cached_at") / 4)).collect()}
+    got = {r.name for r in RT.prune_plan(spark.createDataFrame(e, "name string, bytes long, cached_at long"), 900).collect()}
     total, want = sum(x[1] for x in e), set()
     for n, b, _ in sorted(e, key=lambda x: (x[2], x[0])):
         if total <= 900:

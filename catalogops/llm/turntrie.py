@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogops.llm.common import keep
-from catalogops.operators.skew import quantile_slice, sliced_window
+from catalogops.operators.skew import sliced_window
 
 BLOCK = 5  # conversations that share one opening
 OPENING = 9  # an opening has fewer turns than this
@@ -44,7 +44,7 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
     d = conversations.filter("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    n = sliced_window(d, ["conv_id"], ["turn", "role", "text"], quantile_slice(d, "turn"), number="at")
+    n = sliced_window(d, ["conv_id"], ["turn", "role", "text"], "turn", number="at")
     names = [h.alias(f"t{i}") for i, h in enumerate(_hash(F.col("role"), F.col("text")), 1)]
     return n.select("conv_id", F.col("at").cast("long").alias("at"), *names, F.octet_length("text").cast("long").alias("bytes"))
 
@@ -61,7 +61,7 @@ def rebuilt_turns(turns: DataFrame, convs: DataFrame) -> DataFrame:
 def prefixes(rebuilt: DataFrame) -> DataFrame:
     """(conv_id, depth, len, bytes, upto, total, k1, k2, p1, p2): every prefix of every conversation with its name and its parent's."""
     d = rebuilt.withColumns({f"x{i}": _wide(F.xxhash64("pos", f"t{i}")) for i in (1, 2)})
-    run = sliced_window(d, ["conv_id"], ["pos"], quantile_slice(d, "pos"), total="len",
+    run = sliced_window(d, ["conv_id"], ["pos"], "pos", total="len",
                         sums={"s1": "x1", "s2": "x2", "upto": "bytes"}, group_sums={"total": "bytes"})
     name = _hash(F.col("pos"), F.col("s1"), F.col("s2"))
     above = _hash(F.col("pos") - 1, (F.col("s1") - F.col("x1")).cast("decimal(30,0)"), (F.col("s2") - F.col("x2")).cast("decimal(30,0)"))

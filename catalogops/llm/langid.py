@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogops.llm.common import map_texts, remainder
@@ -106,11 +106,18 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], passes: int = 8, b
 
 
 def sample(labelled: DataFrame, per_language: int, windows_per_text: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """About `per_language` texts of each language, chosen by a hash of their id, and some windows of each."""
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
-    limits = labelled.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in sizes.items()], "lang string, part double")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    texts = labelled.join(F.broadcast(limits), "lang").filter(place < F.col("part")).select("doc_id", "lang", "text")
+    """At most `per_language` different texts of each language, chosen by a hash of id and text, and some windows of each.
+
+    Repeated rows count once, and one id on many texts is many texts, so the limit holds whatever the ids are.
+    """
+    h = F.xxhash64("doc_id", "text")
+    hashed = labelled.filter("text is not null").withColumn("h", h)
+    sizes = {r.lang: r.n for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # one row per language
+    limits = labelled.sparkSession.createDataFrame([(k, min(1.0, 1.2 * per_language / max(1, n))) for k, n in sizes.items()], "lang string, part double")
+    place = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = hashed.join(limits, "lang").filter(place < F.col("part")).groupBy("lang", "doc_id", "h").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    texts = some.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id", "lang", "text")
 
     def pick(part):
         out = []
@@ -123,7 +130,7 @@ def sample(labelled: DataFrame, per_language: int, windows_per_text: int) -> tup
         return {"windows": out}
 
     rows = map_texts(texts, ["doc_id", "lang"], "text", pick, "windows array<binary>").collect()
-    rows.sort(key=lambda r: (r.lang, r.doc_id, r.windows))
+    rows.sort(key=lambda r: (r.lang, r.doc_id, r.windows))  # bounded by per_language
     languages = sorted({r.lang for r in rows if r.windows})
     pairs = [(w, languages.index(r.lang)) for r in rows for w in r.windows]
     x = np.frombuffer(b"".join(w for w, _ in pairs), np.uint8).reshape(-1, WINDOW)
@@ -156,7 +163,7 @@ def predict(net: Network, texts: list) -> dict:
 def identify(docs: DataFrame, hold_out: tuple[int, int] = (4, 2), per_language: int = 500, windows_per_text: int = 4) -> DataFrame:
     """Every row of `docs` with held_out, lang_pred and score.
 
-    Learns from rows with a non-null lang whose crc32(doc_id) modulo the first number of `hold_out` is not the second, about
+    Learns from rows with a non-null lang whose crc32(doc_id) modulo the first number of `hold_out` is not the second, at most
     `per_language` texts of each language.  A text that is null or has no letter is `und` with score 0, as is every text when
     nothing could be learnt.
     """

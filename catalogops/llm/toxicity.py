@@ -14,7 +14,7 @@ from itertools import combinations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogops.llm.common import fit_logistic, keep, map_texts, remainder, sigmoid
@@ -116,22 +116,23 @@ def learn_entries(counts, n_toxic: int, n_other: int, most: int = 5000, candidat
 
 
 def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, per_class: int = 6000) -> tuple[Lexicon, np.ndarray | None]:
-    """Lexicon and curve from `docs(doc_id, text)` and `labels(doc_id, label)`, at most about `per_class` texts of each label.
+    """Lexicon and curve from `docs(doc_id, text)` and `labels(doc_id, label)`, at most `per_class` texts of each label.
 
     Texts that share forty characters of their middle count once, so that copies do not vote.  The curve is fitted to each half of the
     texts with the entries of the other half; the lexicon itself learns from both.  None stands for the curve when a class is missing.
     """
     middle = F.xxhash64(F.expr("substring(text, greatest(1, cast(length(text) / 2 as int) - 20), 40)"))
-    known = docs.filter("text is not null").select("doc_id", middle.alias("m")).join(labels.filter("label in (0, 1)"), "doc_id")
-    once = keep(known.groupBy("label", "m").agg(F.min("doc_id").alias("doc_id")), "labelled")
+    hashed = docs.filter("text is not null").withColumn("h", F.xxhash64("doc_id", "text"))
+    known = hashed.select("doc_id", "h", middle.alias("m")).join(labels.filter("label in (0, 1)").distinct(), "doc_id")
+    once = keep(known.groupBy("label", "m").agg(F.min(F.struct("doc_id", "h")).alias("at")).select("label", "at.doc_id", "at.h"), "labelled")
     sizes = {r.label: r["count"] for r in once.groupBy("label").count().collect()}
     if set(sizes) != {0, 1}:
         return Lexicon({}, exceptions), None
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    limit = F.coalesce(*[F.when(F.col("label") == k, F.lit((1 << 20) * min(1.0, per_class / n))) for k, n in sizes.items()])
-    chosen = once.filter(order < limit).select("doc_id", "label")
-    texts = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id")  # bounded by per_class
-    texts = keep(texts.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")), "toxicity-sample")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h"))
+    chosen = once.withColumn("rank", rank).filter(F.col("rank") <= per_class).select("doc_id", "h", "label")
+    # at most per_class rows of three numbers a label; rows repeated under one id and text are one text
+    texts = hashed.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "h", "label").agg(F.first("text").alias("text"))
+    texts = keep(texts.withColumn("half", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(2)).cast("int")), "toxicity-sample")
 
     def counts(batches):
         for b in batches:

@@ -80,15 +80,15 @@ SQL["op8_line_dedup"] = f"""
 WITH raw AS MATERIALIZED (SELECT doc_id, k, line, {MASK_SQL} AS m FROM (SELECT doc_id, k, line, trim(line, ' ') AS l FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents))),
 s AS MATERIALIZED (SELECT *, len(t) AS n, array_to_string(t[1:3], ' ') AS head FROM (SELECT DISTINCT doc_id, m, string_split(m, ' ') AS t FROM raw) WHERE len(t) >= 3),
-leaf AS (SELECT n, head FROM (SELECT DISTINCT doc_id, line, m FROM raw) JOIN s USING (doc_id, m) GROUP BY ALL HAVING count(*) >= 3),
+leaf AS MATERIALIZED (SELECT n, head, count(*) AS lines FROM (SELECT DISTINCT doc_id, line, m FROM raw) JOIN s USING (doc_id, m) GROUP BY ALL HAVING count(*) >= 3),
 sh AS MATERIALIZED (SELECT s.* FROM s JOIN leaf USING (n, head)),
 u AS MATERIALIZED (SELECT n, head, m, t, count(*) AS docs FROM sh GROUP BY ALL),
 pl AS MATERIALIZED (SELECT n, head, m, docs, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM u),
-sup AS (SELECT n, head, pos, token FROM pl WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 3),
+sup AS (SELECT n, head, pos, token FROM (SELECT n, head, pos, token, sum(docs) AS docs FROM pl WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 3) JOIN leaf USING (n, head) WHERE docs * 20 >= lines),
 con AS (SELECT * FROM sup JOIN (SELECT n, head, pos FROM sup GROUP BY ALL HAVING count(*) <= 20) USING (n, head, pos)),
-tp AS (SELECT pl.n, pl.head, pl.m, count(con.token) AS c, string_agg(pl.pos || '=' || con.token, ' ' ORDER BY pl.pos) FILTER (con.token IS NOT NULL) AS parts
+tp AS (SELECT pl.n, pl.head, pl.m, count(con.token) FILTER (pl.pos > 3) AS c, string_agg(pl.pos || '=' || con.token, ' ' ORDER BY pl.pos) FILTER (con.token IS NOT NULL) AS parts
   FROM pl LEFT JOIN con ON pl.n = con.n AND pl.head = con.head AND pl.pos = con.pos AND pl.token = con.token GROUP BY ALL),
-te AS (SELECT m, CASE WHEN c >= 0.5 * n THEN 'T' || n || '|' || head || '|' || coalesce(parts, '') ELSE 'L' || m END AS template FROM tp),
+te AS (SELECT m, CASE WHEN c >= 0.5 * (n - 3) THEN 'T' || n || '|' || head || '|' || coalesce(parts, '') ELSE 'L' || m END AS template FROM tp),
 seen AS MATERIALIZED (SELECT DISTINCT doc_id, m, n, template FROM sh JOIN te USING (m)),
 cand AS (SELECT template FROM (SELECT DISTINCT template, doc_id, n FROM seen) GROUP BY template HAVING count(*) >= 3 AND count(*) * max(n) >= 30),
 ins AS (SELECT doc_id, sum(strlen(m)) AS inside FROM seen WHERE template IN (FROM cand) GROUP BY doc_id),

@@ -129,7 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPT
     if set(sizes) != {0, 1}:
         return Lexicon({}, exceptions), None
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h"))
-    chosen = once.withColumn("rank", rank).filter(F.col("rank") <= per_class).select("doc_id", "h", "label")
+    order = F.pmod(F.xxhash64("doc_id", "h"), F.lit(1 << 20))
+    part = F.coalesce(*[F.when(F.col("label") == k, F.lit((1 << 20) * min(1.0, 1.2 * per_class / n))) for k, n in sizes.items()])
+    chosen = once.filter(order < part).withColumn("rank", rank).filter(F.col("rank") <= per_class).select("doc_id", "h", "label")
     # at most per_class rows of three numbers a label; rows repeated under one id and text are one text
     texts = hashed.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "h", "label").agg(F.first("text").alias("text"))
     texts = keep(texts.withColumn("half", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(2)).cast("int")), "toxicity-sample")

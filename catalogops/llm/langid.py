@@ -113,9 +113,10 @@ def sample(labelled: DataFrame, per_language: int, windows_per_text: int) -> tup
     h = F.xxhash64("doc_id", "text")
     hashed = labelled.filter("text is not null").withColumn("h", h)
     sizes = {r.lang: r.n for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # one row per language
+    # as long as the list of languages that the driver holds
     limits = labelled.sparkSession.createDataFrame([(k, min(1.0, 1.2 * per_language / max(1, n))) for k, n in sizes.items()], "lang string, part double")
     place = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = hashed.join(limits, "lang").filter(place < F.col("part")).groupBy("lang", "doc_id", "h").agg(F.first("text").alias("text"))
+    some = hashed.join(F.broadcast(limits), "lang").filter(place < F.col("part")).groupBy("lang", "doc_id", "h").agg(F.first("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     texts = some.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id", "lang", "text")
 

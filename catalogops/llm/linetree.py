@@ -5,9 +5,13 @@ a field.  In a leaf that several documents reach, a token stays constant at its
 there; every other token is generalised to a field too.  A line whose template keeps at least half of the tokens behind the leading
 ones, which all lines of the leaf share, belongs to that template, any other line is its own template.  Templates that recur across documents are dropped from all of them.
 
-A document made up of recurring lines for the most part is a copy of another document, not a carrier of boilerplate.  So copies
-do not vote: a template recurs if enough *carriers* (documents with less than half of their bytes in shared lines) have it.  Nor are copies
-taken apart: a document that would lose half of its bytes in three or more lines stays whole, for near-duplicate search to judge.
+A document with next to no text of its own beside recurring lines is a copy of another document, not a witness of boilerplate.  So copies
+do not vote: a template recurs if enough *carriers* (documents with a fifth of their bytes outside shared lines) have it.  Every carrier loses
+its recurring lines, however many they are.  A document of which less than a fifth would stay loses them too if the same set of recurring
+templates is the whole set of several carriers, as on the pages of one site; otherwise these lines never stand together but in copies, and it
+stays whole, for near-duplicate search to judge.
+
+Any white space inside a line parts tokens, and a character of a script without blanks is a token.  Long lines recur by their exact text from two documents on.
 """
 
 from __future__ import annotations
@@ -32,16 +36,28 @@ class TreeRules:
     min_mass: int = 30  # documents times tokens of a template, so that short lines need more witnesses
     max_children: int = 20  # a constant stands in one of so many documents of its leaf; a position with more constants is a field
     constant_share: float = 0.5  # least share of constant tokens behind the leading tokens of a template
-    copy_lines: int = 3  # a copy loses at least so many lines
-    copy_share: float = 0.5  # a document with that share of its bytes in shared lines is a copy
+    copy_share: float = 0.8  # a document with that share of its bytes in shared lines is a copy
+    min_carriers: int = 3  # carriers with the same set of templates, for a document that would lose that share
+    long_tokens: int = 30  # lines of so many tokens recur by exact text from long_documents on
+    long_documents: int = 2
 
 
 RULES = TreeRules()
 
+# White space other than the blank; scripts written without blanks.
+SPACES = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+
+
+def spaced(line: Column) -> Column:
+    """Every run of white space as one blank, none outside, and blanks around each character of an unspaced script."""
+    parted = F.regexp_replace(F.translate(line, SPACES, " " * len(SPACES)), f"([{UNSPACED}])", " $1 ")
+    return F.trim(F.when(line.rlike(f"  |[{SPACES}{UNSPACED}]"), F.regexp_replace(parted, " +", " ")).otherwise(line))
+
 
 def masked(line: str | Column) -> Column:
-    """The line without outer blanks, tokens with a digit replaced by a field unless they are more than half of the tokens."""
-    c = F.trim(F.col(line) if isinstance(line, str) else line)
+    """The line with single blanks between tokens, those with a digit replaced by a field unless they are more than half of the tokens."""
+    c = spaced(F.col(line) if isinstance(line, str) else line)
     m = F.regexp_replace(c, "[^ ]*[0-9][^ ]*", FIELD)
     fields = (F.length(m) - F.length(F.replace(m, F.lit(FIELD)))) / len(FIELD)
     return F.when(c.rlike("[0-9]"), F.when(fields * 2 <= tokens(c), m).otherwise(c)).otherwise(c)
@@ -82,22 +98,39 @@ def templates(shared: DataFrame, leaves: DataFrame, rules: TreeRules) -> DataFra
 
 
 def recurring(docs: DataFrame, rules: TreeRules = RULES) -> DataFrame:
-    """(doc, line_id, bytes, size): the lines of each document whose template recurs, and the document's bytes."""
+    """(doc, line_id, template, bytes, size): the lines of each document that recur, and the document's bytes."""
     lines = parsed(docs, rules)
-    leaves = keep(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= rules.min_documents), "leaves")
+    reached = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("n"))
+    enough = (F.col("docs") >= rules.min_documents) | (F.col("docs") >= rules.long_documents) & (F.col("n") >= rules.long_tokens)
+    leaves = keep(reached.filter(enough).select("leaf", "docs"), "leaves")
     shared = keep(lines.join(short_list(leaves.select("leaf")), "leaf", "left_semi").withColumn("line_id", F.xxhash64("line")).dropDuplicates(["doc", "line_id"]), "shared-lines")
     seen = keep(shared.select("doc", "size", "line_id", "n", F.octet_length("line").alias("bytes")).join(templates(shared, leaves, rules), "line_id"), "templates")
-    once = seen.groupBy("template", "doc").agg(F.max("n").alias("n"))
+    # a long line recurs by its template or by its own text
+    exact = F.when((F.col("n") >= rules.long_tokens) & (F.col("template") != F.col("line_id")), F.array("template", "line_id")).otherwise(F.array("template"))
+    once = seen.select("doc", "size", "bytes", "line_id", "template", "n", F.explode(exact).alias("key"))
 
     def often(d: DataFrame) -> DataFrame:
-        enough = (F.col("docs") >= rules.min_documents) & (F.col("docs") * F.col("n") >= rules.min_mass)
-        return d.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("n")).filter(enough).select("template")
+        by_text = (F.col("docs") >= rules.long_documents) & (F.col("n") >= rules.long_tokens) & F.col("text")
+        both = d.groupBy("key", "doc").agg(F.max("n").alias("n"), F.every(F.col("key") == F.col("line_id")).alias("text"))
+        counted = both.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("n"), F.every("text").alias("text"))
+        return counted.filter((F.col("docs") >= rules.min_documents) & (F.col("docs") * F.col("n") >= rules.min_mass) | by_text).select("key")
+
+    def having(keys: DataFrame) -> DataFrame:
+        return once.join(short_list(keys), "key", "left_semi").select("doc", "line_id", "template", "bytes", "size").dropDuplicates(["doc", "line_id"])
 
     candidates = keep(often(once), "candidates")
-    inside = seen.join(short_list(candidates), "template", "left_semi").groupBy("doc").agg(F.sum("bytes").alias("inside"), F.max("size").alias("size"))
+    inside = having(candidates).groupBy("doc").agg(F.sum("bytes").alias("inside"), F.max("size").alias("size"))
     copies = inside.filter(F.col("inside") >= rules.copy_share * F.col("size")).select("doc")
-    voted = keep(often(once.join(copies, "doc", "left_anti")), "voted")
-    return seen.join(short_list(voted), "template", "left_semi").select("doc", "line_id", "bytes", "size")
+    return having(keep(often(once.join(copies, "doc", "left_anti")), "voted"))
+
+
+def losses(docs: DataFrame, rules: TreeRules = RULES) -> DataFrame:
+    """(doc, gone): the line ids that each document loses."""
+    found = recurring(docs, rules).groupBy("doc").agg(F.collect_set("line_id").alias("gone"), F.xxhash64(F.array_sort(F.collect_set("template"))).alias("set"),
+                                                      F.sum("bytes").alias("bytes"), F.max("size").alias("size"))
+    found = keep(found.select("doc", "gone", "set", (F.col("bytes") < rules.copy_share * F.col("size")).alias("carrier")), "losses")
+    carried = keep(found.groupBy("set").agg(F.count_if("carrier").alias("n")).filter(F.col("n") >= rules.min_carriers).select("set"), "carried-sets")
+    return found.filter("carrier").select("doc", "gone").union(found.filter("not carrier").join(short_list(carried), "set", "left_semi").select("doc", "gone"))
 
 
 def drop_recurring_lines(docs: DataFrame, rules: TreeRules = RULES) -> DataFrame:
@@ -110,13 +143,11 @@ def drop_recurring_lines(docs: DataFrame, rules: TreeRules = RULES) -> DataFrame
 
 
 def _dropped(docs: DataFrame, rules: TreeRules) -> DataFrame:
-    gone = recurring(docs, rules).groupBy("doc").agg(F.collect_set("line_id").alias("_gone"), F.sum("bytes").alias("_bytes"), F.max("size").alias("_size"))
-    whole = (F.size("_gone") >= rules.copy_lines) & (F.col("_bytes") >= rules.copy_share * F.col("_size"))
-    gone = gone.filter(~whole).select("doc", "_gone")
+    gone = losses(docs, rules).withColumnRenamed("gone", "_gone")
     joined = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(gone, F.col("_doc") == F.col("doc"), "left").drop("_doc", "doc")
     split = joined.withColumn("_lines", F.split("text", "\n"))
-    stay = split.withColumn("_stay", F.filter("_lines", lambda x: ~F.array_contains("_gone", F.xxhash64(masked(x))) | (tokens(masked(x)) < rules.min_tokens)))
     lost = F.col("_gone").isNotNull()
+    stay = split.withColumn("_stay", F.when(lost, F.filter("_lines", lambda x: ~F.array_contains("_gone", F.xxhash64(masked(x))))))
     out = (stay.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
            .withColumn("n_dropped", F.when(lost, F.size("_lines") - F.size("_stay")).otherwise(0).cast("long"))
            .withColumn("text", F.when(lost, F.array_join("_stay", "\n")).otherwise(F.col("text"))))

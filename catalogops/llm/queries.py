@@ -74,13 +74,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_line_dedup"] = op8_line_dedup
+SPACES_SQL = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in linetree.SPACES) + "]"
+SPACED_SQL = f"trim(regexp_replace(regexp_replace(regexp_replace(line, '{SPACES_SQL}', ' ', 'g'), '([{linetree.UNSPACED.replace('Is', '')}])', ' \\1 ', 'g'), ' +', ' ', 'g'), ' ')"
 FIELD_SQL = "regexp_replace(l, '[^ ]*[0-9][^ ]*', '<*>', 'g')"
 MASK_SQL = f"CASE WHEN regexp_matches(l, '[0-9]') AND (length({FIELD_SQL}) - length(replace({FIELD_SQL}, '<*>', ''))) / 3 * 2 <= length(l) - length(replace(l, ' ', '')) + 1 THEN {FIELD_SQL} ELSE l END"
+OFTEN_SQL = """HAVING count(*) >= 3 AND count(*) * max(n) >= 30 OR count(*) >= 2 AND max(n) >= 30 AND starts_with(key, 'L')"""
 SQL["op8_line_dedup"] = f"""
-WITH raw AS MATERIALIZED (SELECT doc_id, k, line, {MASK_SQL} AS m FROM (SELECT doc_id, k, line, trim(line, ' ') AS l FROM (
+WITH raw AS MATERIALIZED (SELECT doc_id, k, line, {MASK_SQL} AS m FROM (SELECT doc_id, k, line, {SPACED_SQL} AS l FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents))),
 s AS MATERIALIZED (SELECT *, len(t) AS n, array_to_string(t[1:3], ' ') AS head FROM (SELECT DISTINCT doc_id, m, string_split(m, ' ') AS t FROM raw) WHERE len(t) >= 3),
-leaf AS MATERIALIZED (SELECT n, head, count(*) AS lines FROM (SELECT DISTINCT doc_id, line, m FROM raw) JOIN s USING (doc_id, m) GROUP BY ALL HAVING count(*) >= 3),
+leaf AS MATERIALIZED (SELECT n, head, count(*) AS lines FROM (SELECT DISTINCT doc_id, line, m FROM raw) JOIN s USING (doc_id, m) GROUP BY ALL HAVING count(*) >= 3 OR count(*) >= 2 AND n >= 30),
 sh AS MATERIALIZED (SELECT s.* FROM s JOIN leaf USING (n, head)),
 u AS MATERIALIZED (SELECT n, head, m, t, count(*) AS docs FROM sh GROUP BY ALL),
 pl AS MATERIALIZED (SELECT n, head, m, docs, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM u),
@@ -89,14 +92,15 @@ con AS (SELECT * FROM sup JOIN (SELECT n, head, pos FROM sup GROUP BY ALL HAVING
 tp AS (SELECT pl.n, pl.head, pl.m, count(con.token) FILTER (pl.pos > 3) AS c, string_agg(pl.pos || '=' || con.token, ' ' ORDER BY pl.pos) FILTER (con.token IS NOT NULL) AS parts
   FROM pl LEFT JOIN con ON pl.n = con.n AND pl.head = con.head AND pl.pos = con.pos AND pl.token = con.token GROUP BY ALL),
 te AS (SELECT m, CASE WHEN c >= 0.5 * (n - 3) THEN 'T' || n || '|' || head || '|' || coalesce(parts, '') ELSE 'L' || m END AS template FROM tp),
-seen AS MATERIALIZED (SELECT DISTINCT doc_id, m, n, template FROM sh JOIN te USING (m)),
-cand AS (SELECT template FROM (SELECT DISTINCT template, doc_id, n FROM seen) GROUP BY template HAVING count(*) >= 3 AND count(*) * max(n) >= 30),
-ins AS (SELECT doc_id, sum(strlen(m)) AS inside FROM seen WHERE template IN (FROM cand) GROUP BY doc_id),
-cop AS (SELECT doc_id FROM ins JOIN documents USING (doc_id) WHERE inside >= 0.5 * strlen(text)),
-vot AS (SELECT template FROM (SELECT DISTINCT template, doc_id, n FROM seen WHERE doc_id NOT IN (FROM cop)) GROUP BY template HAVING count(*) >= 3 AND count(*) * max(n) >= 30),
-hit AS MATERIALIZED (SELECT DISTINCT doc_id, m FROM seen WHERE template IN (FROM vot)),
-kept AS (SELECT doc_id FROM hit JOIN documents USING (doc_id) GROUP BY doc_id, text HAVING count(*) >= 3 AND sum(strlen(m)) >= 0.5 * strlen(text)),
-gone AS MATERIALIZED (SELECT * FROM hit WHERE doc_id NOT IN (FROM kept)),
+seen AS MATERIALIZED (SELECT doc_id, m, n, template, unnest(CASE WHEN n >= 30 THEN list_distinct([template, 'L' || m]) ELSE [template] END) AS key FROM sh JOIN te USING (m)),
+cand AS (SELECT key FROM (SELECT DISTINCT key, doc_id, n FROM seen) GROUP BY key {OFTEN_SQL}),
+ins AS (SELECT doc_id, sum(strlen(m)) AS inside FROM (SELECT DISTINCT doc_id, m FROM seen WHERE key IN (FROM cand)) GROUP BY doc_id),
+cop AS (SELECT doc_id FROM ins JOIN documents USING (doc_id) WHERE inside >= 0.8 * strlen(text)),
+vot AS (SELECT key FROM (SELECT DISTINCT key, doc_id, n FROM seen WHERE doc_id NOT IN (FROM cop)) GROUP BY key {OFTEN_SQL}),
+hit AS MATERIALIZED (SELECT DISTINCT doc_id, m, template FROM seen WHERE key IN (FROM vot)),
+los AS MATERIALIZED (SELECT doc_id, string_agg(DISTINCT template, chr(10) ORDER BY template) AS tset, sum(strlen(m)) < 0.8 * any_value(strlen(text)) AS carrier FROM hit JOIN documents USING (doc_id) GROUP BY doc_id),
+los_ok AS (SELECT doc_id FROM los WHERE carrier OR tset IN (SELECT tset FROM los WHERE carrier GROUP BY tset HAVING count(*) >= 3)),
+gone AS MATERIALIZED (SELECT doc_id, m FROM hit WHERE doc_id IN (FROM los_ok)),
 out AS (SELECT raw.doc_id, count(*) AS n_lines, count(gone.m) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (gone.m IS NULL), '') AS text
   FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.m = gone.m GROUP BY raw.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(out.text) AS text_sha256, out.text AS text FROM documents d LEFT JOIN out USING (doc_id)"""

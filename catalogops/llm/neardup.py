@@ -211,16 +211,18 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def across(labelled: DataFrame, sets: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Promising pairs of different components in the buckets of `labelled(bucket, node, rank, root)`; see `_across`."""
+    """Promising pairs of different components in the buckets of `labelled(bucket, node, root)`; see `_across`.
+
+    Block and chunk of a member are drawn by its name, so no bucket is ever sorted or numbered in one task.
+    """
     counts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
     main = (counts.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("size")).filter("m.c < size")
             .select("bucket", F.col("m.root").alias("main"), F.ceil((F.col("size") - F.col("m.c")) / BLOCK).cast("int").alias("blocks"),
                     F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")))
     m = labelled.join(main, "bucket").withColumn("minor", F.col("root") != F.col("main"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("node")) - 1
-    first = (m.filter("minor").withColumn("block", F.floor(place / BLOCK).cast("int"))
+    first = (m.filter("minor").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
              .select("bucket", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), "node", "root", "minor"))
-    second = m.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.floor((F.col("rank") - 1) / CHUNK).cast("int").alias("chunk"),
+    second = m.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(2)), "chunks").cast("int").alias("chunk"),
                       F.lit(1).alias("kind"), "node", "root", "minor")
     rows = first.union(second).join(sets.select("node", "wide", "bands"), "node")
     key = ["bucket", "block", "chunk"]
@@ -264,49 +266,59 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     it.  Null, empty and blank texts have no shingles and are linked with nothing.  Repeated rows are equal sets and so in one
     component; a null doc_id is never the smallest unless the component has no other.
     """
-    rows = keep(map_texts(docs.select("doc_id", "text"), ["doc_id"], "text", _describe(width), "n_shingles long, node long, bands array<long>"), "signatures")
+    out = _grouped(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per row of `docs(doc_id, text)`: doc_id, h, n_shingles, root, component_id; h names the text, root the component (null: alone)."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    rows = keep(map_texts(texts, ["doc_id", "h"], "text", _describe(width), "n_shingles long, node long, bands array<long>"), "signatures")
     named = rows.filter("node is not null")
-    classes = named.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    classes = named.groupBy("node").agg(first.alias("at")).select("node", F.col("at.doc_id").alias("rep"), F.col("at.h").alias("rep_h"))
     members = named.select("node", F.explode("bands").alias("bucket")).distinct()
-    in_bucket = Window.partitionBy("bucket")
-    buckets = keep(members.withColumn("size", F.count(F.lit(1)).over(in_bucket)).filter("size > 1")
-                   .withColumn("rank", F.row_number().over(in_bucket.orderBy("node"))), "buckets")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).filter("size > 1").drop("size")
+    buckets = keep(members.join(sizes, "bucket"), "buckets")
     wanted = buckets.select("node").distinct().join(classes, "node")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
-    sets = map_texts(texts, ["node"], "text", _sets(width), "found long, n long, sig binary, wide binary, bands binary, hashes binary")
+    told = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h")))
+    sets = map_texts(told, ["node"], "text", _sets(width), "found long, n long, sig binary, wide binary, bands binary, hashes binary")
     sets = keep(sets.filter("node = found").drop("found").dropDuplicates(["node"]), "sets")
 
-    leaders = buckets.filter("rank = 1").select("bucket", F.col("node").alias("a"))
-    pairs = leaders.join(buckets.select("bucket", F.col("node").alias("b")), "bucket").filter("a <> b").select("a", "b").distinct()
+    pairs = buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     roots = None
     if not buckets.isEmpty():
         roots = components(links(keep(promising(pairs, sets, percent), "leader-pairs"), sets, percent))
         for best in (2, None):
-            labelled = buckets.join(roots, "node", "left").withColumn("root", rest_of("node")).select("bucket", "node", "rank", "root")
+            labelled = buckets.join(roots, "node", "left").withColumn("root", rest_of("node")).select("bucket", "node", "root")
             near = keep(across(labelled, sets, percent, best), "open-pairs")
             if near.isEmpty():
                 break
             roots = components(links(near, sets, percent).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     if roots is None:
-        joined = classes.withColumn("component_id", F.col("rep")).drop("rep")
+        joined = classes.select("node", F.col("node").alias("root"), F.col("rep").alias("component_id"))
     else:
         rooted = classes.join(roots, "node", "left").withColumn("root", rest_of("node"))
-        joined = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id")
-    linked = named.select("doc_id", "n_shingles", "node").join(joined, "node").select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        joined = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "root", "component_id")
+    linked = named.select("doc_id", "h", "n_shingles", "node").join(joined, "node").select("doc_id", "h", "n_shingles", "root", "component_id")
+    alone = rows.filter("node is null").select("doc_id", "h", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    return linked.union(alone)
 
 
 def one_per_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one document of each near-duplicate component, the one with the smallest id; all columns stay.
 
-    Rows repeated under one id and text stay once.
+    Rows repeated under one id and text stay once.  An id with several texts is judged text by text: of those in one component, one stays.
     """
-    found = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
+    found = keep(_grouped(docs, width, percent).select("doc_id", "h", "root").distinct(), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("at")
+    best = found.filter("root is not null").groupBy("root").agg(first).select("at.doc_id", "at.h")
+    best = best.union(found.filter("root is null").select("doc_id", "h")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    once = Window.partitionBy("doc_id", "_text").orderBy(F.lit(1))
 
     def run(d: DataFrame) -> DataFrame:
-        kept = d.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h"))
+        kept = d.withColumn("_text", F.xxhash64("text")).join(best, same, "left_semi")
         return kept.withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").select(d.columns)
 
     return with_safe_names(docs, ["doc_id", "text"], run)

@@ -17,6 +17,7 @@ from catalogops.llm.common import keep, with_safe_names
 WEIGHTS = (5, 2, 1)
 FAN = 64
 MOST_COPIES = 3
+SLICE = 4096  # repeated rows are numbered in slices of that many
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -128,7 +129,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     """Per row of `docs(doc_id, text, source)`: doc_id, h, size, source, source_size, target, copies and taken = copies * size.
 
     Null and empty texts have size 0 and take nothing.  A null source is a source of its own, the last one.  Repeated rows are rounded one
-    by one.  The choice depends on ids and texts only, so reruns agree.
+    by one, each under a number of its own, so that they spread over blocks.  The choice depends on ids and texts only, so reruns agree.
     """
     sized = keep(docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("h"), n_words("text").alias("size")), "sizes")
     sources = keep(with_targets(ranked_sources(sized, weights), most), "targets")
@@ -136,14 +137,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     named = sources.select(F.col("source").alias("_source"), "source_size", "target")
     rows = (sized.join(short_list(named), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
             .withColumn("whole", F.floor(rate).cast("int")).withColumn("p", rate - F.floor(rate)))
-    payload = ["doc_id", "source_size", "target", "whole", "source", "size"]
+    payload = ["doc_id", "source_size", "target", "whole", "source", "size", F.col("h").alias("name")]
     open_rows = (F.col("p") > 0) & (F.col("size") > 0)
-    up = rounded(rows.filter(open_rows).select("source", "size", "h", "p", F.struct(*payload).alias("row")), ["row"]).select("row.*", "h", "up")
-    settled = rows.filter(~open_rows).select(*payload, "h", F.lit(0).alias("up"))
+    own = numbered(rows.filter(open_rows)).withColumn("_h", F.when(F.col("_no") > 0, F.xxhash64("h", "_no")).otherwise(F.col("h")))
+    up = rounded(own.select("source", "size", F.col("_h").alias("h"), "p", F.struct(*payload).alias("row")), ["row"]).select("row.*", "up").withColumnRenamed("name", "h")
+    settled = rows.filter(~open_rows).select(*payload, F.lit(0).alias("up")).withColumnRenamed("name", "h")
     copies = (F.col("whole") + F.col("up")).cast("int")
     return up.union(settled).select("doc_id", "h", "size", "source", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """`rows` with `_no`, which counts equal rows from 0; they are counted first and dealt out again in slices."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / SLICE)))
+    dealt = counted.withColumn("_slice", start).repartition("h", "_slice")
+    last = F.least(F.col("_n"), (F.col("_slice") + 1) * SLICE) - 1
+    return dealt.withColumn("_no", F.explode(F.sequence(F.col("_slice") * SLICE, last))).drop("_n", "_slice")
+
+
 def short_list(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """A broadcast hint for a stored table of at most `limit` short rows, otherwise the table as it is."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -153,12 +164,25 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """The mix itself: `docs` with `copies`, how often each is taken, and `taken` words; documents taken 0 times are left out.
 
     A column of `docs` named like a new one gives way to it.  Texts are not multiplied; a reader repeats a row `copies` times.
+    Of rows repeated under one id, text and source, which ones are taken once more than the others follows their order in storage.
     """
-    once = Window.partitionBy("h").orderBy(F.lit(1))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per stored partition
+    within = Window.partitionBy("_key", "_part").orderBy(F.lit(1))
 
     def run(d: DataFrame) -> DataFrame:
-        plan = mix(d, weights, most).filter("copies > 0").select("h", "copies", "taken").withColumn("_k", F.row_number().over(once))
-        rows = d.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("_k", F.row_number().over(once))
-        return rows.join(plan, ["h", "_k"]).select(*d.columns, "copies", "taken")
+        key = F.xxhash64("h", "source").alias("_key")
+        total = F.sum("copies") - F.count(F.lit(1)) * F.min("copies")
+        plan = mix(d, weights, most).groupBy(key).agg(F.min("copies").alias("_least"), total.alias("_more"), F.max("size").alias("_size"))
+        plan = keep(plan.filter("_least > 0 or _more > 0"), "mix")
+        rows = d.withColumn("_key", F.xxhash64(F.xxhash64("doc_id", "text"), "source"))
+        out = rows.join(plan.filter("_more = 0"), "_key").withColumn("copies", F.col("_least"))
+        uneven = plan.filter("_more > 0")
+        if not uneven.isEmpty():
+            stored = keep(rows.join(short_list(uneven), "_key").withColumn("_part", F.spark_partition_id()), "repeated")
+            parts = stored.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+            ranked = stored.join(parts, ["_key", "_part"]).withColumn("_no", F.col("_before") + F.row_number().over(within))
+            ranked = ranked.withColumn("copies", F.col("_least") + (F.col("_no") <= F.col("_more")).cast("int")).filter("copies > 0")
+            out = out.select(*d.columns, "_size", "copies").union(ranked.select(*d.columns, "_size", "copies"))
+        return out.select(*d.columns, F.col("copies").cast("int").alias("copies"), (F.col("_size") * F.col("copies")).cast("long").alias("taken"))
 
     return with_safe_names(docs, ["doc_id", "text", "source"], run)

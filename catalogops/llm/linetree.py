@@ -44,20 +44,22 @@ class TreeRules:
 
 RULES = TreeRules()
 
-# White space other than the blank; scripts written without blanks.
+# White space other than the blank; blocks of scripts written without blanks (Thai, Lao, Myanmar, Khmer, kana, Han).
 SPACES = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+UNSPACED = r"\x{e00}-\x{eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3041}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{323af}"
 
 
 def spaced(line: Column) -> Column:
     """Every run of white space as one blank, none outside, and blanks around each character of an unspaced script."""
     parted = F.regexp_replace(F.translate(line, SPACES, " " * len(SPACES)), f"([{UNSPACED}])", " $1 ")
-    return F.trim(F.when(line.rlike(f"  |[{SPACES}{UNSPACED}]"), F.regexp_replace(parted, " +", " ")).otherwise(line))
+    ascii_only = F.octet_length(line) == F.length(line)  # spares most lines the wide class
+    other = F.when(ascii_only, line.rlike("  |[\t\x0b\x0c\r]")).otherwise(line.rlike(f"  |[{SPACES}{UNSPACED}]"))
+    return F.trim(F.when(other, F.regexp_replace(parted, " +", " ")).otherwise(line))
 
 
 def masked(line: str | Column) -> Column:
-    """The line with single blanks between tokens, those with a digit replaced by a field unless they are more than half of the tokens."""
-    c = spaced(F.col(line) if isinstance(line, str) else line)
+    """A spaced line, tokens with a digit replaced by a field unless they are more than half of the tokens."""
+    c = F.col(line) if isinstance(line, str) else line
     m = F.regexp_replace(c, "[^ ]*[0-9][^ ]*", FIELD)
     fields = (F.length(m) - F.length(F.replace(m, F.lit(FIELD)))) / len(FIELD)
     return F.when(c.rlike("[0-9]"), F.when(fields * 2 <= tokens(c), m).otherwise(c)).otherwise(c)
@@ -71,7 +73,7 @@ def tokens(line: Column) -> Column:
 def parsed(docs: DataFrame, rules: TreeRules) -> DataFrame:
     """(doc, size, line, n, leaf): every distinct line of every document of at least min_tokens, masked; size counts the document's bytes."""
     lines = (docs.filter("text is not null")
-             .select(F.xxhash64("doc_id", "text").alias("doc"), F.octet_length("text").alias("size"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+             .select(F.xxhash64("doc_id", "text").alias("doc"), F.octet_length("text").alias("size"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), spaced))).alias("line"))
              .select("doc", "size", masked("line").alias("line")).withColumn("n", tokens(F.col("line"))).filter(F.col("n") >= rules.min_tokens))
     return lines.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", rules.depth)))
 
@@ -147,7 +149,9 @@ def _dropped(docs: DataFrame, rules: TreeRules) -> DataFrame:
     joined = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(gone, F.col("_doc") == F.col("doc"), "left").drop("_doc", "doc")
     split = joined.withColumn("_lines", F.split("text", "\n"))
     lost = F.col("_gone").isNotNull()
-    stay = split.withColumn("_stay", F.when(lost, F.filter("_lines", lambda x: ~F.array_contains("_gone", F.xxhash64(masked(x))))))
+    both = F.transform("_lines", lambda x: F.struct(x.alias("line"), spaced(x).alias("spaced")))
+    left = F.filter(both, lambda x: ~F.array_contains("_gone", F.xxhash64(masked(x["spaced"]))))
+    stay = split.withColumn("_stay", F.when(lost, F.transform(left, lambda x: x["line"])))
     out = (stay.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
            .withColumn("n_dropped", F.when(lost, F.size("_lines") - F.size("_stay")).otherwise(0).cast("long"))
            .withColumn("text", F.when(lost, F.array_join("_stay", "\n")).otherwise(F.col("text"))))

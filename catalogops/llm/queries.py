@@ -75,15 +75,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op8_line_dedup"] = op8_line_dedup
 SPACES_SQL = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in linetree.SPACES) + "]"
-SPACED_SQL = f"trim(regexp_replace(regexp_replace(regexp_replace(line, '{SPACES_SQL}', ' ', 'g'), '([{linetree.UNSPACED.replace('Is', '')}])', ' \\1 ', 'g'), ' +', ' ', 'g'), ' ')"
+SPACED_SQL = f"trim(regexp_replace(regexp_replace(regexp_replace(line, '{SPACES_SQL}', ' ', 'g'), '([{linetree.UNSPACED}])', ' \\1 ', 'g'), ' +', ' ', 'g'), ' ')"
 FIELD_SQL = "regexp_replace(l, '[^ ]*[0-9][^ ]*', '<*>', 'g')"
 MASK_SQL = f"CASE WHEN regexp_matches(l, '[0-9]') AND (length({FIELD_SQL}) - length(replace({FIELD_SQL}, '<*>', ''))) / 3 * 2 <= length(l) - length(replace(l, ' ', '')) + 1 THEN {FIELD_SQL} ELSE l END"
 OFTEN_SQL = """HAVING count(*) >= 3 AND count(*) * max(n) >= 30 OR count(*) >= 2 AND max(n) >= 30 AND starts_with(key, 'L')"""
 SQL["op8_line_dedup"] = f"""
-WITH raw AS MATERIALIZED (SELECT doc_id, k, line, {MASK_SQL} AS m FROM (SELECT doc_id, k, line, {SPACED_SQL} AS l FROM (
+WITH raw AS MATERIALIZED (SELECT doc_id, k, line, l, {MASK_SQL} AS m FROM (SELECT doc_id, k, line, {SPACED_SQL} AS l FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents))),
 s AS MATERIALIZED (SELECT *, len(t) AS n, array_to_string(t[1:3], ' ') AS head FROM (SELECT DISTINCT doc_id, m, string_split(m, ' ') AS t FROM raw) WHERE len(t) >= 3),
-leaf AS MATERIALIZED (SELECT n, head, count(*) AS lines FROM (SELECT DISTINCT doc_id, line, m FROM raw) JOIN s USING (doc_id, m) GROUP BY ALL HAVING count(*) >= 3 OR count(*) >= 2 AND n >= 30),
+leaf AS MATERIALIZED (SELECT n, head, count(*) AS lines FROM (SELECT DISTINCT doc_id, l, m FROM raw) JOIN s USING (doc_id, m) GROUP BY ALL HAVING count(*) >= 3 OR count(*) >= 2 AND n >= 30),
 sh AS MATERIALIZED (SELECT s.* FROM s JOIN leaf USING (n, head)),
 u AS MATERIALIZED (SELECT n, head, m, t, count(*) AS docs FROM sh GROUP BY ALL),
 pl AS MATERIALIZED (SELECT n, head, m, docs, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM u),

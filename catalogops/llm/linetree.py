@@ -49,32 +49,45 @@ SPACES = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u
 UNSPACED = r"\x{e00}-\x{eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3041}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{323af}"
 
 
-def spaced(line: Column) -> Column:
-    """Every run of white space as one blank, none outside, and blanks around each character of an unspaced script."""
-    parted = F.regexp_replace(F.translate(line, SPACES, " " * len(SPACES)), f"([{UNSPACED}])", " $1 ")
-    ascii_only = F.octet_length(line) == F.length(line)  # spares most lines the wide class
-    other = F.when(ascii_only, line.rlike("  |[\t\x0b\x0c\r]")).otherwise(line.rlike(f"  |[{SPACES}{UNSPACED}]"))
-    return F.trim(F.when(other, F.regexp_replace(parted, " +", " ")).otherwise(line))
+# The same classes, with one range tried before the rest, so that common letters fail at once.
+_SPACE = "\t\x0b\x0c\r\x85\xa0[\u1680-\u3000&&[" + SPACES[6:] + "]]"
+_UNSPACED = rf"[\x{{e00}}-\x{{323af}}&&[{UNSPACED}]]"
 
 
-def masked(line: str | Column) -> Column:
-    """A spaced line, tokens with a digit replaced by a field unless they are more than half of the tokens."""
-    c = F.col(line) if isinstance(line, str) else line
-    m = F.regexp_replace(c, "[^ ]*[0-9][^ ]*", FIELD)
-    fields = (F.length(m) - F.length(F.replace(m, F.lit(FIELD)))) / len(FIELD)
-    return F.when(c.rlike("[0-9]"), F.when(fields * 2 <= tokens(c), m).otherwise(c)).otherwise(c)
+def spaced(text: Column) -> Column:
+    """In every line of a text: each run of white space as one blank, none outside, and blanks around each character of an unspaced script."""
+    parted = F.regexp_replace(text, f"({_UNSPACED})", " $1 ")
+    single = F.regexp_replace(parted, f"[ {_SPACE}]{{2,}}|[{_SPACE}]", " ")
+    # every space but those named here, and every unspaced script, lies beyond U+0E00
+    other = text.contains("  ") | text.rlike(r"[\t\x0b\x0c\r\x85\xa0\x{e00}-\x{10ffff}]")
+    even = F.when(other, single).otherwise(text)
+    return F.trim(F.replace(F.replace(even, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")))
+
+
+def fielded(text: Column) -> Column:
+    """Tokens with a digit replaced by a field."""
+    return F.regexp_replace(text, "(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)
+
+
+def masked(line: Column, with_fields: Column) -> Column:
+    """A spaced line with its fields, unless they are more than half of its tokens."""
+    fields = (F.octet_length(with_fields) - F.octet_length(F.replace(with_fields, F.lit(FIELD)))) / len(FIELD)
+    return F.when(fields * 2 <= tokens(line), with_fields).otherwise(line)
 
 
 def tokens(line: Column) -> Column:
     """Number of tokens between single blanks."""
-    return F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
 
 
 def parsed(docs: DataFrame, rules: TreeRules) -> DataFrame:
     """(doc, size, line, n, leaf): every distinct line of every document of at least min_tokens, masked; size counts the document's bytes."""
     lines = (docs.filter("text is not null")
-             .select(F.xxhash64("doc_id", "text").alias("doc"), F.octet_length("text").alias("size"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), spaced))).alias("line"))
-             .select("doc", "size", masked("line").alias("line")).withColumn("n", tokens(F.col("line"))).filter(F.col("n") >= rules.min_tokens))
+             .select(F.xxhash64("doc_id", "text").alias("doc"), F.octet_length("text").alias("size"), F.explode(F.array_distinct(F.split(spaced(F.col("text")), "\n"))).alias("line"))
+             .filter(F.octet_length(F.substring_index("line", " ", rules.min_tokens - 1)) < F.octet_length("line"))  # a field is one token too
+             .withColumn("n", tokens(F.col("line")))
+             .withColumn("_fielded", F.when(F.col("line").rlike("[0-9]"), fielded(F.col("line")))))
+    lines = lines.select("doc", "size", F.when(F.col("_fielded").isNull(), F.col("line")).otherwise(masked(F.col("line"), F.col("_fielded"))).alias("line"), "n")
     return lines.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", rules.depth)))
 
 
@@ -149,9 +162,11 @@ def _dropped(docs: DataFrame, rules: TreeRules) -> DataFrame:
     joined = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(gone, F.col("_doc") == F.col("doc"), "left").drop("_doc", "doc")
     split = joined.withColumn("_lines", F.split("text", "\n"))
     lost = F.col("_gone").isNotNull()
-    both = F.transform("_lines", lambda x: F.struct(x.alias("line"), spaced(x).alias("spaced")))
-    left = F.filter(both, lambda x: ~F.array_contains("_gone", F.xxhash64(masked(x["spaced"]))))
-    stay = split.withColumn("_stay", F.when(lost, F.transform(left, lambda x: x["line"])))
+    keys = split.withColumn("_spaced", F.when(lost, spaced(F.col("text")))).withColumn("_fielded", F.split(fielded(F.col("_spaced")), "\n"))
+    keys = keys.withColumn("_spaced", F.split("_spaced", "\n")).withColumn("_keys", F.zip_with("_spaced", "_fielded", lambda x, m: F.xxhash64(masked(x, m))))
+    both = F.zip_with("_lines", "_keys", lambda x, key: F.struct(x.alias("line"), key.alias("key")))
+    left = F.filter(both, lambda x: ~F.array_contains("_gone", x["key"]))
+    stay = keys.withColumn("_stay", F.when(lost, F.transform(left, lambda x: x["line"]))).drop("_spaced", "_fielded", "_keys")
     out = (stay.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
            .withColumn("n_dropped", F.when(lost, F.size("_lines") - F.size("_stay")).otherwise(0).cast("long"))
            .withColumn("text", F.when(lost, F.array_join("_stay", "\n")).otherwise(F.col("text"))))

@@ -41,3 +41,22 @@ def test_dropped_lines(spark, case):
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     twin = con.execute(f"SELECT doc_id, n_lines, n_dropped, text FROM ({SQL['op8_line_dedup']}) ORDER BY doc_id").fetchall()
     assert sorted(tuple(r) for r in got) == twin
+
+
+def test_white_space_and_unspaced_scripts(spark):
+    """The classes written for speed agree with the plain ones, on texts of every kind."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    letters = re.compile("[" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), linetree.UNSPACED) + "]")
+
+    def plain(line):
+        line = "".join(" " if c in linetree.SPACES else c for c in letters.sub(lambda m: f" {m[0]} ", line))
+        return re.sub(" +", " ", line).strip(" ")
+
+    texts = ["a  b\n c \n \n\nd ", *[f"x{c}{c} y\n{c}z{c}\n{c}" for c in linetree.SPACES], "กข𠀀 aあア\n漢字b", "café “q” w 가", "", "\n", " "]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", linetree.spaced(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in got} == {t: "\n".join(map(plain, t.split("\n"))) for t in texts}
+    fields = spark.createDataFrame([("a1 b\n2 c3d x\n9",)], "t string").select(linetree.fielded(F.col("t"))).first()[0]
+    assert fields == "<*> b\n<*> <*> x\n<*>"

@@ -23,7 +23,7 @@ from catalogops.llm.common import map_texts, sigmoid
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button".split())
+SILENT = frozenset("script style template head title iframe select textarea button".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
@@ -46,9 +46,11 @@ TOKEN_GROUPS = {
 _GROUP_OF = {t: i for i, ts in enumerate(TOKEN_GROUPS.values()) for t in ts.split()}
 TAG_FEATURES = ("article", "main", "section", "div", "p", "h1", "h2", "ul", "li", "a", "table", "nav", "header", "footer", "aside", "form", "blockquote", "pre", "figure", "span")
 _TAG_AT = {t: i for i, t in enumerate(TAG_FEATURES)}
-N_FEATURES = len(TAG_FEATURES) + 2 * len(TOKEN_GROUPS) + 15
+N_FEATURES = len(TAG_FEATURES) + 2 * len(TOKEN_GROUPS) + 17
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TO_VALUE = re.compile(r"[^>=]*(=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAMED = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
@@ -76,61 +78,117 @@ def _is_hidden(attributes: str) -> bool:
     return False
 
 
+class Markup:
+    """Reads the tags of a page; every character is looked at a bounded number of times, however broken the page is."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.quotes = True  # until a tag was found that only ends inside a quoted value
+
+    def tag_end(self, at: int) -> int:
+        """Position of the > that ends the tag whose attributes start at `at`; a quote that is never closed is an ordinary character."""
+        k = at
+        while self.quotes:
+            m = _TO_VALUE.match(self.page, k)
+            k = m.end()
+            if not m[1]:
+                if k < len(self.page):
+                    return k
+                self.quotes = False
+                break
+            quote = self.page[k:k + 1]
+            if quote in ("'", '"') and k < self.last[quote]:
+                k = self.page.index(quote, k + 1) + 1
+            else:
+                k = _BARE.match(self.page, k).end()
+        return self.page.index(">", at)
+
+    def skip(self, at: int) -> int | None:
+        """End of the comment, declaration or instruction at `at`; None where there is none."""
+        for start, close in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")):
+            if self.page.startswith(start, at):
+                end = self.page.find(close, at + len(start))
+                return len(self.page) if end < 0 else end + len(close)
+        return None
+
+
+class Open:
+    """The open elements, with the places of each tag name, so that no search walks down the stack."""
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.stack, self.places = nodes, [0], {}
+
+    def push(self, i: int) -> None:
+        self.places.setdefault(self.nodes[i].tag, []).append(len(self.stack))
+        self.stack.append(i)
+
+    def innermost(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, tags, scope=()) -> None:
+        """Closes the innermost element of `tags`, and all within it, unless one of `scope` stands between."""
+        k = self.innermost(tags)
+        if k > self.innermost(scope):
+            for i in self.stack[k:]:
+                self.places[self.nodes[i].tag].pop()
+            del self.stack[k:]
+
+
 def parse(page: str) -> list[Node]:
-    """Elements in document order; element 0 is the page.  Unclosed and stray tags are repaired as browsers do for common cases."""
+    """Elements in document order; element 0 is the page.  Unclosed and stray tags are repaired as browsers do for common cases.
+
+    The time grows with the length of the page alone.  A tag without an end is text; an unclosed comment reaches to the end of the page.
+    """
     nodes = [Node("#page", -1, 0)]
-    stack = [0]
+    inside, markup = Open(nodes), Markup(page)
     at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            nodes[stack[-1]].parts.append(page[at:])
-            break
-        if m.start() > at:
-            nodes[stack[-1]].parts.append(page[at:m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+    text = 0  # where the text that is being read began
+
+    def say(upto: int) -> None:
+        if upto > text:
+            nodes[inside.stack[-1]].parts.append(page[text:upto])
+
+    while (at := page.find("<", at)) >= 0:
+        skipped = markup.skip(at)
+        if skipped is not None:
+            say(at)
+            text = at = skipped
             continue
-        name = name.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == name:
-                    del stack[k:]
-                    break
+        closing = page.startswith("/", at + 1)
+        m = _NAME.match(page, at + 1 + closing)
+        if not m or m.end() > markup.last[">"]:
+            at += 1
+            continue
+        say(at)
+        stop = markup.tag_end(m.end())
+        name, attributes = m[0].lower(), page[m.end():stop]
+        text = at = stop + 1
+        if closing:
+            inside.close((name,))
             continue
         if name in CLOSES_P:
-            _close(nodes, stack, {"p"}, {"button", "table", "td", "th", "li", "div", "article", "section"})
+            inside.close({"p"}, {"button", "table", "td", "th", "li", "div", "article", "section"})
         if name in ENDS:
-            _close(nodes, stack, ENDS[name], SCOPES[name])
-        attributes = m[3]
+            inside.close(ENDS[name], SCOPES[name])
         groups, hidden = frozenset(), False
         if attributes:
             tokens = [t for a in _ATTRIBUTE.findall(attributes) for v in a if v for w in v.lower().split() for t in (w, *_SPLIT.split(w))]
             groups = frozenset(_GROUP_OF[t] for t in tokens if t in _GROUP_OF)
             hidden = _is_hidden(attributes)
-        parent = stack[-1]
-        nodes.append(Node(name, parent, len(stack), groups, hidden, attributes))
+        parent = inside.stack[-1]
+        nodes.append(Node(name, parent, len(inside.stack), groups, hidden, attributes))
         nodes[parent].parts.append(len(nodes) - 1)
         if name in RAW and not attributes.endswith("/"):
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             nodes[-1].parts.append(page[at:close.start() if close else end])
-            at = close.end() if close else end
+            text = at = close.end() if close else end
         elif name not in VOID and not attributes.endswith("/"):
-            stack.append(len(nodes) - 1)
+            inside.push(len(nodes) - 1)
+    say(end)
     return nodes
 
 
-def _close(nodes, stack, tags, scope) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        tag = nodes[stack[k]].tag
-        if tag in tags:
-            del stack[k:]
-            return
-        if tag in scope:
-            return
-
-
 def features(nodes: list[Node]) -> np.ndarray:
     n = len(nodes)
     base, k = len(TAG_FEATURES), len(TOKEN_GROUPS)
@@ -145,7 +203,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             out[i, _TAG_AT[tag]] = 1
         for g in x.groups:
             out[i, base + g] = 1
-        silent = tag in SILENT or x.hidden
+        silent = tag in SILENT
         for p in x.parts:
             if isinstance(p, str):
                 if not silent:
@@ -170,7 +228,9 @@ def features(nodes: list[Node]) -> np.ndarray:
                 up = sub[x.parent]
                 for j in range(7):
                     up[j] += s[j]
+    apart = [False] * n
     for i in range(1, n):
+        apart[i] = nodes[i].tag in ("aside", "nav", "footer") or apart[nodes[i].parent]
         if out[nodes[i].parent, base:base + 2 * k].any():
             above = out[nodes[i].parent]
             out[i, base + k:base + 2 * k] = np.maximum(above[base:base + k], above[base + k:base + 2 * k])
@@ -194,6 +254,8 @@ def features(nodes: list[Node]) -> np.ndarray:
     rest[:, 12] = np.log1p(own)
     rest[:, 13] = np.arange(n) / n
     rest[:, 14] = sub[parent, 1] / some[parent]
+    rest[:, 15] = [x.hidden for x in nodes]
+    rest[:, 16] = apart
     return out
 
 
@@ -272,7 +334,7 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> list[int]:
     best = [[0.0, 0.0, 0.0] for _ in range(n)]
     for i, (x, odds) in reversed(list(enumerate(zip(nodes, log_odds.tolist(), strict=True)))):
         vote = min(6.0, max(-6.0, odds)) * (1 + math.log1p(x.chars)) / 2
-        if x.tag in SILENT or x.hidden:
+        if x.tag in SILENT:
             vote = -1e9
         b = best[i]
         b[0] -= vote
@@ -400,13 +462,26 @@ def generated_pages(n: int, seed: int = 11) -> list[str]:
             return block("div", ["share", "social", "related", "recommended", "more"], f"<h4>{words(2)}</h4><ul>{links(int(rng.integers(2, 7)))}</ul>")
         return block("footer", ["footer", "bottom", "copyright", "legal"], pick(f"&copy; {words(3)}", f"<p>&copy; {sentence(1, 4)}</p>", f"<ul>{links(5)}</ul><p>{words(8)}</p>"))
 
+    def plain():
+        """Sidebars, forms, menus and footers by their tag alone."""
+        inside = {"aside": pick(words(4), sentence(1, 4), paragraphs(1), f"<h3>{words(2)}</h3>{paragraphs(1)}", f"<ul>{links(3)}</ul>"),
+                  "form": pick("", f"<p>{sentence(1, 3)}</p>") + pick(f"<label>{words(2)}</label><input>", f"<label>{words(1)} <input></label>", f"{words(3)} <input>") + f"<button>{words(1)}</button>",
+                  "nav": pick(f"<ul>{links(4)}</ul>", f"<a href='/'>{words(1)}</a> <a href='/x'>{words(2)}</a>"), "footer": pick(words(4), f"<p>{sentence(1, 3)}</p>")}
+        tag = pick(*inside)
+        return f'<{tag} data-keep="0">{inside[tag]}</{tag}>'
+
+    def unseen():
+        how = pick("hidden", 'style="display:none"', 'aria-hidden="true"')
+        return pick(f"<div {how}>{paragraphs(int(rng.integers(1, 3)))}</div>", f"<p {how}>{sentence(1, 4)}</p>", f"<section {how}><h3>{words(2)}</h3>{paragraphs(1)}</section>")
+
     pages = []
     for _ in range(n):
         body = []
         for _ in range(int(rng.integers(1, 12))):
             body.append(pick(*[lambda: paragraphs(int(rng.integers(1, 4)))] * 4, lambda: f"<h2>{words(3)}</h2>{paragraphs(1)}", lambda: f"<ul>{''.join(f'<li>{sentence(1, 3)}</li>' for _ in range(3))}</ul>",
                              lambda: f"<blockquote>{pick(sentence(1, 4), paragraphs(1))}</blockquote>", lambda: f"<div>{sentence(2, 8)}</div>", lambda: f"<p><b>{sentence(1, 4)}<br>",
-                             lambda: f"<table><tr><td>{words(3)}</td><td>{words(2)}</td></tr></table>", lambda: f"<pre>{words(9)}</pre>", lambda: junk() if rng.random() < 0.4 else "")())
+                             lambda: f"<table><tr><td>{words(3)}</td><td>{words(2)}</td></tr></table>", lambda: f"<pre>{words(9)}</pre>", lambda: junk() if rng.random() < 0.4 else "", lambda: plain() if rng.random() < 0.7 else "",
+                             lambda: unseen() if rng.random() < 0.3 else f"<p>{sentence(1, 3)} <math><mi>{words(1)}</mi></math> {words(3)}.</p>")())
         inside = pick("", f"<h1>{words(5)}</h1>", f"<h1>{words(5)}</h1>", f"<header data-keep='1'><h1>{words(5)}</h1></header>") + "".join(body)
         main = block(pick("article", "main", "section"), ["content", "post", "entry-content", "article", "story", "main", words(1)], inside, 1)
         if rng.random() < 0.3:
@@ -418,20 +493,23 @@ def generated_pages(n: int, seed: int = 11) -> list[str]:
 
 #: Columns that name structural tags; they are hidden in a second copy of every corpus page.
 _STRUCTURE = [_TAG_AT[t] for t in ("article", "main", "nav", "header", "footer", "aside", "form")]
+_APART = N_FEATURES - 1  # inside an aside, a nav or a footer
 
 
-def train(pages: list[str], generated: int = 500) -> Boosted:
+def train(pages: list[str], generated: int = 500, per_page: int = 5000) -> Boosted:
+    """Trees fitted on these pages and on generated ones; of a page with more than `per_page` elements, so many at even steps."""
     xs, ys = [], []
     for text in [*pages, *generated_pages(generated)]:
         nodes = parse(text)
         x, y = features(nodes), label(nodes)
         used = [i for i, v in enumerate(nodes) if i and v.tag not in SILENT and v.tag not in ("html", "body")]
+        used = used[::-(-len(used) // per_page) or 1]
         xs.append(x[used])
         ys.append(y[used])
     for x, y in zip(xs[:len(pages)], ys[:len(pages)], strict=True):
         plain = x.copy()
         plain[:, _TAG_AT["div"]] = np.maximum(plain[:, _TAG_AT["div"]], plain[:, _STRUCTURE].max(1, initial=0))
-        plain[:, _STRUCTURE] = 0
+        plain[:, [*_STRUCTURE, _APART]] = 0
         xs.append(plain)
         ys.append(y)
     weight = np.concatenate([np.full(len(y), 1 / max(1, len(y)) ** 0.5) for y in ys])
@@ -439,7 +517,7 @@ def train(pages: list[str], generated: int = 500) -> Boosted:
 
 
 def main_texts(pages: DataFrame, sample: int = 120) -> DataFrame:
-    """Every row of `pages(page_id, url, html)` with `text` and `n_chars`.
+    """Every row of `pages(page_id, url, html, ...)` with `text` and `n_chars` in place of `html`; other columns stay, clashing ones give way.
 
     Null or empty html and pages without main text give an empty text.  At most `sample` different pages, chosen by a hash of id and html, and
     generated layouts train the trees; all pages are extracted from their whole html.
@@ -462,4 +540,4 @@ def main_texts(pages: DataFrame, sample: int = 120) -> DataFrame:
             at += len(p)
         return {"text": out, "n_chars": [len(t) for t in out]}
 
-    return map_texts(pages, ["page_id", "url"], "html", run, "text string, n_chars long", chunk=1 << 20)
+    return map_texts(pages, [c for c in pages.columns if c not in ("html", "text", "n_chars")], "html", run, "text string, n_chars long", chunk=1 << 20)

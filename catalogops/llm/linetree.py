@@ -97,7 +97,7 @@ def short_list(df: DataFrame) -> DataFrame:
 
 def templates(shared: DataFrame, leaves: DataFrame, rules: TreeRules) -> DataFrame:
     """(line_id, template) for `shared(doc, line, line_id, n, leaf)` and `leaves(leaf, docs)`."""
-    distinct = keep(shared.groupBy("leaf", "line_id").agg(F.count(F.lit(1)).alias("docs"), F.first("line").alias("line")), "distinct-lines")
+    distinct = keep(shared.groupBy("leaf", "line_id", "line").agg(F.count(F.lit(1)).alias("docs")), "distinct-lines")
     placed = distinct.select("leaf", "line_id", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     token = F.xxhash64("token").alias("token_id")
     support = placed.filter(F.col("token") != FIELD).groupBy("leaf", "pos", token).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= rules.min_documents)
@@ -118,7 +118,7 @@ def recurring(docs: DataFrame, rules: TreeRules = RULES) -> DataFrame:
     reached = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("n"))
     enough = (F.col("docs") >= rules.min_documents) | (F.col("docs") >= rules.long_documents) & (F.col("n") >= rules.long_tokens)
     leaves = keep(reached.filter(enough).select("leaf", "docs"), "leaves")
-    shared = keep(lines.join(short_list(leaves.select("leaf")), "leaf", "left_semi").withColumn("line_id", F.xxhash64("line")).dropDuplicates(["doc", "line_id"]), "shared-lines")
+    shared = keep(lines.join(short_list(leaves.select("leaf")), "leaf", "left_semi").withColumn("line_id", F.xxhash64("line")).distinct(), "shared-lines")
     seen = keep(shared.select("doc", "size", "line_id", "n", F.octet_length("line").alias("bytes")).join(templates(shared, leaves, rules), "line_id"), "templates")
     # a long line recurs by its template or by its own text
     exact = F.when((F.col("n") >= rules.long_tokens) & (F.col("template") != F.col("line_id")), F.array("template", "line_id")).otherwise(F.array("template"))

@@ -13,7 +13,7 @@ from catalogops.sources import catalogues as C
 from catalogops.sources import files as FS
 from catalogops.sources import logs as LG
 from catalogops.sources import scans as S
-from catalogops.session import cut_lineage, work_folder
+from catalogops.session import work_folder
 
 LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'click' THEN 'DEBUG' ELSE 'INFO' END"
 
@@ -104,7 +104,7 @@ def scan_titles(t):
 @query("scan_tracks", f"""{with_views('v_members')} SELECT item_id AS disc_id, ord AS title_id, s AS stream_id, s AS ord, CASE s WHEN 0 THEN 'video' ELSE 'audio' END AS type, CASE s WHEN 0 THEN '' ELSE 'eng' END AS language, CASE s WHEN 0 THEN 0 ELSE number END AS channels,
   CASE s WHEN 0 THEN 1 ELSE 3 END AS n_attributes FROM v_members, (VALUES (0), (1)) x(s)""")
 def scan_tracks(t):
-    return S.scan_tracks(cut_lineage(S.split_scan_lines(scan_lines(t)))).select("disc_id", "title_id", "stream_id", "ord", "type", "language", "channels", F.size("attributes").alias("n_attributes"))
+    return S.scan_tracks(S.split_scan_lines(scan_lines(t))).select("disc_id", "title_id", "stream_id", "ord", "type", "language", "channels", F.size("attributes").alias("n_attributes"))
 
 
 @query("disc_names", "SELECT l_orderkey AS disc_id, 'Disc ' || l_orderkey AS name FROM lineitem GROUP BY l_orderkey")
@@ -118,7 +118,7 @@ HASH_SQL = " || chr(0) || ".join(["'title, ' || ord", "(number * 60 + 5)", "'1,2
 
 @query("title_hashes", f"""{with_views('v_members')} SELECT item_id AS disc_id, ord AS title_id, sha256({HASH_SQL} || chr(0)) AS title_hash FROM v_members""")
 def title_hashes(t):
-    s = cut_lineage(S.split_scan_lines(scan_lines(t)))
+    s = S.split_scan_lines(scan_lines(t))
     return S.title_hashes(S.scan_titles(s), S.scan_tracks(s)).select("disc_id", "title_id", "title_hash")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Attribute numbers of titles and tracks.
@@ -21,27 +21,25 @@ def _int(c: Column) -> Column:
 
 
 def split_scan_lines(lines: DataFrame) -> DataFrame:
-    """(disc_id, pos, line) to (disc_id, pos, kind, title_id, stream_id, attr, value); other lines are dropped."""
-    kind, body = F.substring_index("line", ":", 1), F.regexp_replace("line", "^[^:]*:", "")
-    heads = {"CINFO": (None, None, 1), "TINFO": (1, None, 2), "SINFO": (1, 2, 3)}
-    width = {"CINFO": 3, "TINFO": 4, "SINFO": 5}
-
-    def field(prefix: str, i: int) -> Column:
-        n = width[prefix] - 1
-        return F.regexp_extract(body, "^" + r"([^,]*)," * n + "(.*)$", i)
-
-    def pick(slot: int) -> Column:
-        out = F.lit(None).cast("int")
-        for k, spec in heads.items():
-            if spec[slot] is not None:
-                out = F.when(F.col("kind") == k, F.trim(field(k, spec[slot])).try_cast("int")).otherwise(out)
-        return out
-
-    raw = F.lit(None).cast("string")
-    for k, n in width.items():
-        raw = F.when(F.col("kind") == k, field(k, n)).otherwise(raw)
-    value = F.regexp_replace(raw, r'^"(.*)"$', "$1")
-    d = lines.withColumn("kind", kind).filter(F.col("kind").isin(*heads)).select("disc_id", "pos", "kind", pick(0).alias("title_id"), pick(1).alias("stream_id"), pick(2).alias("attr"), value.alias("value"))
+    """(disc_id, pos, line) to (disc_id, pos, kind, title_id, stream_id, attr, value); other lines are dropped.
+
+    A line is cut once, at as many commas as its kind has numbers in front of the value; the value keeps its own commas.
+    """
+    kind = F.col("kind")
+    width = F.when(kind == "CINFO", 3).when(kind == "TINFO", 4).otherwise(5)
+    body = F.substring("line", 7, 2_147_483_647)  # the three kinds have five letters
+    raw = F.element_at("parts", -1)
+
+    def number(i: int, *kinds: str) -> Column:
+        return F.when(kind.isin(*kinds), F.trim(F.get("parts", F.lit(i))).try_cast("int"))
+
+    d = lines.withColumn("kind", F.substring_index("line", ":", 1)).filter(kind.isin("CINFO", "TINFO", "SINFO"))
+    # exploded as one row, so that the filters below read the parts instead of cutting the line again
+    d = d.select("disc_id", "pos", "kind", width.alias("width"), F.explode(F.array(F.split(body, ",", width))).alias("parts"))
+    d = d.filter((F.size("parts") == F.col("width")) & raw.rlike("^.*$"))
+    attr = F.coalesce(number(0, "CINFO"), number(1, "TINFO"), number(2, "SINFO"))
+    value = F.regexp_extract(raw, r'^("?)(.*)\1$', 2)
+    d = d.select("disc_id", "pos", "kind", number(0, "TINFO", "SINFO").alias("title_id"), number(1, "SINFO").alias("stream_id"), attr.alias("attr"), value.alias("value"))
     return d.filter("attr is not null and (kind = 'CINFO' or title_id is not null) and (kind <> 'SINFO' or stream_id is not null)")
 
 
@@ -69,26 +67,29 @@ def track_type(value: Column) -> Column:
 
 
 def scan_tracks(split: DataFrame) -> DataFrame:
-    """One row per (disc, title, stream) with its place in the title, typed fields and the attribute map."""
-    s = split.filter("kind = 'SINFO'")
+    """One row per (disc, title, stream) with its place in the title, typed fields and the attribute map.
+
+    The few lines of a stream are gathered once, in order; every field is read from that list.
+    """
     key = ["disc_id", "title_id", "stream_id"]
-    attr, full = F.col("attr"), F.col("value") != ""
+    g = split.filter("kind = 'SINFO'").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "attr", "value"))).alias("_l"))
 
-    def last(*ids: int) -> Column:
-        return F.max_by("value", F.when(attr.isin(*ids), F.col("pos")))
+    def last(*ids: int, ok=lambda v: F.lit(True)) -> Column:
+        return F.try_element_at(F.filter("_l", lambda x: x["attr"].isin(*ids) & ok(x["value"])), F.lit(-1))["value"]
 
     def first(*ids: int) -> Column:
-        return F.min_by("value", F.when(attr.isin(*ids) & full, F.col("pos")))
+        return F.get(F.filter("_l", lambda x: x["attr"].isin(*ids) & (x["value"] != "")), 0)["value"]
 
-    g = s.groupBy(*key).agg(
-        F.min("pos").alias("_p"), last(1).alias("_type"), F.coalesce(last(30), first(2), F.lit("")).alias("name"), F.coalesce(F.lower(first(3, 28)), F.lit("")).alias("language"),
-        F.coalesce(first(4, 29), F.lit("")).alias("language_name"), *[F.coalesce(last(a), F.lit("")).alias(n) for n, a in TRACK_ATTRS.items()],
-        F.coalesce(F.max_by("value", F.when((attr == 14) & (F.col("value").try_cast("int") > 0), F.col("pos"))).try_cast("int"), F.lit(0)).alias("channels"))
-    a = s.filter(full).groupBy(*key, "attr").agg(F.max_by("value", "pos").alias("v"))
-    a = a.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attr", "v")))).alias("attributes"))  # one entry per attribute number
-    order = g.groupBy("disc_id", "title_id").agg(F.array_sort(F.collect_list("_p")).alias("_ps"))  # streams of one title
-    return (g.join(a, key, "left").join(order, ["disc_id", "title_id"])
-            .withColumn("type", track_type(F.col("_type"))).withColumn("ord", F.array_position("_ps", F.col("_p")) - 1).drop("_p", "_ps", "_type"))
+    # the last full value of every attribute number, by number
+    full = F.array_sort(F.transform(F.filter("_l", lambda x: x["value"] != ""), lambda x: F.struct(x["attr"].alias("attr"), x["pos"].alias("pos"), x["value"].alias("v"))))
+    ends = F.filter("_full", lambda x, i: F.coalesce(F.get("_full", i + 1)["attr"] != x["attr"], F.lit(True)))
+    attributes = F.map_from_entries(F.transform(ends, lambda x: F.struct(x["attr"].alias("attr"), x["v"].alias("v"))))
+    place = Window.partitionBy("disc_id", "title_id").orderBy(F.get("_l", 0)["pos"])  # streams of one title
+    return (g.withColumn("_full", full)
+            .select(*key, F.coalesce(last(30), first(2), F.lit("")).alias("name"), F.coalesce(F.lower(first(3, 28)), F.lit("")).alias("language"),
+                    F.coalesce(first(4, 29), F.lit("")).alias("language_name"), *[F.coalesce(last(a), F.lit("")).alias(n) for n, a in TRACK_ATTRS.items()],
+                    F.coalesce(last(14, ok=lambda v: v.try_cast("int") > 0).try_cast("int"), F.lit(0)).alias("channels"),
+                    F.when(F.size("_full") > 0, attributes).alias("attributes"), track_type(last(1)).alias("type"), (F.rank().over(place) - 1).cast("long").alias("ord")))
 
 
 def title_hashes(titles: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -104,5 +105,4 @@ def title_hashes(titles: DataFrame, tracks: DataFrame) -> DataFrame:
     head = F.array(low("name"), F.col("duration").cast("string"), F.trim("segment_map"))
     every = F.concat(head, F.flatten(F.transform(F.coalesce("ts", F.array().cast("array<struct<stream_id:int,type:string,parts:array<string>>>")), lambda x: x["parts"])))
     h = titles.join(per, ["disc_id", "title_id"], "left").select("disc_id", "title_id", F.sha2(F.concat(F.array_join(every, "\0"), F.lit("\0")), 256).alias("title_hash"))
-    n = h.groupBy("disc_id", "title_hash").agg(F.count(F.lit(1)).alias("shared_by"))
-    return h.join(n, ["disc_id", "title_hash"])
+    return h.withColumn("shared_by", F.count(F.lit(1)).over(Window.partitionBy("disc_id", "title_hash")))  # titles of one disc

@@ -154,7 +154,8 @@ def resolve_by_prefix(entries: DataFrame, selectors: DataFrame) -> DataFrame:
     spread over the prefix lengths that occur among the selectors, at most the length of an id.
     """
     s = selectors.withColumn("sel", F.lower(F.trim("selector")))
-    by_number = (s.select("sel_pos", F.col("sel").try_cast("long").alias("number")).filter("number is not null")
+    whole = F.when(F.col("sel").rlike(r"^[+-]?\d+$"), F.col("sel").try_cast("long"))  # 12E5 and 1.5 are no row numbers
+    by_number = (s.select("sel_pos", whole.alias("number")).filter("number is not null")
                  .join(entries.select("number", "fingerprint"), "number").select("sel_pos", F.col("fingerprint").alias("hit")))
     rest = s.join(by_number.select("sel_pos"), "sel_pos", "left_anti").filter("sel <> ''")
     fp = F.lower("fingerprint")

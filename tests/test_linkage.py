@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from catalogops.operators import cosine
 from catalogops.operators import linkage as L
 from catalogops.operators import vectors as V
 from catalogops.policy import MatchPolicy
@@ -142,6 +144,21 @@ def test_near_duplicates_lose_no_pair(spark):
     assert got == want and want
 
 
+def test_near_duplicates_write_no_candidates(spark, rows, monkeypatch):
+    """Blocks of ten documents, a coarse bound and small look-ups against all pairs; no exchange is dealt by pairs of documents."""
+    for name, value in (("BLOCK_DOCS", 10), ("OWN", 6), ("SHARED", 4), ("ROWS", 3), ("LOOK_UP", 40)):
+        monkeypatch.setattr(cosine, name, value)
+    rnd = random.Random(7)
+    words = [f"word{i}" for i in range(50)]
+    texts = [" ".join(rnd.choices(words[:12] if i % 3 else words, k=3 + i % 40)) for i in range(60)] + ["", "a b", None]
+    docs = spark.createDataFrame([(i % 2, f"d{i:02d}", t) for i, t in enumerate(texts)] + [(0, "e", texts[0]), (0, "f", texts[0])], "grp long, doc string, text string")
+    d = V.near_duplicates(docs, 0.8)
+    assert not re.search(r"hashpartitioning\([^)]*\ba#[^)]*\bb#", d._jdf.queryExecution().toString())
+    v = V.tf_vectors(docs.filter("doc not in ('e', 'f')"))
+    want = V.cosine(v, v).filter("a < b and score >= 0.8").select("grp", "a", "b", F.round("score", 8))
+    assert rows(d.select("grp", "a", "b", F.round("score", 8))) == rows(want) and want.count() > 20
+
+
 def test_claim_pairs_lose_nothing_that_claims_see(spark, rows):
     """Bounded search against all pairs: same claims, far fewer pairs; equal scores, single terms and empty texts included."""
     rnd = random.Random(11)

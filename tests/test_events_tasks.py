@@ -123,3 +123,26 @@ def test_durations_missing_or_inverted(spark):
     df = spark.createDataFrame([(1, "2026-01-01 00:00:00", "2026-01-01 00:01:30"), (2, "2026-01-01 00:01:00", "2026-01-01 00:00:00"), (3, None, "2026-01-01 00:00:00")], "id long, a string, b string")
     got = [r.s for r in df.orderBy("id").select(K.duration_seconds("a", "b").alias("s")).collect()]
     assert got == [90.0, None, None]
+
+
+def test_stage_gate_reads_tasks_once(spark, rows):
+    """Reach over several levels, across items and round a cycle, from one pass over the tasks; a repeated and a stateless task count like any other."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            passed.add(b.num_rows)
+            yield b
+
+    names = list(K.STAGES)
+    given = [(1, 10 + i, names[i], "running" if i == 3 else "pending", [10 + i - 1] if i else []) for i in range(5)]
+    given += [(2, 20, "encoding", "pending", [21]), (2, 21, "ripping", "pending", [20, 99]), (3, 30, "apply", "done", [20]), (3, 31, "subtitling", None, []),
+              (4, 40, "analysis", "pending", [41]), (4, 41, "ripping", "pending", []), (5, 12, "subtitling", "pending", [13])]
+    schema = "item_id long, task_id long, type string, state string, deps array<long>"
+    tasks = spark.createDataFrame(given, schema)
+    items = spark.createDataFrame([(i, "identification", "", "tv", "bluray") for i in range(1, 7)], "item_id long, stage string, failed_at_stage string, media_type string, disc_source string")
+    got = K.stage_gate(items, tasks.mapInArrow(count, schema)).select("item_id", "furthest", "phase_rip_cache", "phase_episode_id", "phase_encoded", "phase_subtitles", "phase_commentary")
+    assert rows(got) == [(1, "encoding", True, True, True, False, False), (2, "identification", True, False, True, False, False), (3, "apply", False, False, False, False, False),
+                         (4, "identification", False, False, False, False, False), (5, "identification", False, False, False, True, False), (6, "identification", False, False, False, False, False)]
+    assert passed.value == len(given)
+    assert rows(K.reached_tasks(tasks)) == [(10,), (11,), (12,), (13,), (20,), (21,), (30,), (99,)]

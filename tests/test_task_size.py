@@ -4,8 +4,10 @@ import math
 
 from pyspark.sql import functions as F
 
+from catalogops.operators import linkage as L
 from catalogops.operators import skew
 from catalogops.operators import vectors as V
+from catalogops.plans import linkage as plans
 from catalogops.plans import views
 from catalogops.plans.registry import Tables
 
@@ -27,3 +29,28 @@ def test_text_is_dealt_by_its_length(spark, monkeypatch):
     assert want[0] > 10
     assert parts(V.tf_vectors(t.documents.select(F.col("doc_id").alias("grp"), F.col("doc_id").alias("doc"), "text")), "grp", "doc") == want
     assert parts(views.lines(t), "track") == want
+
+
+def test_claims_are_dealt_by_their_pairs(spark, monkeypatch):
+    """Tasks of some TASK_ROWS pairs, whatever the number of shuffle partitions; all claims of a rip in one of them."""
+    monkeypatch.setattr(skew, "TASK_ROWS", 50)
+    t = Tables(spark, SF)
+    r, f = plans.rips(t, plans.SHELVES), plans.refs(t, plans.SHELVES)
+    pairs = L.score_pairs(r, f)
+    want = (math.ceil(pairs.count() / 50), 1)
+    assert want[0] > 4
+    assert parts(L.build_claims(pairs, r, f, plans.EASY), "grp", "key") == want
+
+
+def test_runners_up_are_those_of_joins(spark):
+    """Ties, scores of 0, holes and rips of one pair: the windows over a rip find what joins find."""
+    scores = {7: {1: 0.5, 2: 0.5, 3: 0.9, 5: 0.2}, 8: {4: 0.0, 5: 0.3}, 9: {6: 0.4}, 10: {2: 0.0, 3: 0.0}}
+    rows = [(1, key, number, score) for key, of in scores.items() for number, score in of.items()]
+    pairs = spark.createDataFrame(rows, "grp long, key long, number long, score double")
+    up = L._runners_up(pairs)
+    got = {(r.key, r.number): (r.f1 and tuple(r.f1), r.f2 and tuple(r.f2)) for r in up.collect()}
+    for key, of in scores.items():
+        best = sorted(((n, s) for n, s in of.items() if s > 0), key=lambda x: (-x[1], x[0])) + [None, None]
+        assert all(got[key, n] == (best[0], best[1]) for n in of)
+    names = ["grp", "key", "number", "neighbor_number", "neighbor_score"]
+    assert sorted(map(tuple, up.select("grp", "key", "number", *L._neighbour()).collect())) == sorted(map(tuple, L.neighbour_scores(pairs, pairs).select(*names).collect()))

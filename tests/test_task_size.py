@@ -42,6 +42,19 @@ def test_claims_are_dealt_by_their_pairs(spark, monkeypatch):
     assert parts(L.build_claims(pairs, r, f, plans.EASY), "grp", "key") == want
 
 
+def test_pairs_are_made_in_passes(spark, monkeypatch):
+    """Parts of whole documents of some PASS_ROWS terms for each of the 4 shuffle partitions; the same pairs as in one pass."""
+    t = Tables(spark, SF)
+    rip, ref = L.linked_vectors(plans.rips(t, plans.SHELVES), plans.refs(t, plans.SHELVES))
+    want = sorted(map(tuple, V.pair_sums(rip, ref).collect()))
+    n = rip.count()
+    monkeypatch.setattr(V, "PASS_ROWS", n // 12)
+    parts_of = V.passes(rip)
+    assert len(parts_of) >= 3 and max(p.count() for p in parts_of) < 0.6 * n
+    assert sum(p.select("grp", "doc").distinct().count() for p in parts_of) == rip.select("grp", "doc").distinct().count()
+    assert sorted(map(tuple, V.pair_sums(rip, ref).collect())) == want and want
+
+
 def test_runners_up_are_those_of_joins(spark):
     """Ties, scores of 0, holes and rips of one pair: the windows over a rip find what joins find."""
     scores = {7: {1: 0.5, 2: 0.5, 3: 0.9, 5: 0.2}, 8: {4: 0.0, 5: 0.3}, 9: {6: 0.4}, 10: {2: 0.0, 3: 0.0}}

@@ -42,6 +42,19 @@ def test_claims_are_dealt_by_their_pairs(spark, monkeypatch):
     assert parts(L.build_claims(pairs, r, f, plans.EASY), "grp", "key") == want
 
 
+def test_unclaimed_rips_meet_one_row_of_a_claimed_rip(spark, monkeypatch):
+    """Tasks of some TASK_ROWS rips, and as many rows of claimed rips as there are claimed rips; rows of null keys and repeated rips stay."""
+    monkeypatch.setattr(skew, "TASK_ROWS", 20)
+    rips = spark.range(100).selectExpr("id % 3 as grp", "id as key").union(spark.sql("select 1L, 1L union all select 1L, 100L union all select 1L, 100L union all select null, 7L"))
+    claims = spark.range(2000).selectExpr("id % 50 % 3 as grp", "id % 50 as key", "id as number")
+    out = L.unclaimed(rips, claims)
+    assert parts(out, "grp", "key") == (math.ceil(104 / 20), 1)
+    want = [(k % 3, k) for k in range(50, 100)] + [(1, 100), (1, 100), (None, 7)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    anti = out._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti")[1]
+    assert "Aggregate" in anti
+
+
 def test_pairs_are_made_in_passes(spark, monkeypatch):
     """Parts of whole documents of some PASS_ROWS terms for each of the 4 shuffle partitions; the same pairs as in one pass."""
     t = Tables(spark, SF)

@@ -44,3 +44,28 @@ def test_snapped_cues_are_written_without_text(spark, monkeypatch):
     monkeypatch.setattr(C, "store", lambda df, name, f=C.store: kept.append(df.columns) or f(df, name))
     plans.queries()["snap_to_words"](spark, SF).agg(F.count("*")).collect()
     assert kept and not any("text" in c for c in kept)
+
+
+def test_adoption_compares_texts_once(spark, monkeypatch):
+    """Repair and snapping move cues and keep their texts, so texts are compared for the first gate alone; texts are dealt by track in tables."""
+    calls, dealt = [], []
+    monkeypatch.setattr(C, "text_similarity", lambda a, b, f=C.text_similarity: calls.append(1) or f(a, b))
+    monkeypatch.setattr(C, "store_dealt", lambda df, *a, f=C.store_dealt: dealt.append(a[0]) or f(df, *a))
+    out = plans.queries()["adopt_first_passing"](spark, SF)
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert out.count() == n and len(calls) == 1 and dealt == ["track", "track"]
+
+
+def test_anchors_similarity_and_overlap_of_odd_tracks(spark):
+    """Tracks of one side, null tracks, repeated texts, empty and reversed intervals."""
+    cue = "track string, idx long, start double, end double, text string"
+    a = spark.createDataFrame([("t", 1, 0.0, 40.0, "one two three four"), ("t", 2, 35.0, 50.0, "same words said twice"), ("t", 3, 61.0, 60.0, "same words said twice"), ("t", 4, 70.0, 70.0, "a b c d"),
+                               ("u", 1, 0.0, 1.0, "only on this side"), (None, 1, 0.0, 9.0, "one two three four")], cue)
+    b = spark.createDataFrame([("t", 7, 2.0, 30.0, "One, two three: four!"), ("t", 8, 38.0, 45.0, "same words said twice"), ("t", 9, 71.0, 72.0, "A b c d"), ("t", 10, 80.0, 81.0, "a b c d"),
+                               ("v", 1, 0.0, 1.0, "other"), (None, 1, 0.0, 9.0, "one two three four")], cue)
+    assert [tuple(r) for r in C.text_anchors(a, b).collect()] == [("t", 1, 0.0, -2.0)]
+    # 28 + 2 of the first interval, 7 of the second; lengths 55 and 37
+    assert [(r.track, round(r.overlap, 9)) for r in C.interval_overlap(a, b).collect()] == [("t", 1.0)]
+    words = {"one": (1, 1), "two": (1, 1), "three": (1, 1), "four": (1, 1), "same": (2, 1), "words": (2, 1), "said": (2, 1), "twice": (2, 1)}
+    want = sum(x * y for x, y in words.values()) / (sum(x * x for x, _ in words.values()) * sum(y * y for _, y in words.values())) ** 0.5
+    assert [(r.track, r.similarity) for r in C.text_similarity(a, b).collect()] == [("t", round(want, 9))]
